@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, external_shuffle, line_dedup, near_dedup, packing, quality, wavelet
+from . import decontaminate, external_shuffle, hnsw, line_dedup, near_dedup, packing, quality, warc, wavelet
 
 QUERIES = {
     "op2_winnowing": decontaminate.query,
     "op3_line_windows": line_dedup.query,
     "op4_wavelet": wavelet.query,
     "op5_setsketch": near_dedup.query,
+    "op6_warc": warc.query,
     "op7_neighbours": quality.query,
+    "op8_hnsw": hnsw.query,
     "op9_external_shuffle": external_shuffle.query,
     "op10_harmonic": packing.query,
 }
