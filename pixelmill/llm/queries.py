@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, external_shuffle, hnsw, line_dedup, near_dedup, packing, quality, warc, wavelet
+from . import decontaminate, external_shuffle, hnsw, line_dedup, near_dedup, packing, pii, quality, warc, wavelet
 
 QUERIES = {
+    "op1_crf": pii.query,
     "op2_winnowing": decontaminate.query,
     "op3_line_windows": line_dedup.query,
     "op4_wavelet": wavelet.query,
