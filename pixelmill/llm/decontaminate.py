@@ -22,6 +22,10 @@ WINDOW, K = 10, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in texts that still have upper-case letters.
+CASED_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Its lower case depends on what stands beside the word.
+SIGMA = "\u03a3"
 
 
 def words(text: Column) -> Column:
@@ -30,8 +34,10 @@ def words(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    """How many words a text has, without making them."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+    """How many words a text has: the parts that separators leave, but for an empty first and an empty last one."""
+    parts = F.split(F.coalesce(text, F.lit("")), CASED_GAP)
+    empty = lambda at: (F.element_at(parts, at) == "").cast("int")
+    return F.greatest(F.size(parts) - empty(1) - empty(-1), F.lit(0)).cast("long")
 
 
 def _hash(array: str, at: Column, n: int) -> Column:
@@ -59,6 +65,41 @@ def fingerprints(hashed: DataFrame, key: str) -> DataFrame:
     )
 
 
+def suspects(docs: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(doc): the texts that share a winnowed k-gram with an item, words taken in Unicode's lower case.
+
+    Words that are equal but for A-Z are equal in Unicode's lower case too (but beside a capital sigma, so texts that
+    hold one are suspects), and that case is much faster to make; so this pass over all texts is the cheap one, and the
+    exact one sees suspects alone. A hash's low three bits give way to its place, which makes the least of a window one
+    place; which of equal k-grams that is does not matter, as ``theirs`` holds the k-grams of all of them.
+    """
+    span, w = WINDOW - K + 1, F.col("w")
+    cased = F.coalesce(F.col("text"), F.lit(""))
+    hashed = F.transform(F.split(F.lower(cased), GAP), lambda t: F.xxhash64(t))
+    value = lambda i: F.get("g", w + i).bitwiseAND(F.lit(-8)).bitwiseOR((w + i).bitwiseAND(F.lit(7)).cast("long"))
+    found = (
+        docs.select("doc", hashed.alias("h"))
+        .where(F.size("h") >= WINDOW)
+        .select("doc", F.transform(F.sequence(F.lit(0), F.size("h") - K), lambda i: _hash("h", i, K)).alias("g"))
+        .select("doc", "g", F.explode(F.sequence(F.lit(0), F.size("g") - span)).alias("w"))
+        .select("doc", "w", F.least(*[value(i) for i in range(span - 1)]).alias("inside"), value(-1).alias("before"), value(span - 1).alias("after"))
+        .select("doc", "w", F.least("inside", "after").alias("least"), F.least("inside", "before").alias("previous"))
+        .where((F.col("w") == 0) | (F.col("least") != F.col("previous")))
+        .select("doc", F.col("least").bitwiseAND(F.lit(-8)).alias("low"))
+        .join(shared.small(theirs), "low", "left_semi")
+    )
+    return found.select("doc").unionByName(docs.where(F.contains(cased, F.lit(SIGMA))).select("doc")).distinct()
+
+
+def low_grams(items: DataFrame) -> DataFrame:
+    """(low): all least k-grams of all windows of items, as ``suspects`` makes them."""
+    span = WINDOW - K + 1
+    hashed = F.transform(F.array_remove(F.split(F.lower("text"), GAP), ""), lambda t: F.xxhash64(t))
+    grams = F.transform(F.sequence(F.lit(0), F.size("h") - K), lambda i: _hash("h", i, K).bitwiseAND(F.lit(-8)))
+    least = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("g") - span + 1), lambda i: F.array_min(F.slice("g", i, span))))
+    return items.select(hashed.alias("h")).where(F.size("h") >= WINDOW).select(grams.alias("g")).select(F.explode(least).alias("low")).distinct()
+
+
 def _run(equal: list[Column]) -> Column:
     """How many of the conditions hold before the first that does not."""
     out = F.when(~equal[0], 0)
@@ -71,11 +112,15 @@ def occurrences(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     """(doc, item, start, n): spans of words in documents, each covered by windows of the item that occur there; every
     occurrence of a window is in one of the item's spans."""
     hashed = lambda df, of, name: df.select(F.col(of).alias(name), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("h"))
-    docs = hashed(docs, key, "doc")
+    raw = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    low, _ = shared.cut(low_grams(items.select(F.coalesce(F.col(text), F.lit("")).alias("text"))), "low")
+    near, _ = shared.cut(suspects(raw, low), "suspects")
+    long = hashed(raw.join(shared.small(near.toDF("__near")), F.col("doc").eqNullSafe(F.col("__near")), "left_semi"), "doc", "doc")
+    docs = hashed(raw, "doc", "doc")
     items, _ = shared.cut(hashed(items, item, "item").where(F.size("h") > 0), "items")
     theirs, _ = shared.cut(fingerprints(items, "item").toDF("item", "gram", "ipos", "inear", "ilead"), "fingerprints")
     same = lambda i: F.coalesce(F.get("near", F.col("lead") + i) == F.get("inear", F.col("ilead") + i), F.lit(False))
-    met = fingerprints(docs, "doc").join(shared.small(theirs), "gram")
+    met = fingerprints(long, "doc").join(shared.small(theirs), "gram")
     seed = same(0)
     for i in range(1, K):
         seed = seed & same(i)
@@ -110,6 +155,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item."""
+    hit, _ = shared.cut(occurrences(docs, items, key, text).select(F.col("doc").alias("__doc")).distinct(), "hit")
+    return docs.join(shared.small(hit), docs[key].eqNullSafe(F.col("__doc")), "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: the documents held against the benchmark."""
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
