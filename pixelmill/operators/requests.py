@@ -60,7 +60,7 @@ def deduplicated(requests: DataFrame) -> DataFrame:
 
 
 def parts(text: Column) -> Column:
-    return F.transform(F.split(text, ","), F.trim)
+    return F.transform(F.split(text, ","), lambda s: F.trim(s))
 
 
 def levels(text: Column) -> Column:

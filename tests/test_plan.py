@@ -1,0 +1,140 @@
+"""Configuration, validation edges, the batch plan, the stream, the HTTP source's guards."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pixelmill.functions import keys
+from pixelmill.operators import codecs, requests as req, store
+from pixelmill.plans import resize
+from pixelmill.sources import config, files, http
+from pixelmill.streaming import serve
+
+RAW = "request_id long, url string, width int, height int, format string, blur_sigma float, grayscale boolean"
+HEX = "0" * 64
+
+
+def _png(value, h=12, w=20):
+    return codecs.encode(np.full((h, w, 3), value, np.uint8), "png")
+
+
+@pytest.fixture
+def sources(spark):
+    rows = [("http://a/1.png", 200, None, _png(10)), ("http://a/2.png", 200, 10**9, _png(20)), ("http://a/3.png", 404, 5, b"no"), ("http://a/4.png", 200, 5, b"junk" * 9)]
+    return spark.createDataFrame(rows, "url string, status int, content_length long, content binary")
+
+
+REQUESTS = [
+    (1, "http://a/1.png", 10, None, None, None, None),
+    (2, "http://a/1.png", 10, None, "jpg", None, None),
+    (3, "http://a/1.png", 10, 10, "png", 1.0, True),
+    (4, "http://a/2.png", 10, None, "png", None, None),
+    (5, "http://a/3.png", None, None, "png", None, None),
+    (6, "http://a/4.png", None, 12, "webp", None, None),
+    (7, "http://a/1.png", 9, None, "png", None, None),
+    (8, None, 10, None, "png", None, None),
+    (9, "http://a/none.png", 10, None, "png", None, None),
+]
+
+
+def test_resize_batch(spark, sources, tmp_path):
+    raw, path = spark.createDataFrame(REQUESTS, RAW), str(tmp_path / "store")
+    got = {r["request_id"]: r for r in resize.resize_batch(raw, sources, path, "http://cdn//", max_bytes=10**6).collect()}
+    assert len(got) == len(REQUESTS) and not any(r["cached"] for r in got.values())
+    assert got[1]["key"] == got[2]["key"] and got[1]["location"] == f"http://cdn/{got[1]['key']}"
+    assert got[3]["error"] is None
+    assert got[4]["error"] == "too large" and got[4]["location"] == "http://a/2.png"
+    assert got[5]["error"] == "status" and got[6]["error"] and got[7]["error"] == "width" and got[8]["error"] == "url"
+    assert got[9]["error"] == "no source" and got[9]["location"] == "http://a/none.png"
+    stored = store.read(spark, path)
+    assert stored.count() == 2
+    made = {r["key"]: codecs.decode(bytes(r["content"])) for r in stored.collect()}
+    assert made[got[1]["key"]].shape == (6, 10, 3) and made[got[3]["key"]].shape == (10, 10, 1)
+    again = {r["request_id"]: r for r in resize.resize_batch(raw, sources, path, "http://cdn", max_bytes=10**6).collect()}
+    assert again[1]["cached"] and again[3]["cached"] and not again[4]["cached"]
+    assert store.read(spark, path).count() == 2
+
+
+def test_probe_and_dedup_stand_below_the_pixel_step(spark, sources):
+    work = resize.derived(resize.work_list(resize.prepared(spark.createDataFrame(REQUESTS, RAW)), spark.createDataFrame([], store.DERIVATIVES)), sources, 10**6)
+    plan = work._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("LeftAnti")
+
+
+def test_unreadable_store_is_empty(spark, tmp_path):
+    assert store.read(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_keys_collide_as_documented_and_v2_does_not(spark):
+    rows = [(i, "u", w, h, "jpg", 5.0, None) for i, (w, h) in enumerate([(11, 1111), (111, 111), (1111, 11)])]
+    df = req.normalised(spark.createDataFrame(rows, RAW))
+    assert req.with_key(df).select("key").distinct().count() == 1
+    assert req.with_key(df, separated=True).select("key").distinct().count() == 3
+
+
+def test_float_text(spark):
+    df = spark.createDataFrame([(x,) for x in (5.0, 0.1, 2.5, 100.0, 0.0, 1e-7, None)], "x float").select(keys.float_text(F.col("x")).alias("t"))
+    assert [r["t"] for r in df.collect()] == ["5", "0.1", "2.5", "100", "0", "0.0000001", None]
+
+
+def test_download_refuses_unsafe_keys(spark):
+    held = spark.createDataFrame([("../x", None, b"s", 1), (HEX + ".png", None, b"old", 1), (HEX + ".png", "image/png", b"new", 2)], store.DERIVATIVES)
+    asked = spark.createDataFrame([("../x",), (HEX + ".png",), (HEX[:-1] + "1.png",)], "key string")
+    got = {r["key"]: r for r in store.downloaded(asked, held).collect()}
+    assert got["../x"]["error"] == "unsafe key" and bytes(got["../x"]["content"]) == b""
+    assert bytes(got[HEX + ".png"]["content"]) == b"new" and got[HEX + ".png"]["cache_control"]
+    assert got[HEX[:-1] + "1.png"]["error"] == "not found"
+
+
+def test_profiles():
+    p = config.resolved("HIGH_throughput", {"http_timeout_s": 3}, processors=8)
+    assert (p.max_concurrent_downloads, p.max_concurrent_processing, p.http_timeout_s, p.max_image_bytes, p.cpu_pool, p.enable_http2) == (50, 16, 3, 100 << 20, 8, True)
+    none = config.resolved("other", processors=8)
+    assert (none.enable_http2, none.cpu_pool, none.pool(8), none.max_concurrent_processing) == (False, None, 8, 8)
+    assert config.resolved("memory_efficient", processors=8).cpu_pool == 4
+    env = {"PIXELMILL_PROFILE": "low_latency", "PIXELMILL_ENABLE_HTTP2": "false", "PIXELMILL_CPU_POOL": "4"}
+    got = config.from_env(env, processors=8)
+    assert (got.max_concurrent_downloads, got.enable_http2, got.cpu_pool) == (10, False, 4)
+    with pytest.raises(ValueError):
+        config.from_env({"PIXELMILL_ENABLE_HTTP2": "maybe"})
+
+
+def test_store_choice():
+    all_of = config.Stores(s3={"endpoint": "e", "access_key": "a", "secret_key": "s", "bucket": "b"}, local="/x", memory=True, enabled=("memory", "s3", "local"))
+    assert config.chosen(all_of, env={}) == "s3" and config.chosen(all_of, "LocalFS", {}) == "local"
+    assert config.chosen(all_of, env={"STORAGE_TYPE": "inmemory"}) == "memory"
+    assert config.chosen(config.Stores(local="/x", enabled=("local",)), "s3", {}) == "local"
+    for bad in (config.Stores(), config.Stores(enabled=("local",)), config.Stores(local="/x", memory=True, enabled=("local", "memory"))):
+        with pytest.raises(ValueError):
+            config.chosen(bad, "s3", {})
+
+
+def test_http_guards():
+    assert http.allowed("http://img.example.com/a", {"img.example.com"})
+    assert not http.allowed("http://other/a", {"img.example.com"}) and not http.allowed("file:///etc/passwd", {""})
+    assert http.fetch("http://x/a", set(), 1, 1)[4] == "host not allowed"
+
+
+def test_http_source(spark):
+    spark.dataSource.register(http.HttpImages)
+    rows = spark.read.format("http_images").option("urls", '["http://nowhere.example/x"]').load().collect()
+    assert [r["error"] for r in rows] == ["host not allowed"]
+
+
+def test_files_and_size_guard(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(_png(5))
+    (tmp_path / "b.png").write_bytes(b"x" * 5000)
+    df = files.images(spark, str(tmp_path), most=1000)
+    assert [r["url"][-5:] for r in df.collect()] == ["a.png"]
+    assert "length" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream(spark, sources, tmp_path):
+    inbox, path, out = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "out")
+    for n, rows in enumerate((REQUESTS[:3], REQUESTS[1:4])):
+        spark.createDataFrame(rows, RAW).write.mode("append").parquet(str(inbox))
+        q = serve.serve(spark.readStream.schema(RAW).parquet(str(inbox)), sources, path, out, str(tmp_path / "cp"), "http://cdn")
+        q.awaitTermination(120)
+        assert q.exception() is None
+    answers = spark.read.parquet(out)
+    assert answers.count() == 6 and answers.where("cached").count() == 2 and store.read(spark, path).count() == 2
