@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import shared
 
 #: Neighbours returned, neighbours kept for each node on a level, nearest ones that they are chosen from, beam of a search.
-K, LINKS, CHOICE, BEAM = 20, 24, 96, 192
+K, LINKS, CHOICE, BEAM = 20, 24, 64, 128
 #: Vectors in a shard, queries in a block.
 SHARD, BLOCK = 16_384, 1024
 SHRINK = 16
