@@ -30,10 +30,10 @@ def permutations(keys: DataFrame, bucket: str, seed: int) -> DataFrame:
 
     The rows are one per memory-sized bucket, so the running sum over all of them is small beside the data.
     """
-    counts = keys.groupBy(bucket).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    perm = F.shuffle(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int")), seed)
-    return counts.withColumn("__before", before).repartition(bucket).sortWithinPartitions(bucket).withColumn("__perm", perm)
+    counts = keys.groupBy(bucket).agg(F.count(F.lit(1)).alias("__pm_n"))
+    before = F.coalesce(F.sum("__pm_n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    perm = F.shuffle(F.sequence(F.lit(0), (F.col("__pm_n") - 1).cast("int")), seed)
+    return counts.withColumn("__pm_before", before).repartition(bucket).sortWithinPartitions(bucket).withColumn("__pm_perm", perm)
 
 
 def assign(docs: DataFrame, n_shards: int, seed: int = 7, bucket_bytes: int = BUCKET_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,17 +41,17 @@ def assign(docs: DataFrame, n_shards: int, seed: int = 7, bucket_bytes: int = BU
     docs = docs.drop("shard", "slot")
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size_of(F.col(text))), F.lit(0)).alias("bytes")).first()
     n, buckets = total["n"], max(n_shards, -(-total["bytes"] // bucket_bytes))
-    docs = docs.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets)).cast("int"))
-    perms, _ = shared.cut(permutations(docs.select("__bucket"), "__bucket", seed), "perms")
-    place = Window.partitionBy("__bucket").orderBy(F.xxhash64(F.lit(~seed), F.col(key)), F.col(key), F.xxhash64(text))
+    docs = docs.withColumn("__pm_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets)).cast("int"))
+    perms, _ = shared.cut(permutations(docs.select("__pm_bucket"), "__pm_bucket", seed), "perms")
+    place = Window.partitionBy("__pm_bucket").orderBy(F.xxhash64(F.lit(~seed), F.col(key)), F.col(key), F.xxhash64(text))
     return (
-        docs.repartition(buckets, "__bucket")
-        .withColumn("__place", F.row_number().over(place) - 1)
-        .join(perms, "__bucket")
-        .withColumn("__rank", F.col("__before") + F.get("__perm", F.col("__place")))
-        .withColumn("shard", F.expr(f"int(__rank * {n_shards}L div {max(n, 1)}L)"))
-        .withColumn("slot", F.expr(f"__rank - (shard * {n}L + {n_shards - 1}L) div {n_shards}L"))
-        .drop("__bucket", "__place", "__n", "__before", "__perm", "__rank")
+        docs.repartition(buckets, "__pm_bucket")
+        .withColumn("__pm_place", F.row_number().over(place) - 1)
+        .join(perms, "__pm_bucket")
+        .withColumn("__pm_rank", F.col("__pm_before") + F.get("__pm_perm", F.col("__pm_place")))
+        .withColumn("shard", F.expr(f"int(__pm_rank * {n_shards}L div {max(n, 1)}L)"))
+        .withColumn("slot", F.expr(f"__pm_rank - (shard * {n}L + {n_shards - 1}L) div {n_shards}L"))
+        .drop("__pm_bucket", "__pm_place", "__pm_n", "__pm_before", "__pm_perm", "__pm_rank")
     )
 
 

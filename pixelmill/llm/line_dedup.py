@@ -49,18 +49,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """``docs`` with the repeated lines taken out of ``text``, and ``n_lines`` and ``n_removed`` (long; null text: 0)."""
     docs = docs.drop("n_lines", "n_removed")
     cols = docs.columns
-    starts = repeated(docs, key, text).withColumnRenamed("doc", "__doc").withColumnRenamed("starts", "__starts")
-    covered = F.flatten(F.transform("__starts", lambda p: F.sequence(p, p + WIDTH - 1)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), covered)
+    starts = repeated(docs, key, text).withColumnRenamed("doc", "__pm_doc").withColumnRenamed("starts", "__pm_starts")
+    covered = F.flatten(F.transform("__pm_starts", lambda p: F.sequence(p, p + WIDTH - 1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__pm_lines") - 1), covered)
     return (
-        docs.join(starts, docs[key].eqNullSafe(F.col("__doc")), "left")
-        .withColumn("__lines", _lines(text))
-        .withColumn("__kept", F.when(F.col("__starts").isNotNull(), kept))
+        docs.join(starts, docs[key].eqNullSafe(F.col("__pm_doc")), "left")
+        .withColumn("__pm_lines", _lines(text))
+        .withColumn("__pm_kept", F.when(F.col("__pm_starts").isNotNull(), kept))
         .select(
             *[c for c in cols if c != text],
-            F.when(F.col("__kept").isNull(), F.col(text)).otherwise(F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")).alias(text),
-            F.coalesce(F.size("__lines").cast("long"), F.lit(0)).alias("n_lines"),
-            F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__kept")).cast("long").alias("n_removed"),
+            F.when(F.col("__pm_kept").isNull(), F.col(text)).otherwise(F.array_join(F.transform("__pm_kept", lambda i: F.get("__pm_lines", i)), "\n")).alias(text),
+            F.coalesce(F.size("__pm_lines").cast("long"), F.lit(0)).alias("n_lines"),
+            F.when(F.col("__pm_kept").isNull(), F.lit(0)).otherwise(F.size("__pm_lines") - F.size("__pm_kept")).cast("long").alias("n_removed"),
         )
         .withColumn("n_lines", F.when(F.col("n_lines") < 0, F.lit(0)).otherwise(F.col("n_lines")))
         .select(*cols, "n_lines", "n_removed")
