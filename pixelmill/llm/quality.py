@@ -60,7 +60,7 @@ def counts(texts: list[bytes]) -> np.ndarray:
     keep[1:] = (s[1:] != s[:-1]) | (s[1:] > 3) | (s[1:] == 0)
     c, d = s[keep].astype(np.uint32), doc[keep]
     columns = TERMS - REPEATS
-    for size in (1, 2, 3, 4):
+    for size in range(1, min(4, len(c)) + 1):
         code = np.zeros(len(c) - size + 1, np.uint32)
         whole = np.ones(len(code), bool)
         for i in range(size):
