@@ -6,17 +6,17 @@
    union.
 3. ``ROWS`` neighbouring registers make a band; classes that agree in a band meet in a bucket. A pair of similarity 0.75
    agrees in none of the 40 bands with probability 2.5e-7.
-4. Buckets are not expanded into pairs. Every member is held against one pivot of its bucket, pairs whose joint likelihood
-   estimate is far below the threshold are left, the others are verified on the full sets, and verified links are merged
-   into components. As long as a bucket holds several components, the next round takes another pivot for it and leaves
-   out members of the pivot's component; small buckets are settled by all pairs that lie across components. So no two
-   members of a bucket stay unexamined unless they already are in one component.
-5. Components: the smallest key that is reachable over links, by rounds of minimum labels over written tables.
+4. A bucket's registers are compared in numpy, block against block, never as joined rows. A pair counts in the first band
+   in which it agrees, and only if its joint likelihood estimate is not far below the threshold. Of these pairs a task
+   returns a spanning forest, as many rows as members at most. What the forests connect is a family: every likely pair
+   lies in one.
+5. Every member of a family brings its full set, once for each block of the family; a block pair's exact intersections
+   are counted in rows of bits. Of the links a task returns a spanning forest again.
+6. Components: the smallest key that is reachable over links, by large and small stars over written tables.
 
 Defined cases: null, empty and blank texts have no set (n_shingles 0) and are linked with nothing, not even each other;
 a text of fewer than five words is one shingle; rows that are equal or share a key are one node; null keys have
-n_shingles but are linked with nothing (component null, kept); empty tables give no rows; columns named as an output
-column are replaced.
+n_shingles but are linked with nothing (component null, kept); empty tables give no rows; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -32,16 +32,15 @@ from . import shared
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-M, ROWS = 160, 4
-BANDS = M // ROWS
+#: Registers; those of the bands come first.
+M, ROWS, BANDS = 256, 4, 40
 #: Base of the exponential spacing, rate of the variates and largest register.
-BASE, RATE, TOP = 1.02, 20.0, 1200
-#: Pairs with a likelihood estimate below this are not verified. At M = 160 the estimate's standard deviation at 0.75 is 0.034.
-LEAST_ESTIMATE = 0.5
-#: Buckets of more members are first reduced by pivots, this many rounds at most, before pairs across components are taken.
-SMALL_BUCKET, PIVOT_ROUNDS = 24, 6
-#: Members that a block has where the pairs of a large bucket are taken.
-BLOCK = 64
+BASE, RATE, TOP = 1.001, 20.0, 40_000
+#: Pairs with a likelihood estimate below this join no family. The estimate's standard deviation at 0.75 is 0.027, so a
+#: link falls below with a probability of 1e-8.
+LEAST_ESTIMATE = 0.6
+#: Members of a block of a bucket, and of a family.
+BLOCK, FAMILY_BLOCK = 512, 512
 _RNG = np.random.default_rng(20240607)
 #: Register i hashes a shingle's x to x * MULTIPLIERS[i] + SHIFTS[i] modulo 2^32.
 MULTIPLIERS = _RNG.integers(0, 1 << 31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -143,139 +142,236 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(task, "key long, n long, h1 long, h2 long, regs binary")
 
 
+def _buckets(words: np.ndarray) -> np.ndarray:
+    """The buckets of rows of bands, each band's four registers as one word."""
+    return _mix(words + np.arange(1, BANDS + 1, dtype=np.uint64) * PLACES[0]).view(np.int64)
+
+
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(band, bucket, rep): a band's four registers of 16 bits are the bucket."""
-    hexed = F.hex(F.substring(F.col("regs"), F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS)))
-    return nodes.select("rep", "regs", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select("band", F.conv(hexed, 16, -10).cast("long").alias("bucket"), "rep")
+    """(bucket, rep), a row for each band: the hash of a band's registers and its number."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), "<u2").reshape(-1, M)[:, : BANDS * ROWS]
+                own = _buckets(np.ascontiguousarray(regs).view("<u8"))
+                for i in range(0, len(own), 1024):
+                    part = own[i : i + 1024]
+                    reps = pa.array(np.repeat(batch.column("rep").to_numpy()[i : i + 1024], BANDS))
+                    yield pa.RecordBatch.from_arrays([pa.array(part.reshape(-1)), reps], names=["bucket", "rep"])
+
+    return nodes.select("rep", "regs").mapInArrow(task, "bucket long, rep long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of links (a, b): large and small stars in turn until nothing changes, each round from a written table."""
-    edges = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct()
-    edges, path = shared.cut(edges, "edges")
-    sign = None
+    spark = links.sparkSession
+    edges, path = shared.cut(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "edges")
     while True:
+        # Done when every node either points to one other or is pointed to.
+        ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 or up > 0 and low > 0").isEmpty():
+            return edges.select(F.col("v").alias("node"), F.col("u").alias("comp"))
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u")).where("v <> u")
-        whole = small.unionByName(least.select("v", F.col("m").alias("u"))).distinct()
-        edges, new_path = shared.cut(whole, "edges")
-        shared.remove(links.sparkSession, path)
+        edges, new_path = shared.cut(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "edges")
+        shared.remove(spark, path)
         path = new_path
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == sign:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("comp"))
-        sign = now
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that may be links, by size and by estimate."""
-    left = nodes.toDF("a", "n_a", "regs_a")
-    right = nodes.toDF("b", "n_b", "regs_b")
-    fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    near = pairs.join(left, "a").join(right, "b").where(fit)
+class _Forest:
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rows = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, M)
-                of = lambda c: batch.column(c).to_numpy().astype(float)
-                good = estimate(rows("regs_a"), rows("regs_b"), of("n_a"), of("n_b")) >= LEAST_ESTIMATE
-                yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(good))
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
 
-    return near.mapInArrow(task, "a long, b long, n_a long, n_b long")
 
+def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group (equal ``group``, consecutive), some tens of thousands at a time. Groups with two sides
+    (0 and 1; else -1) pair across them."""
+    n, d, held_a, held_b, held = len(group), 1, [], [], 0
+    live = np.arange(n)
+    while True:
+        live = live[live + d < n]
+        live = live[group[live] == group[live + d]]
+        if not len(live):
+            break
+        own = live[(side[live] < 0) | (side[live] != side[live + d])]
+        held_a.append(own)
+        held_b.append(own + d)
+        held += len(own)
+        d += 1
+        if held > 30_000:
+            yield np.concatenate(held_a), np.concatenate(held_b)
+            held_a, held_b, held = [], [], 0
+    if held:
+        yield np.concatenate(held_a), np.concatenate(held_b)
+
+
+def _dealt(members: DataFrame, group: str, block: int) -> DataFrame:
+    """``members`` (group, of, rep, ...) by pairs of blocks: with i, j and ``side`` (-1 in a block's pair with itself, else
+    0 or 1), sorted so that a group's rows stand together. ``of``: the group's size."""
+    blocks = F.ceil(F.col("of") / block).cast("int")
+    rest = [c for c in members.columns if c != "of"]
+    dealt = members.select(*rest, F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select(*rest, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "rep")
+
+
+def _whole(batches: Iterator[pa.RecordBatch], group: str, rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, ``rows`` rows or more where there are so many, and the number of each row's group."""
+    held: list[pa.RecordBatch] = []
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        key = np.stack([table[c].to_numpy() for c in (group, "i", "j")])
+        return np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(0))])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            number = numbered(table)
+            cut = int(np.searchsorted(number, number[-1]))  # the last group may go on
+            if cut:
+                yield table.slice(0, cut), number[:cut]
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, numbered(table)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> pa.RecordBatch:
+    """Of pairs, those that join what earlier ones have not."""
+    trees, kept = _Forest(), []
+    for k in order.tolist():
+        if trees.join(int(a[k]), int(b[k])):
+            kept.append(k)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[kept]), pa.array(np.maximum(a, b)[kept])], names=["a", "b"])
+
+
+def _likely(members: DataFrame) -> DataFrame:
+    """A forest (a, b) of the likely pairs of members (bucket, of, rep, n, regs) of buckets."""
 
-def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(rep, set) of the wanted representatives."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole(batches, "bucket", 8192):
+            rep, n, side = (table[c].to_numpy() for c in ("rep", "n", "side"))
+            regs = np.frombuffer(b"".join(table["regs"].to_pylist()), "<u2").reshape(-1, M)
+            words = np.ascontiguousarray(regs[:, : BANDS * ROWS]).view("<u8")
+            band = (_buckets(words) == table["bucket"].to_numpy()[:, None]).argmax(1)
+            # Rows of one tree need no comparison, so a bucket of near copies costs about its size, not its square.
+            _, tree = np.unique(rep, return_inverse=True)
+            kept = []
+            for a, b in _pairs(group, side):
+                fit = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * PERCENT
+                a, b = a[fit], b[fit]
+                for k in range(0, len(a), 1024):
+                    x, y = a[k : k + 1024], b[k : k + 1024]
+                    apart = tree[x] != tree[y]
+                    x, y = x[apart], y[apart]
+                    first = (words[x] == words[y]).argmax(1) == band[x]
+                    x, y = x[first], y[first]
+                    near = (regs[x] == regs[y]).sum(1) >= (LEAST_ESTIMATE - 0.05) * M
+                    x, y = x[near], y[near]
+                    if len(x):
+                        ok = estimate(regs[x], regs[y], n[x].astype(float), n[y].astype(float)) >= LEAST_ESTIMATE
+                        for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                            if tree[i] != tree[j]:
+                                tree[tree == tree[j]] = tree[i]
+                                kept.append((rep[i], rep[j]))
+            if kept:
+                pairs = np.array(kept)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
+
+    return _dealt(members, "bucket", BLOCK).mapInArrow(task, "a long, b long")
+
+
+def _sets(docs: DataFrame, families: DataFrame, key: str, text: str) -> DataFrame:
+    """(family, of, rep, set) of the families' members, sets as sorted little-endian u64."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for sets, held in _batches(batch.column("text")):
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                values = pa.array(np.concatenate(sets).view(np.int64) if held else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(at, len(sets)), pa.ListArray.from_arrays(pa.array(ends), values)], names=["rep", "set"])
+            for sets, _ in _batches(batch.column("text")):
+                rest = [batch.column(c).slice(at, len(sets)) for c in ("family", "of", "rep")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["family", "of", "rep", "set"])
                 at += len(sets)
 
-    own = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi")
-    return own.mapInArrow(task, "rep long, set array<long>")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) that are links, on the full sets."""
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets, _ = shared.cut(_sets(docs, wanted, key, text).dropDuplicates(["rep"]), "sets")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    met = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    return met.where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * PERCENT).select("a", "b")
-
-
-class _Search:
-    """Links and components of class representatives, round by round."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, key: str, text: str) -> None:
-        self.docs, self.nodes, self.key, self.text, self.round = docs, nodes, key, text, 0
-        entries = _bands(nodes)
-        pivot = F.min_by("rep", F.xxhash64("rep", "band"))
-        shared_by = entries.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size"), pivot.alias("pivot")).where("size > 1")
-        shared_by, _ = shared.cut(shared_by, "buckets")
-        self.entries, _ = shared.cut(entries.join(shared_by, ["band", "bucket"]), "entries")
-        self.comps: DataFrame | None = None
-        self.links: DataFrame | None = None
-
-    def take(self, pairs: DataFrame) -> bool:
-        """Verifies pairs (a, b) and merges what is linked. False if nothing new was."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        likely, path = shared.cut(_likely(pairs, self.nodes), "likely")
-        if likely.isEmpty():
-            return False
-        links, _ = shared.cut(_verified(likely, self.docs, self.key, self.text), "links")
-        shared.remove(self.docs.sparkSession, path)
-        if links.isEmpty():
-            return False
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.comps, _ = shared.cut(components(self.links), "components")
-        return True
-
-    def labelled(self, entries: DataFrame) -> DataFrame:
-        """Entries of buckets that hold several components still, with ``comp``."""
-        if self.comps is None:
-            return entries.withColumn("comp", F.col("rep"))
-        named = entries.join(self.comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        named, _ = shared.cut(named, "named")
-        mixed = named.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "bucket")
-        mixed, _ = shared.cut(mixed, "mixed")
-        return named.join(mixed, ["band", "bucket"], "left_semi")
-
-    def run(self) -> DataFrame | None:
-        star = self.entries.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-        self.take(star)
-        entries = self.entries.where("size > 2").drop("pivot")
-        for k in range(PIVOT_ROUNDS):
-            left, _ = shared.cut(self.labelled(entries.where(F.col("size") > SMALL_BUCKET)), "left")
-            if left.isEmpty():
-                break
-            # A pivot from another component each round: the least by a hash of the round.
-            pivots = left.groupBy("band", "bucket").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(k), "band")).alias("p"))
-            pivots, _ = shared.cut(pivots.select("band", "bucket", F.col("p.rep").alias("b"), F.col("p.comp").alias("comp_b")), "pivots")
-            if not self.take(left.join(pivots, ["band", "bucket"]).where("comp <> comp_b").select(F.col("rep").alias("a"), "b")):
-                break
-        self.take(self.across(self.labelled(entries)))
-        return self.comps
-
-    @staticmethod
-    def across(entries: DataFrame) -> DataFrame:
-        """All pairs (a, b) of a bucket's members that lie in different components, block against block, so that a large
-        bucket is many small groups."""
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        entries = entries.select("band", "bucket", "rep", "comp", blocks.alias("of"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
-        other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
-        one = entries.select("band", "bucket", "rep", "comp", "block", other).where("block <= other").toDF("band", "bucket", "a", "comp_a", "i", "j")
-        two = entries.select("band", "bucket", "rep", "comp", "block", other).where("block >= other").toDF("band", "bucket", "b", "comp_b", "j", "i")
-        return one.join(two, ["band", "bucket", "i", "j"]).where("comp_a <> comp_b and (i < j or a < b)").select("a", "b")
+    own = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(shared.small(families), "rep")
+    return own.select("family", "of", "rep", "text").mapInArrow(task, "family long, of long, rep long, set binary")
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each left set shares with each right set."""
+    if len(left) * len(right) <= 4:
+        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left])
+    both = [*left, *right]
+    _, code = np.unique(np.concatenate(both), return_inverse=True)
+    row, out = np.repeat(np.arange(len(both)), [len(s) for s in both]), np.zeros((len(left), len(right)), np.int64)
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    for begin in range(0, int(code[-1]) + 1, 1 << 15):  # columns at a time
+        a, b = np.searchsorted(code, [begin, begin + (1 << 15)])
+        ones = np.zeros((len(both), min(1 << 15, int(code[b - 1]) - begin + 64) // 64 * 64), bool)
+        ones[row[a:b], code[a:b] - begin] = True
+        bits = np.packbits(ones, axis=1).view(np.uint64)
+        for i in range(len(left)):
+            out[i] += np.bitwise_count(bits[i] & bits[len(left) :]).sum(1, dtype=np.int64)
+    return out
+
+
+def _linked_in(sets: DataFrame) -> DataFrame:
+    """A forest (a, b) of the links within families."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole(batches, "family", 1):
+            rep, side = table["rep"].to_numpy(), table["side"].to_numpy()
+            sets = [np.frombuffer(x, "<u8") for x in table["set"].to_pylist()]
+            size = np.array([len(x) for x in sets])
+            found = []
+            for begin, end in zip(*(np.searchsorted(group, np.arange(group[-1] + 1), s) for s in ("left", "right")), strict=True):
+                own = np.arange(begin, end)
+                left, right = (own, own) if side[begin] < 0 else (own[side[own] == 0], own[side[own] == 1])
+                if len(left) and len(right) and len(own) > 1:
+                    shared_by = intersections([sets[k] for k in left], [sets[k] for k in right])
+                    union = size[left][:, None] + size[right][None, :] - shared_by
+                    x, y = np.nonzero((shared_by * 100 >= union * PERCENT) & (rep[left][:, None] < rep[right][None, :] if side[begin] < 0 else np.True_))
+                    found.append((rep[left[x]], rep[right[y]]))
+            if found:
+                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield _forest(a, b, np.arange(len(a)))
+
+    return _dealt(sets, "family", FAMILY_BLOCK).mapInArrow(task, "a long, b long")
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame | None:
+    """(node, comp) of all class representatives that have links; None without any."""
+    entries = _bands(nodes)
+    shared_by, _ = shared.cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where("of > 1"), "buckets")
+    members = entries.join(shared_by, "bucket").join(nodes, "rep").select("bucket", "of", "rep", "n", "regs")
+    likely, _ = shared.cut(_likely(members), "likely")
+    if likely.isEmpty():
+        return None
+    families, _ = shared.cut(components(likely).toDF("rep", "family"), "families")
+    families = families.unionByName(families.select(F.col("family").alias("rep"), "family").distinct())
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("of"))
+    families, _ = shared.cut(families.join(sizes, "family"), "families")
+    links, _ = shared.cut(_linked_in(_sets(docs, families, key, text)), "links")
+    return None if links.isEmpty() else shared.cut(components(links), "components")[0]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,7 +382,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members, _ = shared.cut(with_set.select("key", "n", "h1", "h2").join(classes, ["h1", "h2"]).select("key", "n", "rep"), "members")
     nodes = with_set.join(classes, ["h1", "h2"]).where("key = rep").select("rep", "n", "regs").dropDuplicates(["rep"])
     nodes, _ = shared.cut(nodes, "nodes")
-    comps = _Search(docs, nodes, key, text).run()
+    comps = _linked(docs, nodes, key, text)
     named = members.withColumn("component", F.col("rep")) if comps is None else members.join(comps.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     alone = found.where("n = 0 or key is null").select("key", "n", F.col("key").alias("component"))
     return named.select("key", "n", "component").unionByName(alone).select(
@@ -296,8 +392,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose key is their component's; rows with null keys stay."""
-    kept, _ = shared.cut(near_duplicates(docs, key, text).where("not kept").select(F.col(key).alias("__key")).distinct(), "copies")
-    return docs.join(kept, docs[key].cast("long") == F.col("__key"), "left_anti")
+    kept, _ = shared.cut(near_duplicates(docs, key, text).where("not kept").select(F.col(key).alias("__pm_key")).distinct(), "copies")
+    return docs.join(kept, docs[key].cast("long") == F.col("__pm_key"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -298,12 +298,12 @@ def test_near_duplicates(spark, texts):
     family = " ".join(f"w{i}" for i in range(80)).split()
     docs = texts + [(2000 + i, " ".join(w if rng.random() > 0.02 else "z" + w for w in family)) for i in range(90)]
     want = slow_components(docs)
-    for block in (256, 16):
+    for block in (512, 16):
         near_dedup.BLOCK = near_dedup.FAMILY_BLOCK = block
         got = near_dedup.near_duplicates(frame(spark, docs)).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
-    near_dedup.BLOCK, near_dedup.FAMILY_BLOCK = 256, 128
+    near_dedup.BLOCK, near_dedup.FAMILY_BLOCK = 512, 512
     assert {r["doc_id"] for r in near_dedup.dedup(frame(spark, docs)).collect()} == {k for k, (_, c) in want.items() if k == c}
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     odd = near_dedup.near_duplicates(frame(spark, [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None)])).collect()
