@@ -24,8 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same in texts that still have upper-case letters.
 CASED_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Its lower case depends on what stands beside the word.
-SIGMA = "\u03a3"
+#: The lower case of the first depends on what stands beside the word; the second is one of its two.
+SIGMA = "\u03a3", "\u03c3"
 
 
 def words(text: Column) -> Column:
@@ -44,60 +44,63 @@ def _hash(array: str, at: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(array, at + i) for i in range(n)])
 
 
-def fingerprints(hashed: DataFrame, key: str) -> DataFrame:
-    """Of texts whose word hashes are ``h``: (key, gram, pos, near, lead): each winnowed k-gram once, with the words
-    within reach of an extension: word ``pos + i`` is ``near[lead + i]``."""
-    span, reach = WINDOW - K + 1, WINDOW - K
-    grams = F.transform(F.sequence(F.lit(0), F.size("h") - K), lambda i: _hash("h", i, K))
+def _grams(array: str) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(array) - K), lambda i: _hash(array, i, K))
 
-    def pick(w: Column) -> tuple[Column, Column]:
-        least = F.least(*[F.get("g", w + i) for i in range(span)])
-        return least, F.coalesce(*[F.when(F.get("g", w + i) == least, w + i) for i in reversed(range(span))])
 
-    gram, pos = pick(F.col("w"))
+def _winnowed(texts: DataFrame, *carry: str) -> DataFrame:
+    """(carry, gram, pos) of texts with k-grams ``g``: the least of each window, each place once.
+
+    A hash's low three bits give way to its place, which makes the least of a window one place. Which of equal k-grams
+    that is does not matter, as items are taken with all of them (``tied``).
+    """
+    span, w = WINDOW - K + 1, F.col("w")
+    value = lambda i: F.get("g", w + i).bitwiseAND(F.lit(-8)).bitwiseOR((w + i).bitwiseAND(F.lit(7)).cast("long"))
     return (
-        hashed.where(F.size("h") >= WINDOW)
-        .select(key, "h", grams.alias("g"))
-        .select(key, "h", "g", F.explode(F.sequence(F.lit(0), F.size("g") - span)).alias("w"))
-        .select(key, "h", "w", gram.alias("gram"), pos.alias("pos"), pick(F.col("w") - 1)[1].alias("previous"))
-        .where((F.col("w") == 0) | (F.col("pos") != F.col("previous")))
-        .select(key, "gram", "pos", F.slice("h", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.lit(WINDOW + reach)).alias("near"), F.least("pos", F.lit(reach)).alias("lead"))
+        texts.select(*carry, "g", F.explode(F.sequence(F.lit(0), F.size("g") - span)).alias("w"))
+        .select(*carry, "w", F.least(*[value(i) for i in range(span - 1)]).alias("inside"), value(-1).alias("before"), value(span - 1).alias("after"))
+        .select(*carry, "w", F.least("inside", "after").alias("least"), F.least("inside", "before").alias("previous"))
+        .where((F.col("w") == 0) | (F.col("least") != F.col("previous")))
+        .select(*carry, F.col("least").bitwiseAND(F.lit(-8)).alias("gram"), (w + (F.col("least").bitwiseAND(F.lit(7)).cast("int") - w).bitwiseAND(F.lit(7))).alias("pos"))
     )
 
 
+def tied(texts: DataFrame, *carry: str) -> DataFrame:
+    """(carry, gram, pos) of texts with k-grams ``g``: every place that holds the least of a window."""
+    span = WINDOW - K + 1
+    low = F.transform("g", lambda x: x.bitwiseAND(F.lit(-8)))
+    each = texts.select(*carry, low.alias("g")).select(*carry, "g", F.explode(F.sequence(F.lit(0), F.size("g") - span)).alias("w"))
+    each = each.select(*carry, "g", "w", F.array_min(F.slice("g", F.col("w") + 1, F.lit(span))).alias("gram"))
+    places = F.filter(F.sequence(F.col("w"), F.col("w") + span - 1), lambda p: F.get("g", p) == F.col("gram"))
+    return each.select(*carry, "gram", F.explode(places).alias("pos")).distinct()
+
+
+def _near(found: DataFrame, key: str) -> DataFrame:
+    """With the words within reach of an extension: word ``pos + i`` is ``near[lead + i]``."""
+    reach = WINDOW - K
+    near = F.slice("h", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.lit(WINDOW + reach))
+    return found.select(key, "gram", "pos", near.alias("near"), F.least("pos", F.lit(reach)).alias("lead"))
+
+
+def _lowered(text: Column) -> Column:
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), *map(F.lit, SIGMA)))
+
+
 def suspects(docs: DataFrame, theirs: DataFrame) -> DataFrame:
     """(doc): the texts that share a winnowed k-gram with an item, words taken in Unicode's lower case.
 
-    Words that are equal but for A-Z are equal in Unicode's lower case too (but beside a capital sigma, so texts that
-    hold one are suspects), and that case is much faster to make; so this pass over all texts is the cheap one, and the
-    exact one sees suspects alone. A hash's low three bits give way to its place, which makes the least of a window one
-    place; which of equal k-grams that is does not matter, as ``theirs`` holds the k-grams of all of them.
+    Words that are equal but for A-Z are equal in Unicode's lower case too, and that case is much faster to make; so this
+    pass over all texts is the cheap one, and the exact one sees suspects alone.
     """
-    span, w = WINDOW - K + 1, F.col("w")
-    cased = F.coalesce(F.col("text"), F.lit(""))
-    hashed = F.transform(F.split(F.lower(cased), GAP), lambda t: F.xxhash64(t))
-    value = lambda i: F.get("g", w + i).bitwiseAND(F.lit(-8)).bitwiseOR((w + i).bitwiseAND(F.lit(7)).cast("long"))
-    found = (
-        docs.select("doc", hashed.alias("h"))
-        .where(F.size("h") >= WINDOW)
-        .select("doc", F.transform(F.sequence(F.lit(0), F.size("h") - K), lambda i: _hash("h", i, K)).alias("g"))
-        .select("doc", "g", F.explode(F.sequence(F.lit(0), F.size("g") - span)).alias("w"))
-        .select("doc", "w", F.least(*[value(i) for i in range(span - 1)]).alias("inside"), value(-1).alias("before"), value(span - 1).alias("after"))
-        .select("doc", "w", F.least("inside", "after").alias("least"), F.least("inside", "before").alias("previous"))
-        .where((F.col("w") == 0) | (F.col("least") != F.col("previous")))
-        .select("doc", F.col("least").bitwiseAND(F.lit(-8)).alias("low"))
-        .join(shared.small(theirs), "low", "left_semi")
-    )
-    return found.select("doc").unionByName(docs.where(F.contains(cased, F.lit(SIGMA))).select("doc")).distinct()
+    hashed = F.transform(F.split(_lowered(F.col("text")), GAP), lambda t: F.xxhash64(t))
+    grams = docs.select("doc", hashed.alias("h")).where(F.size("h") >= WINDOW).select("doc", _grams("h").alias("g"))
+    return _winnowed(grams, "doc").select("doc", "gram").join(shared.small(theirs), "gram", "left_semi").select("doc").distinct()
 
 
 def low_grams(items: DataFrame) -> DataFrame:
-    """(low): all least k-grams of all windows of items, as ``suspects`` makes them."""
-    span = WINDOW - K + 1
-    hashed = F.transform(F.array_remove(F.split(F.lower("text"), GAP), ""), lambda t: F.xxhash64(t))
-    grams = F.transform(F.sequence(F.lit(0), F.size("h") - K), lambda i: _hash("h", i, K).bitwiseAND(F.lit(-8)))
-    least = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("g") - span + 1), lambda i: F.array_min(F.slice("g", i, span))))
-    return items.select(hashed.alias("h")).where(F.size("h") >= WINDOW).select(grams.alias("g")).select(F.explode(least).alias("low")).distinct()
+    """(gram): the winnowed k-grams of items, as ``suspects`` makes them."""
+    hashed = F.transform(F.array_remove(F.split(_lowered(F.col("text")), GAP), ""), lambda t: F.xxhash64(t))
+    return tied(items.select(hashed.alias("h")).where(F.size("h") >= WINDOW).select(_grams("h").alias("g"))).select("gram").distinct()
 
 
 def _run(equal: list[Column]) -> Column:
@@ -115,12 +118,15 @@ def occurrences(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     raw = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     low, _ = shared.cut(low_grams(items.select(F.coalesce(F.col(text), F.lit("")).alias("text"))), "low")
     near, _ = shared.cut(suspects(raw, low), "suspects")
-    long = hashed(raw.join(shared.small(near.toDF("__near")), F.col("doc").eqNullSafe(F.col("__near")), "left_semi"), "doc", "doc")
+    # Written, else conditions on the words are pushed below the join and evaluated on every text.
+    suspected, _ = shared.cut(raw.join(shared.small(near.toDF("__pm_near")), F.col("doc").eqNullSafe(F.col("__pm_near")), "left_semi"), "texts")
     docs = hashed(raw, "doc", "doc")
     items, _ = shared.cut(hashed(items, item, "item").where(F.size("h") > 0), "items")
-    theirs, _ = shared.cut(fingerprints(items, "item").toDF("item", "gram", "ipos", "inear", "ilead"), "fingerprints")
+    long = lambda df, of: df.where(F.size("h") >= WINDOW).select(of, "h", _grams("h").alias("g"))
+    theirs, _ = shared.cut(_near(tied(long(items, "item"), "item", "h"), "item").toDF("item", "gram", "ipos", "inear", "ilead"), "fingerprints")
     same = lambda i: F.coalesce(F.get("near", F.col("lead") + i) == F.get("inear", F.col("ilead") + i), F.lit(False))
-    met = fingerprints(long, "doc").join(shared.small(theirs), "gram")
+    ours = _near(_winnowed(long(hashed(suspected, "doc", "doc"), "doc"), "doc", "h"), "doc")
+    met = ours.join(shared.small(theirs), "gram")
     seed = same(0)
     for i in range(1, K):
         seed = seed & same(i)
@@ -140,16 +146,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     out = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     docs = docs.drop(*out)
     covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("n") - 1))))
-    hits = occurrences(docs, items, key, text).groupBy(F.col("doc").alias("__doc")).agg(
-        F.size(covered).cast("long").alias("__hit"), F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("__items")
+    hits = occurrences(docs, items, key, text).groupBy(F.col("doc").alias("__pm_doc")).agg(
+        F.size(covered).cast("long").alias("__pm_hit"), F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("__pm_items")
     )
     none = F.lit(0).cast("long")
     return (
         docs.withColumn("n_words", count_words(F.col(text)))
-        .join(hits, docs[key].eqNullSafe(F.col("__doc")), "left")
-        .withColumn("n_hit", F.coalesce("__hit", none))
-        .withColumn("n_items", F.when(F.col("__items").isNull(), none).otherwise(F.size("__items").cast("long")))
-        .withColumn("items_sha256", F.sha2(F.coalesce(F.array_join("__items", ","), F.lit("")).cast("binary"), 256))
+        .join(hits, docs[key].eqNullSafe(F.col("__pm_doc")), "left")
+        .withColumn("n_hit", F.coalesce("__pm_hit", none))
+        .withColumn("n_items", F.when(F.col("__pm_items").isNull(), none).otherwise(F.size("__pm_items").cast("long")))
+        .withColumn("items_sha256", F.sha2(F.coalesce(F.array_join("__pm_items", ","), F.lit("")).cast("binary"), 256))
         .withColumn("contaminated", F.col("n_hit") > 0)
         .select(*docs.columns, *out)
     )
@@ -157,8 +163,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no window of an item."""
-    hit, _ = shared.cut(occurrences(docs, items, key, text).select(F.col("doc").alias("__doc")).distinct(), "hit")
-    return docs.join(shared.small(hit), docs[key].eqNullSafe(F.col("__doc")), "left_anti")
+    hit, _ = shared.cut(occurrences(docs, items, key, text).select(F.col("doc").alias("__pm_doc")).distinct(), "hit")
+    return docs.join(shared.small(hit), docs[key].eqNullSafe(F.col("__pm_doc")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
