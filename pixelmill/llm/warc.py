@@ -30,7 +30,7 @@ from . import shared
 DICTIONARY_FRAME = 0x184D2A5D
 FRAME = 0xFD2FB528
 #: Uncompressed bytes of an archive, and of its first records that the dictionary is trained from.
-ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 32 << 20, 2 << 20, 64 << 10
+ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 32 << 20, 1 << 20, 32 << 10
 #: Payloads of at least so many bytes are deduplicated.
 LEAST_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
@@ -41,13 +41,13 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record; the id of a page is its record id."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, sha: str) -> bytes:
+    """One WARC record; the id of a page is its record id, ``sha`` the payload's SHA-1 in hex."""
     block = b"" if revisit else payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url))
-    head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Payload-Length: {len(payload)}"]
+    head += [f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha)).decode()}", f"WARC-Payload-Length: {len(payload)}"]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'null' if refers_to is None else refers_to}>"]
     head += ["Content-Type: text/html", f"Content-Length: {len(block)}", "", ""]
@@ -145,7 +145,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> DataFr
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     pages = pages.withColumn("sha", F.sha1("payload"))
     # Only payloads that come more than once; written, so that a hot one's partition can be split in the join.
-    shared_by = pages.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("refers_to"), F.count("page_id").alias("ids"))
+    shared_by = pages.where(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("refers_to"))
     shared_by, _ = shared.cut(shared_by.where("n > 1").select("sha", "refers_to"), "payloads")
     named = pages.join(shared.small(shared_by), "sha", "left").withColumn("again", F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.octet_length("payload") >= least_bytes))
 
@@ -163,7 +163,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> DataFr
                 held = 0
 
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "refers_to", "again")), strict=True):
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "refers_to", "again", "sha")), strict=True):
                 own.append(record(*(x.as_py() for x in row)))
                 held += len(own[-1])
                 if held >= ARCHIVE_BYTES:
@@ -172,7 +172,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> DataFr
         cols = list(zip(*done, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["part", "archive", "records"])
 
-    out = named.select("page_id", "url", "payload", "refers_to", "again").mapInArrow(task, "part long, archive long, records long")
+    out = named.select("page_id", "url", "payload", "refers_to", "again", "sha").mapInArrow(task, "part long, archive long, records long")
     return shared.cut(out, "archives")[0]
 
 
