@@ -48,7 +48,7 @@ class WaveletMatrix:
             whole[: len(packed)] = packed
             ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(whole.view("<u8")).reshape(-1, STEP // 64).sum(1))]).astype("<u4"))
             bits.append(packed)
-            x = np.concatenate((x[~one], x[one]))
+            x = np.concatenate((np.compress(~one, x), np.compress(one, x)))
         return cls(len(x), bits, ranks)
 
     def decode(self) -> np.ndarray:
@@ -151,16 +151,29 @@ def load(data: bytes) -> tuple[WaveletMatrix, list, np.ndarray, int]:
     return WaveletMatrix(n, [np.frombuffer(b, np.uint8) for b in blocks[3::2]], [np.frombuffer(b, "<u4") for b in blocks[4::2]]), keys, lens, before
 
 
+def in_order(docs: DataFrame, partitions: int) -> DataFrame:
+    """(part, key, text): parts are ranges of keys in ascending order, each in one task and sorted there. The ranges come
+    from the keys alone, so texts are read once (a range partitioning would read them a second time for its sample)."""
+    from pyspark.ml.feature import Bucketizer
+
+    shares = [i / partitions for i in range(1, partitions)]
+    found = docs.agg(F.percentile_approx(F.col("key").cast("double"), shares, 10_000).alias("q")).first()["q"] if shares else None
+    splits = [float("-inf"), *sorted(set(found or [])), float("inf")]
+    if len(splits) > 2:
+        docs = Bucketizer(splits=splits, inputCol="at", outputCol="part").transform(docs.withColumn("at", F.coalesce(F.col("key").cast("double"), F.lit(float("-inf")))))
+    else:
+        docs = docs.withColumn("part", F.lit(0))
+    return docs.select(F.col("part").cast("long").alias("part"), "key", "text").repartition(partitions, "part").sortWithinPartitions("part", "key", F.xxhash64("text"))
+
+
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_ids: int = SHARD_IDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes ``path/part-P-S.wm`` in ascending key order; returns (part, shard, docs, ids), a row a file, already done."""
     spark = docs.sparkSession
     shared.make_dirs(spark, path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        enc, part = tokens.encoder(tokenizer or tokens.default_path()), TaskContext.get().partitionId()
-        ids, keys, lens, held, before, shard, done = [], [], [], 0, 0, 0, []
+        enc = tokens.encoder(tokenizer or tokens.default_path())
+        part, ids, keys, lens, held, before, shard, done = -1, [], [], [], 0, 0, 0, []
 
         def close() -> None:
             nonlocal held, before, shard
@@ -173,10 +186,13 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_ids: i
         for batch in batches:
             for piece in tokens.slices(batch, "text"):
                 flat, n = tokens.ends(*enc.encode(piece.column("text")))
-                own, at, pos = piece.column("key").to_pylist(), 0, np.concatenate([[0], np.cumsum(n)])
+                own, at, pos, parts = piece.column("key").to_pylist(), 0, np.concatenate([[0], np.cumsum(n)]), piece.column("part").to_numpy()
                 while at < len(own):
-                    # as many documents as the shard takes, the one that fills it included
-                    to = min(len(own), int(np.searchsorted(pos, pos[at] + shard_ids - held, "left")))
+                    if parts[at] != part:
+                        close()
+                        part, before, shard = int(parts[at]), 0, 0
+                    # as many documents of the part as the shard takes, the one that fills it included
+                    to = min(int(np.searchsorted(pos, pos[at] + shard_ids - held, "left")), int(np.searchsorted(parts, part, "right")))
                     to = max(to, at + 1)
                     ids.append(flat[pos[at] : pos[to]])
                     keys += own[at:to]
@@ -188,8 +204,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_ids: i
         close()
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)] if done else [pa.array([], pa.int64())] * 4, names=["part", "shard", "docs", "ids"])
 
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key")
-    ordered = ordered.sortWithinPartitions("key", F.xxhash64("text"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = in_order(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), partitions)
     return shared.cut(ordered.mapInArrow(task, "part long, shard long, docs long, ids long"), "shards")[0]
 
 
@@ -210,7 +226,7 @@ def _read(spark, path: str, manifest: DataFrame, column: str, of) -> DataFrame:
                 cuts = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(starts + before), pa.array(lens), of(cuts)], names=["part", "key", "start", "n_tokens", name])
 
-    # A row for each partition of the writing job, whatever the data's size.
+    # A row for each part of the writing job, whatever the data's size.
     parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids"))
     base = parts.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     if manifest.isEmpty():
