@@ -2,11 +2,14 @@
 
 Vectors are lifted to equal norms (one more component), which makes the largest inner product the nearest neighbour. A
 shard is a bounded number of vectors; equal vectors of a shard are one node. Each level of a shard's graph holds a
-geometrically smaller share of its nodes; a node's neighbours on a level are its nearest ones there, thinned so that each
-is nearer to the node than to any kept one, with back links, as flat integer arrays. A search goes greedily down the
-levels and then keeps a beam of ``BEAM`` nodes on the lowest, for all queries of a block at once. Shards of up to
-``BEAM`` nodes are searched exactly by the same beam. The shards' best are merged; scores are computed on the original
-vectors in double precision.
+geometrically smaller share of its nodes, drawn at random, and of every node one among its ``LINKS`` nearest, so that no
+group of near copies is without a node above. A node's neighbours on a level are its nearest ones there, thinned so that each
+is nearer to the node than to any kept one, with back links, and a few chosen likewise from the nearest nodes of each
+higher level, which lead out of groups larger than ``CHOICE``; every node of a level can be reached from the level above.
+A search keeps a beam of ``UPPER`` nodes down the levels and of ``BEAM`` nodes on the lowest, for all queries of a block
+at once. The first level that it enters, of ``SCAN`` nodes at most, and levels of no more nodes than the beam are searched
+exactly. The shards' best are merged; scores are computed on
+the original vectors in double precision.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
 different lengths are never compared; null ids take no part; ties go to the smaller id; a candidate that shares the
@@ -25,45 +28,68 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import shared
 
 #: Neighbours returned, neighbours kept for each node on a level, nearest ones that they are chosen from, beam of a search.
-K, LINKS, CHOICE, BEAM = 20, 24, 64, 128
+K, LINKS, CHOICE, BEAM = 20, 24, 96, 192
+#: Links to nodes of higher levels, nearest ones of each level that they are chosen from, beam on the higher levels, nodes of a higher level that
+#: are rather compared all, in one product, than walked to.
+FAR, FAR_CHOICE, UPPER, SCAN = 8, 32, 64, 4096
 #: Vectors in a shard, queries in a block.
 SHARD, BLOCK = 16_384, 1024
 SHRINK = 16
 RESULT = "query_id long, vec_id long, score double"
 
 
-def _nearest(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
-    """The k nearest rows of each row (not itself), nearest first, by inner product of rows of equal norm."""
-    out = np.empty((len(x), k), np.int32)
+def _nearest(x: np.ndarray, k: int, among: np.ndarray | None = None, block: int = 1024) -> np.ndarray:
+    """The k nearest rows of each row (not itself; of ``among``), nearest first, by inner product of rows of equal norm."""
+    among = np.arange(len(x)) if among is None else among
+    if not k:
+        return np.empty((len(x), 0), np.int32)
+    out, y = np.empty((len(x), k), np.int32), x[among]
     for i in range(0, len(x), block):
-        near = x[i : i + block] @ x.T
-        near[np.arange(len(near)), np.arange(i, i + len(near))] = -np.inf
+        near = x[i : i + block] @ y.T
+        own = np.flatnonzero((among >= i) & (among < i + len(near)))
+        near[among[own] - i, own] = -np.inf
         best = np.argpartition(near, -k, axis=1)[:, -k:] if k < near.shape[1] else np.argsort(near, axis=1)[:, -k:]
         order = np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable")
-        out[i : i + block] = np.take_along_axis(best, order, 1)
+        out[i : i + block] = among[np.take_along_axis(best, order, 1)]
     return out
 
 
-def _links(x: np.ndarray, most: int) -> np.ndarray:
-    """A level's neighbour array, a row a node, -1 where there is none."""
+def _thinned(x: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+    """Of each node's candidates, nearest first, those that are nearer to it than to any kept one; -1 where there is none."""
     n = len(x)
-    out = np.full((n, 2 * most), -1, np.int32)
-    if n < 2:
-        return out
-    near = _nearest(x, min(CHOICE, n - 1))
+    out, count = np.full((n, most), -1, np.int32), np.zeros(n, np.int64)
     score = np.empty(near.shape, np.float32)
     for i in range(0, n, 4096):
         score[i : i + 4096] = np.einsum("nd,nkd->nk", x[i : i + 4096], x[near[i : i + 4096]])
-    count = np.zeros(n, np.int64)
     for j in range(near.shape[1]):
-        open_ = np.flatnonzero(count < most)
+        open_ = np.flatnonzero((count < most) & (near[:, j] != np.arange(n)))
         c = near[open_, j]
-        kept = out[open_, :most]
+        kept = out[open_]
         between = np.einsum("nd,nkd->nk", x[c], x[kept])
         between[kept < 0] = -np.inf
         own = open_[(between.max(1) < score[open_, j]) | (count[open_] == 0)]
         out[own, count[own]] = near[own, j]
         count[own] += 1
+    return out
+
+
+def _above(near: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """The nodes of the next level: the drawn ones, and more until each node or one of its nearest is there."""
+    held = np.zeros(len(near), bool)
+    held[drawn] = True
+    near = near[:, :LINKS]
+    for i in np.flatnonzero(~held & ~held[near].any(1)):
+        held[i] = not held[near[i]].any()
+    return np.flatnonzero(held)
+
+
+def _links(x: np.ndarray, near: np.ndarray, upper: list[np.ndarray]) -> np.ndarray:
+    """A level's neighbour array, a row a node, -1 where there is none. ``upper``: the nodes of each higher level."""
+    n, most = len(x), LINKS
+    if n < 2:
+        return np.full((n, 1), -1, np.int32)
+    out = np.full((n, 2 * most), -1, np.int32)
+    out[:, :most] = _thinned(x, near, most)
     # Back links into the second half of the rows, nearest first, as far as there is room.
     a, k = np.nonzero(out[:, :most] >= 0)
     b = out[a, k]
@@ -72,7 +98,40 @@ def _links(x: np.ndarray, most: int) -> np.ndarray:
     place = np.arange(len(b)) - np.searchsorted(b, b)
     room = place < most
     out[b[room], most + place[room]] = a[room]
-    return out
+    if not upper:
+        return out
+    far = np.hstack([_nearest(x, min(FAR_CHOICE, len(u)), u) for u in upper])
+    far_score = np.empty(far.shape, np.float32)
+    for i in range(0, n, 4096):
+        far_score[i : i + 4096] = np.einsum("nd,nkd->nk", x[i : i + 4096], x[far[i : i + 4096]])
+    far = np.take_along_axis(far, np.argsort(-far_score, axis=1, kind="stable"), 1)
+    return _joined(x, np.hstack([out, _thinned(x, far, FAR)]), near, upper[0])
+
+
+def _joined(x: np.ndarray, links: np.ndarray, near: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The links, and more until every node can be reached from the entries."""
+    reached = np.zeros(len(x), bool)
+
+    def walk(at: np.ndarray) -> None:
+        reached[at] = True
+        while len(at):
+            at = np.unique(links[at])
+            at = at[(at >= 0) & ~reached[at]]
+            reached[at] = True
+
+    walk(entries)
+    for i in range(len(x)):
+        if reached[i]:
+            continue
+        free = near[i][reached[near[i]] & (links[near[i]] < 0).any(1)]
+        if not len(free):
+            if not len(free := np.flatnonzero(reached & (links < 0).any(1))):
+                links = np.hstack([links, np.full((len(x), 1), -1, np.int32)])
+                free = np.flatnonzero(reached)
+            free = free[np.argsort(-(x[free] @ x[i]), kind="stable")]
+        links[free[0], (links[free[0]] < 0).argmax()] = i
+        walk(np.array([i]))
+    return links
 
 
 class Graph:
@@ -93,50 +152,47 @@ class Graph:
         out = cls(vectors[first], ids[kept], np.cumsum(np.bincount((np.cumsum(new) - 1)[kept], minlength=len(first))))
         norm = (out.vectors.astype(float) ** 2).sum(1)
         lifted = np.hstack([out.vectors, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]]).astype(np.float32)
-        # A node's level: geometric, by a fixed permutation of the nodes.
-        rank = np.random.default_rng(3).permutation(len(lifted))
-        out.levels, size = [], len(lifted)
-        while True:
-            nodes = np.sort(rank[:size]).astype(np.int32)
-            local = _links(lifted[nodes], LINKS)
-            out.levels.append((nodes, np.where(local >= 0, nodes[local], -1).astype(np.int32)))
-            if size <= SHRINK * 4:
-                return out
+        # A node's level: geometric, by a fixed permutation of the nodes, and where a neighbourhood has no node above.
+        rank = np.argsort(np.random.default_rng(3).permutation(len(lifted)))
+        levels, size = [(np.arange(len(lifted)), _nearest(lifted, min(CHOICE, len(lifted) - 1)))], len(lifted)
+        while len(levels[-1][0]) > SHRINK * 4:
             size //= SHRINK
+            nodes, near = levels[-1]
+            nodes = nodes[_above(near, np.flatnonzero(rank[nodes] < size))]
+            if 2 * len(nodes) > len(levels[-1][0]):
+                break
+            levels.append((nodes, _nearest(lifted[nodes], min(CHOICE, len(nodes) - 1))))
+        out.levels = []
+        for i, (nodes, near) in enumerate(levels):
+            local = _links(lifted[nodes], near, [np.searchsorted(nodes, u) for u, _ in levels[i + 1 :]])
+            out.levels.append((nodes.astype(np.int32), np.where(local >= 0, nodes[local], -1).astype(np.int32)))
+        return out
 
     def search(self, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The beam's nodes and scores for each query, best first (-1 and -inf where there are fewer)."""
-        q = queries.astype(np.float32)
-        top, _ = self.levels[-1]
-        at = top[(q @ self.vectors[top].T).argmax(1)]
-        for nodes, links in self.levels[-2:0:-1]:
-            at = self._greedy(q, at, nodes, links)
-        return self._beam(q, at, self.levels[0][1], min(beam, len(self.vectors)))
-
-    def _greedy(self, q: np.ndarray, at: np.ndarray, nodes: np.ndarray, links: np.ndarray) -> np.ndarray:
-        score, open_ = np.einsum("nd,nd->n", q, self.vectors[at]), np.arange(len(q))
-        while len(open_):
-            near = links[np.searchsorted(nodes, at[open_])]
-            s = np.einsum("nd,nkd->nk", q[open_], self.vectors[near])
-            s[near < 0] = -np.inf
-            best = s.argmax(1)
-            row = np.arange(len(open_))
-            better = s[row, best] > score[open_]
-            open_, chosen, top = open_[better], near[row, best][better], s[row, best][better]
-            at[open_], score[open_] = chosen, top
-        return at
-
-    def _beam(self, q: np.ndarray, at: np.ndarray, links: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        q, at = queries.astype(np.float32), None
+        start = next((i for i, (nodes, _) in enumerate(self.levels) if i and len(nodes) <= SCAN), len(self.levels) - 1)
+        for nodes, links in self.levels[start:0:-1]:
+            at, _ = self._beam(q, at, nodes, links, UPPER)
+        return self._beam(q, at, *self.levels[0], beam)
+
+    def _beam(self, q: np.ndarray, at: np.ndarray | None, nodes: np.ndarray, links: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """From the nodes ``at`` (-1: none) of each query; a level that nothing leads to is searched exactly."""
         n, rows = len(q), np.arange(len(q))
+        if at is None or beam >= len(nodes):
+            s = q @ self.vectors[nodes].T
+            keep = np.argpartition(-s, beam - 1, axis=1)[:, :beam] if beam < len(nodes) else np.broadcast_to(np.arange(len(nodes)), s.shape)
+            best = np.take_along_axis(s, keep, 1)
+            order = np.argsort(-best, axis=1, kind="stable")
+            return nodes[np.take_along_axis(keep, order, 1)], np.take_along_axis(best, order, 1)
+        at, place = at[:, :beam], np.zeros(len(self.vectors), np.int32)
+        place[nodes] = np.arange(len(nodes))
         seen = np.zeros((n, len(self.vectors)), bool)
         node, score, done = np.full((n, beam), -1, np.int32), np.full((n, beam), -np.inf, np.float32), np.ones((n, beam), bool)
-        node[:, 0], score[:, 0], done[:, 0] = at, np.einsum("nd,nd->n", q, self.vectors[at]), False
-        seen[rows, at] = True
-        if beam == len(self.vectors):  # every node is in the beam, whatever the links
-            every = np.broadcast_to(np.arange(beam, dtype=np.int32), (n, beam))
-            s = q @ self.vectors.T
-            order = np.argsort(-s, axis=1, kind="stable")
-            return np.take_along_axis(every, order, 1), np.take_along_axis(s, order, 1)
+        m = at.shape[1]
+        node[:, :m], score[:, :m] = at, np.where(at < 0, -np.inf, np.einsum("nd,nkd->nk", q, self.vectors[at]))
+        done[:, :m] = at < 0
+        seen[np.broadcast_to(rows[:, None], at.shape)[at >= 0], at[at >= 0]] = True
         open_ = rows
         while len(open_):
             masked = np.where(done[open_], -np.inf, score[open_])
@@ -146,7 +202,7 @@ class Graph:
             if not len(open_):
                 break
             done[open_, best] = True
-            near = links[node[open_, best]]
+            near = links[place[node[open_, best]]]
             fresh = (near >= 0) & ~seen[open_[:, None], near]
             s = np.einsum("nd,nkd->nk", q[open_], self.vectors[near])
             s[~fresh] = -np.inf

@@ -405,6 +405,33 @@ def test_neighbours(spark, n, dim, shard):
     assert set(got) == set(range(0, n, 20)) and hit / total >= 0.9
 
 
+def test_groups_of_near_copies():
+    rng = np.random.default_rng(1)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    sizes = [65] * 40 + [70] * 60 + [300, 3000]
+    v = np.concatenate([unit(rng.normal(size=(500, 64)))] + [unit(unit(rng.normal(size=64)) + 0.001 * rng.normal(size=(n, 64))) for n in sizes]).astype(np.float32)
+    v = v[rng.permutation(len(v))]
+    node, score = (graph := hnsw.Graph.build(np.arange(len(v)), v)).search(v[::7])
+    exact = -np.sort(-(v[::7] @ graph.vectors.T), axis=1)[:, :20]
+    hits = (score[:, :20] >= exact[:, 19:] - 1e-6).sum(1)
+    assert (hits == 0).sum() == 0 and hits.mean() > 0.99 * 20
+    assert all(len(np.unique(x[x >= 0])) == (x >= 0).sum() for x in node)
+
+
+def test_every_node_is_reached():
+    rng = np.random.default_rng(2)
+    v = np.concatenate([x + 0.001 * rng.normal(size=(200, 8)) for x in rng.normal(size=(10, 8))]).astype(np.float32)
+    levels = hnsw.Graph.build(np.arange(len(v)), v).levels
+    for (nodes, links), (above, _) in zip(levels, levels[1:], strict=False):
+        seen, new = set(above.tolist()), set(above.tolist())
+        while new:
+            new = set(links[np.searchsorted(nodes, sorted(new))].ravel().tolist()) - seen - {-1}
+            seen |= new
+        assert seen == set(nodes.tolist())
+    for n in (1, 2, 3):
+        assert hnsw.Graph.build(np.arange(n), v[:n]).search(v[:n])[0].shape == (n, n)
+
+
 def test_no_vectors(spark):
     table, _ = shared.cut(hnsw.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding"), "v")
     assert hnsw.search(hnsw.build(table), table, table).count() == 0
