@@ -3,13 +3,14 @@
 BPE never merges across pre-tokens. A single space or line feed between two characters that are not white space always
 begins a new pre-token, and so does an ASCII mark after a letter or digit. So texts are cut there, the library encodes each distinct chunk once, and the chunks of a
 batch are looked up together: a table in numpy arrays maps a chunk's 64-bit hash to its ids. The table's size is bounded.
-Texts with any other white space go to the library whole. The ids are those that the library gives for the whole text
+Texts with any other white space or with the string of an added token (as ``<|endoftext|>``) go to the library whole. The ids are those that the library gives for the whole text
 (two chunks of equal hash would be mistaken for each other; among 2^21 chunks that has a probability of 1e-7).
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -126,7 +127,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings are ordinary text in a document
+        # A text with an added token's string goes to the library whole, as one id may stand across chunks there.
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.odd = "|".join([ODD, *(re.sub(r"([^\w\s])", r"\\\1", t) for t in added)])
         self.feed = self._ids(["\n"])[0][0]
         self.table = Table()
 
@@ -149,7 +152,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another (null: empty), and how many each has."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         plain = texts if not odd.any() else texts.filter(pa.array(~odd))
         ids, n = self._plain(plain) if len(plain) else (np.empty(0, "<u2"), np.empty(0, np.int64))
         if not odd.any():

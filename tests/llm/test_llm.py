@@ -192,6 +192,28 @@ def slow_ids(t):
     return np.array(tokens.encoder(tokens.default_path()).lib.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
 
 
+def test_added_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokens.default_path())
+    added = [t.content for t in lib.get_added_tokens_decoder().values()]
+    docs = list(enumerate([f"a {t} b" for t in added] + [f"x{t}y plain words" for t in added] + ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "plain words"] + ODD))
+    want = [lib.encode(t, add_special_tokens=False).ids for _, t in docs]
+    assert added and lib.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    ids, n = tokens.Encoder(tokens.default_path()).encode(pa.array([t for _, t in docs]))
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+    path, start = shared.new_path(spark, "t"), 0
+    got = {r["key"]: r for r in wavelet.read(spark, path, wavelet.write(frame(spark, docs), path, shard_ids=50)).collect()}
+    pieces = defaultdict(list)
+    for r in packing.pack(frame(spark, docs)).collect():
+        pieces[r["doc_id"]].append(r)
+    for (k, _), w in zip(docs, want, strict=True):
+        raw = np.array([*w, 0], "<u4").tobytes()
+        assert got[k]["start"] == start and bytes(got[k]["ids"]) == raw
+        assert b"".join(bytes(r["ids"]) for r in sorted(pieces[k], key=lambda r: r["start"])) == raw
+        start += len(w) + 1
+
+
 def test_bounded_table(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", 50)
     enc = tokens.Encoder(tokens.default_path())
