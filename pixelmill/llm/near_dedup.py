@@ -6,17 +6,21 @@
    union.
 3. ``ROWS`` neighbouring registers make a band; classes that agree in a band meet in a bucket. A pair of similarity 0.75
    agrees in none of the 40 bands with probability 2.5e-7.
-4. A bucket's registers are compared in numpy, block against block, never as joined rows. A pair counts in the first band
-   in which it agrees, and only if its joint likelihood estimate is not far below the threshold. Of these pairs a task
-   returns a spanning forest, as many rows as members at most. What the forests connect is a family: every likely pair
-   lies in one.
-5. Every member of a family brings its full set, once for each block of the family; a block pair's exact intersections
-   are counted in rows of bits. Of the links a task returns a spanning forest again.
+4. A bucket's registers are compared in numpy. A pair counts in the first band in which it agrees, and only if its joint
+   likelihood estimate is not far below the threshold. What such pairs connect is a family: every likely pair lies in one.
+5. A family's sets are intersected exactly.
 6. Components: the smallest key that is reachable over links, by large and small stars over written tables.
 
+Buckets and families of any size are worked in two passes, and no pair is ever a row. Pass one deals the members into
+chunks of bounded size, each with the group's pivots (a few members, chosen by hash) beside it; each chunk finds its trees
+of linked members, and the pivots tie the chunks together. Pass two takes the members that are still outside their group's
+largest tree and holds them against all members in other trees, block by block. A pair that neither pass looks at lies in
+one tree already. Rows are members plus pivots times chunks, and in pass two as many again times blocks of the rest.
+
 Defined cases: null, empty and blank texts have no set (n_shingles 0) and are linked with nothing, not even each other;
-a text of fewer than five words is one shingle; rows that are equal or share a key are one node; null keys have
-n_shingles but are linked with nothing (component null, kept); empty tables give no rows; other columns are not carried.
+a text of fewer than five words is one shingle; rows that share a key are one document, linked with whatever any of its
+texts is linked with (``dedup`` goes by texts: see there); null keys have n_shingles but are linked with nothing
+(component null, kept); empty tables give no rows; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -39,8 +43,9 @@ BASE, RATE, TOP = 1.001, 20.0, 40_000
 #: Pairs with a likelihood estimate below this join no family. The estimate's standard deviation at 0.75 is 0.027, so a
 #: link falls below with a probability of 1e-8.
 LEAST_ESTIMATE = 0.6
-#: Members of a block of a bucket, and of a family.
-BLOCK, FAMILY_BLOCK = 512, 512
+#: Members of a chunk of a bucket or family, shingles of a family's chunk, pivots (as expected) that go to every chunk of
+#: a group of several, members of a block of pass two.
+CHUNK, CHUNK_SHINGLES, PIVOTS, REST = 256, 4 << 20, 8, 256
 _RNG = np.random.default_rng(20240607)
 #: Register i hashes a shingle's x to x * MULTIPLIERS[i] + SHIFTS[i] modulo 2^32.
 MULTIPLIERS = _RNG.integers(0, 1 << 31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -116,7 +121,8 @@ def _batches(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[list[np.nd
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n, h1, h2, regs): size, 128-bit fingerprint and registers of each row's set (no set: 0, null, null)."""
+    """(key, row, n, h1, h2, regs): a hash of the text, then size, 128-bit fingerprint and registers of the row's set (no
+    set: 0, null, null)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -133,13 +139,18 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                     for i, r in zip(np.flatnonzero(n), rows, strict=True):
                         regs[i] = r.tobytes()
                 prints = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") if len(s) else (None, None) for s in sets]
+                own = [batch.column(c).slice(at, len(sets)) for c in ("key", "row")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(at, len(sets)), pa.array(n), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(regs, pa.binary())],
-                    names=["key", "n", "h1", "h2", "regs"],
+                    [*own, pa.array(n), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(regs, pa.binary())],
+                    names=["key", "row", "n", "h1", "h2", "regs"],
                 )
                 at += len(sets)
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(task, "key long, n long, h1 long, h2 long, regs binary")
+    return _rows(docs, key, text).mapInArrow(task, "key long, row long, n long, h1 long, h2 long, regs binary")
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
 
 def _buckets(words: np.ndarray) -> np.ndarray:
@@ -148,7 +159,7 @@ def _buckets(words: np.ndarray) -> np.ndarray:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(bucket, rep), a row for each band: the hash of a band's registers and its number."""
+    """(bucket, node), a row for each band: the hash of a band's registers and its number."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,79 +168,113 @@ def _bands(nodes: DataFrame) -> DataFrame:
                 own = _buckets(np.ascontiguousarray(regs).view("<u8"))
                 for i in range(0, len(own), 1024):
                     part = own[i : i + 1024]
-                    reps = pa.array(np.repeat(batch.column("rep").to_numpy()[i : i + 1024], BANDS))
-                    yield pa.RecordBatch.from_arrays([pa.array(part.reshape(-1)), reps], names=["bucket", "rep"])
+                    held = pa.array(np.repeat(batch.column("node").to_numpy()[i : i + 1024], BANDS))
+                    yield pa.RecordBatch.from_arrays([pa.array(part.reshape(-1)), held], names=["bucket", "node"])
+
+    return nodes.select("node", "regs").mapInArrow(task, "bucket long, node long")
+
+
+# Components.
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ends of links, and of each the least end that it is connected with."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, up = at[: len(a)], at[len(a) :], np.arange(len(ends))
+    while True:
+        low, high = np.minimum(up[x], up[y]), np.maximum(up[x], up[y])
+        apart = low != high
+        if not apart.any():
+            return ends, ends[up]
+        np.minimum.at(up, high[apart], low[apart])
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Links (v, u) that connect the same: within each task, about a million at a time, every end points to the least one."""
 
-    return nodes.select("rep", "regs").mapInArrow(task, "bucket long, rep long")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stars() -> pa.RecordBatch:
+            ends, least = roots(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("v", "u")))
+            own = ends != least
+            return pa.RecordBatch.from_arrays([pa.array(ends[own]), pa.array(least[own])], names=["v", "u"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(h.num_rows for h in held) >= 1 << 20:
+                yield stars()
+                held = []
+        if held:
+            yield stars()
+
+    return edges.select("v", "u").mapInArrow(task, "v long, u long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of links (a, b): large and small stars in turn until nothing changes, each round from a written table."""
+    """(node, comp) of links (a, b), without the nodes that are their component's least: large and small stars in turn
+    until nothing changes, each round from a written table."""
     spark = links.sparkSession
-    edges, path = shared.cut(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), "edges")
+    edges, path = shared.cut(_contracted(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct()), "edges")
     while True:
         # Done when every node either points to one other or is pointed to.
         ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")))
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 or up > 0 and low > 0").isEmpty():
             return edges.select(F.col("v").alias("node"), F.col("u").alias("comp"))
+        # A star's centre has many links and one least end; that is written first, so that the join's many can be split.
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-        large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u")).where("v <> u")
-        edges, new_path = shared.cut(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "edges")
+        least, _ = shared.cut(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m")), "least")
+        large = both.where("u > v").join(shared.small(least), "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+        large, _ = shared.cut(large, "large")
+        least, _ = shared.cut(large.groupBy("v").agg(F.min("u").alias("m")), "least")
+        small = large.join(shared.small(least), "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u")).where("v <> u")
+        edges, new_path = shared.cut(_contracted(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct()), "edges")
         shared.remove(spark, path)
         path = new_path
 
 
-class _Forest:
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after links (a, b) between labels; a node without a row is its own label."""
+    more = components(links).toDF("label", "to")
+    held = labels.join(shared.small(more), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return shared.cut(held.unionByName(more.select(F.col("label").alias("node"), F.col("to").alias("label"))), "labels")[0]
 
-    def root(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
+# Groups: buckets and families.
 
 
-def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one group (equal ``group``, consecutive), some tens of thousands at a time. Groups with two sides
-    (0 and 1; else -1) pair across them."""
-    n, d, held_a, held_b, held = len(group), 1, [], [], 0
-    live = np.arange(n)
-    while True:
-        live = live[live + d < n]
-        live = live[group[live] == group[live + d]]
-        if not len(live):
-            break
-        own = live[(side[live] < 0) | (side[live] != side[live + d])]
-        held_a.append(own)
-        held_b.append(own + d)
-        held += len(own)
-        d += 1
-        if held > 30_000:
-            yield np.concatenate(held_a), np.concatenate(held_b)
-            held_a, held_b, held = [], [], 0
-    if held:
-        yield np.concatenate(held_a), np.concatenate(held_b)
+def _dealt(members: DataFrame, group: str) -> DataFrame:
+    """Pass one. ``members`` (group, of, chunks, node, ...) with ``i``, ``j`` (0), ``side`` (-1) and ``label`` (the node):
+    each in a chunk of its group, pivots in all of them."""
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit(7), "node"), F.col("of")) < PIVOTS)
+    at = F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own)))
+    rest = [c for c in members.columns if c not in ("of", "chunks")]
+    return members.select(*rest, at.alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), F.col("node").alias("label"))
+
+
+def _rest(members: DataFrame, labels: DataFrame, group: str) -> DataFrame | None:
+    """Pass two. Of groups of several chunks (group, of, chunks, node): (group, node, label, i, j, side), the members
+    outside their group's largest tree (side 1) against all (side 0); None where there are none."""
+    members = members.where("chunks > 1").select(group, "chunks", "node")
+    held = members.join(shared.small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    held, _ = shared.cut(held, "held")
+    counts = held.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy(group).agg(F.max_by("label", F.struct("n", "label")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    largest, _ = shared.cut(largest.withColumn("blocks", F.ceil(F.col("rest") / REST).cast("int")), "largest")
+    if largest.isEmpty():
+        return None
+    held = held.join(shared.small(largest), group)
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    all_ = held.select(group, "node", "label", place("chunks").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"))
+    return all_.unionByName(held.where("label <> largest").select(group, "node", "label", every("chunks").alias("i"), place("blocks").alias("j"), F.lit(1).alias("side")))
 
 
-def _dealt(members: DataFrame, group: str, block: int) -> DataFrame:
-    """``members`` (group, of, rep, ...) by pairs of blocks: with i, j and ``side`` (-1 in a block's pair with itself, else
-    0 or 1), sorted so that a group's rows stand together. ``of``: the group's size."""
-    blocks = F.ceil(F.col("of") / block).cast("int")
-    rest = [c for c in members.columns if c != "of"]
-    dealt = members.select(*rest, F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select(*rest, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-    return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "rep")
+def _together(rows: DataFrame, group: str) -> DataFrame:
+    return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "node")
 
 
 def _whole(batches: Iterator[pa.RecordBatch], group: str, rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -255,26 +300,44 @@ def _whole(batches: Iterator[pa.RecordBatch], group: str, rows: int) -> Iterator
         yield table, numbered(table)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> pa.RecordBatch:
-    """Of pairs, those that join what earlier ones have not."""
-    trees, kept = _Forest(), []
-    for k in order.tolist():
-        if trees.join(int(a[k]), int(b[k])):
-            kept.append(k)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[kept]), pa.array(np.maximum(a, b)[kept])], names=["a", "b"])
+def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group (equal ``group``, consecutive), some tens of thousands at a time. Groups with two sides
+    (0 and 1; else -1) pair across them."""
+    n, d, held_a, held_b, held = len(group), 1, [], [], 0
+    live = np.arange(n)
+    while True:
+        live = live[live + d < n]
+        live = live[group[live] == group[live + d]]
+        if not len(live):
+            break
+        own = live[(side[live] < 0) | (side[live] != side[live + d])]
+        held_a.append(own)
+        held_b.append(own + d)
+        held += len(own)
+        d += 1
+        if held > 30_000:
+            yield np.concatenate(held_a), np.concatenate(held_b)
+            held_a, held_b, held = [], [], 0
+    if held:
+        yield np.concatenate(held_a), np.concatenate(held_b)
+
+
+def _edges(a: list | np.ndarray, b: list | np.ndarray) -> pa.RecordBatch:
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _likely(members: DataFrame) -> DataFrame:
-    """A forest (a, b) of the likely pairs of members (bucket, of, rep, n, regs) of buckets."""
+    """A forest (a, b) over the labels of likely pairs of rows (bucket, i, j, side, label, node, n, regs)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in _whole(batches, "bucket", 8192):
-            rep, n, side = (table[c].to_numpy() for c in ("rep", "n", "side"))
+            label, n, side = (table[c].to_numpy() for c in ("label", "n", "side"))
             regs = np.frombuffer(b"".join(table["regs"].to_pylist()), "<u2").reshape(-1, M)
             words = np.ascontiguousarray(regs[:, : BANDS * ROWS]).view("<u8")
             band = (_buckets(words) == table["bucket"].to_numpy()[:, None]).argmax(1)
-            # Rows of one tree need no comparison, so a bucket of near copies costs about its size, not its square.
-            _, tree = np.unique(rep, return_inverse=True)
+            # Rows of one tree need no comparison, so a chunk of near copies costs about its size, not its square.
+            _, tree = np.unique(label, return_inverse=True)
             kept = []
             for a, b in _pairs(group, side):
                 fit = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * PERCENT
@@ -292,108 +355,183 @@ def _likely(members: DataFrame) -> DataFrame:
                         for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
                             if tree[i] != tree[j]:
                                 tree[tree == tree[j]] = tree[i]
-                                kept.append((rep[i], rep[j]))
+                                kept.append((label[i], label[j]))
             if kept:
-                pairs = np.array(kept)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
+                yield _edges(*zip(*kept, strict=True))
 
-    return _dealt(members, "bucket", BLOCK).mapInArrow(task, "a long, b long")
+    return _together(members, "bucket").mapInArrow(task, "a long, b long")
 
 
-def _sets(docs: DataFrame, families: DataFrame, key: str, text: str) -> DataFrame:
-    """(family, of, rep, set) of the families' members, sets as sorted little-endian u64."""
+def overlaps(one: np.ndarray, codes: np.ndarray, starts: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """How many of its codes each set (codes from ``starts`` on) shares with ``one``; ``mark``: false for every code."""
+    mark[one] = True
+    out = np.add.reduceat(mark[codes], starts, dtype=np.int64)
+    mark[one] = False
+    return out
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for sets, _ in _batches(batch.column("text")):
-                rest = [batch.column(c).slice(at, len(sets)) for c in ("family", "of", "rep")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["family", "of", "rep", "set"])
-                at += len(sets)
 
-    own = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(shared.small(families), "rep")
-    return own.select("family", "of", "rep", "text").mapInArrow(task, "family long, of long, rep long, set binary")
-
-
-def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many elements each left set shares with each right set."""
-    if len(left) * len(right) <= 4:
-        return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left])
-    both = [*left, *right]
-    _, code = np.unique(np.concatenate(both), return_inverse=True)
-    row, out = np.repeat(np.arange(len(both)), [len(s) for s in both]), np.zeros((len(left), len(right)), np.int64)
-    order = np.argsort(code, kind="stable")
-    code, row = code[order], row[order]
-    for begin in range(0, int(code[-1]) + 1, 1 << 15):  # columns at a time
-        a, b = np.searchsorted(code, [begin, begin + (1 << 15)])
-        ones = np.zeros((len(both), min(1 << 15, int(code[b - 1]) - begin + 64) // 64 * 64), bool)
-        ones[row[a:b], code[a:b] - begin] = True
-        bits = np.packbits(ones, axis=1).view(np.uint64)
-        for i in range(len(left)):
-            out[i] += np.bitwise_count(bits[i] & bits[len(left) :]).sum(1, dtype=np.int64)
-    return out
+def linked(sets: list[np.ndarray], side: np.ndarray, label: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs (places in ``sets``, which are sorted, distinct and not empty) of linked sets that connect all that links
+    connect. Sets of one label are connected; with sides (0 and 1; else -1), links are across them."""
+    size = np.array([len(s) for s in sets])
+    ends = np.cumsum(size)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, a, b = np.zeros(int(codes.max()) + 1, bool), [], []
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        others = others[np.minimum(size[others], size[i]) * 100 >= np.maximum(size[others], size[i]) * PERCENT]
+        if not len(others):
+            return others
+        own = size[others]
+        at = np.repeat(ends[others] - np.cumsum(own), own) + np.arange(own.sum())
+        both = overlaps(codes[ends[i] - size[i] : ends[i]], codes[at], np.cumsum(own) - own, mark)
+        return others[both * 100 >= (own + size[i] - both) * PERCENT]
+
+    _, tree = np.unique(label, return_inverse=True)
+    if side[0] < 0:
+        # From set to set; what has been reached need not be compared again.
+        left = np.arange(len(sets))
+        while len(left):
+            reached, left = [left[0]], left[1:]
+            while reached and len(left):
+                i = reached.pop()
+                found = near(int(i), left)
+                if len(found):
+                    a += [int(i)] * len(found)
+                    b += found.tolist()
+                    reached += found.tolist()
+                    left = left[~np.isin(left, found)]
+        return a, b
+    many, few = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for i in few.tolist():
+        for j in near(i, many[tree[many] != tree[i]]).tolist():
+            if tree[i] != tree[j]:
+                tree[tree == tree[j]] = tree[i]
+                a.append(i)
+                b.append(j)
+    return a, b
 
 
 def _linked_in(sets: DataFrame) -> DataFrame:
-    """A forest (a, b) of the links within families."""
+    """A forest (a, b) over the labels of links within the groups of rows (family, i, j, side, label, node, set)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in _whole(batches, "family", 1):
-            rep, side = table["rep"].to_numpy(), table["side"].to_numpy()
+            label, side = table["label"].to_numpy(), table["side"].to_numpy()
             sets = [np.frombuffer(x, "<u8") for x in table["set"].to_pylist()]
-            size = np.array([len(x) for x in sets])
-            found = []
+            found_a, found_b = [], []
             for begin, end in zip(*(np.searchsorted(group, np.arange(group[-1] + 1), s) for s in ("left", "right")), strict=True):
-                own = np.arange(begin, end)
-                left, right = (own, own) if side[begin] < 0 else (own[side[own] == 0], own[side[own] == 1])
-                if len(left) and len(right) and len(own) > 1:
-                    shared_by = intersections([sets[k] for k in left], [sets[k] for k in right])
-                    union = size[left][:, None] + size[right][None, :] - shared_by
-                    x, y = np.nonzero((shared_by * 100 >= union * PERCENT) & (rep[left][:, None] < rep[right][None, :] if side[begin] < 0 else np.True_))
-                    found.append((rep[left[x]], rep[right[y]]))
-            if found:
-                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield _forest(a, b, np.arange(len(a)))
-
-    return _dealt(sets, "family", FAMILY_BLOCK).mapInArrow(task, "a long, b long")
-
-
-def _linked(docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame | None:
-    """(node, comp) of all class representatives that have links; None without any."""
+                if end - begin > 1:
+                    a, b = linked(sets[begin:end], side[begin:end], label[begin:end])
+                    found_a += label[begin:end][a].tolist()
+                    found_b += label[begin:end][b].tolist()
+            if found_a:
+                yield _edges(found_a, found_b)
+
+    return _together(sets, "family").mapInArrow(task, "a long, b long")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, set) of the nodes ``wanted`` (key, row, node), sets as sorted little-endian u64; docs: (key, row, text)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for sets, _ in _batches(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(sets)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "set"])
+                at += len(sets)
+
+    own = docs.join(shared.small(wanted), ["key", "row"]).select("node", "text")
+    return own.dropDuplicates(["node"]).mapInArrow(task, "node long, set binary")  # rows that are equal come once
+
+
+def _families(nodes: DataFrame) -> DataFrame | None:
+    """(node, label) of the nodes that likely pairs connect; None without any."""
     entries = _bands(nodes)
-    shared_by, _ = shared.cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where("of > 1"), "buckets")
-    members = entries.join(shared_by, "bucket").join(nodes, "rep").select("bucket", "of", "rep", "n", "regs")
-    likely, _ = shared.cut(_likely(members), "likely")
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
+    buckets, _ = shared.cut(buckets.withColumn("chunks", F.ceil(F.col("of") / CHUNK).cast("int")), "buckets")
+    held = nodes.select("node", "n", "regs")
+    likely, _ = shared.cut(_likely(_dealt(entries.join(buckets, "bucket").join(held, "node"), "bucket")), "likely")
     if likely.isEmpty():
         return None
-    families, _ = shared.cut(components(likely).toDF("rep", "family"), "families")
-    families = families.unionByName(families.select(F.col("family").alias("rep"), "family").distinct())
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("of"))
-    families, _ = shared.cut(families.join(sizes, "family"), "families")
-    links, _ = shared.cut(_linked_in(_sets(docs, families, key, text)), "links")
-    return None if links.isEmpty() else shared.cut(components(links), "components")[0]
+    labels, _ = shared.cut(components(likely).toDF("node", "label"), "labels")
+    hot = buckets.where("chunks > 1")
+    if not hot.isEmpty() and (rest := _rest(entries.join(shared.small(hot), "bucket"), labels, "bucket")) is not None:
+        more, _ = shared.cut(_likely(rest.join(held, "node")), "likely")
+        labels = labels if more.isEmpty() else _relabelled(labels, more)
+    return labels
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(node, label) of the classes that links connect, without those that are their component's least; None without any."""
+    labels = _families(nodes)
+    if labels is None:
+        return None
+    members = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct()).toDF("node", "family")
+    members, _ = shared.cut(members.join(nodes.select("node", "n"), "node"), "members")
+    chunks = F.greatest(F.ceil(F.col("of") / CHUNK), F.ceil(F.col("weight") / CHUNK_SHINGLES)).cast("int")
+    sizes, _ = shared.cut(members.groupBy("family").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("weight")).withColumn("chunks", chunks).drop("weight"), "sizes")
+    members = members.join(shared.small(sizes), "family").select("family", "of", "chunks", "node")
+    wanted = lambda df: shared.cut(df.select("node").distinct().join(classes.select("node", "key", "row"), "node"), "wanted")[0]
+    links, _ = shared.cut(_linked_in(_dealt(members, "family").join(_sets(docs, wanted(members)), "node")), "links")
+    if links.isEmpty():
+        labels = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    else:
+        labels, _ = shared.cut(components(links).toDF("node", "label"), "labels")
+    hot = sizes.where("chunks > 1")
+    if not hot.isEmpty() and (rest := _rest(members, labels, "family")) is not None:
+        more, _ = shared.cut(_linked_in(rest.join(_sets(docs, wanted(rest)), "node")), "links")
+        labels = labels if more.isEmpty() else _relabelled(labels, more)
+    return None if labels.isEmpty() else labels
+
+
+def _sorted_out(docs: DataFrame, key: str, text: str, by_key: bool) -> tuple[DataFrame, DataFrame]:
+    """(key, row, n, component) of the rows that take part, and (key, n) of the others. ``by_key``: rows that share a key
+    are linked."""
+    found, _ = shared.cut(sketches(docs, key, text), "sketches")
+    with_set = found.where("n > 0 and key is not null")
+    classes = with_set.groupBy("h1", "h2").agg(F.min(F.struct("key", "row")).alias("first")).select("h1", "h2", "first.key", "first.row", F.monotonically_increasing_id().alias("node"))
+    classes, _ = shared.cut(classes, "classes")
+    members = with_set.select("key", "row", "n", "h1", "h2").join(classes.select("h1", "h2", "node", F.col("key").alias("least")), ["h1", "h2"])
+    members, _ = shared.cut(members.select("key", "row", "n", "node", "least"), "members")
+    nodes = with_set.join(classes, ["h1", "h2", "key", "row"]).select("node", "n", "regs").dropDuplicates(["node"])
+    nodes, _ = shared.cut(nodes, "nodes")
+    labels = _linked(_rows(docs, key, text), nodes, classes)
+    if by_key:
+        several = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "a")
+        several, _ = shared.cut(several, "several")
+        if not several.isEmpty():
+            none = members.select("node", F.col("node").alias("label")).limit(0)
+            labels = none if labels is None else labels
+            own = members.join(shared.small(several), "key").select("a", F.col("node").alias("b")).distinct()
+            for end in ("a", "b"):
+                own = own.join(shared.small(labels.toDF(end, "label")), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+            own, _ = shared.cut(own.where("a <> b").select("a", "b"), "keys")
+            labels = labels if own.isEmpty() else _relabelled(labels, own)
+    if labels is None:
+        named = members.withColumn("component", F.col("least"))
+    else:
+        every = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+        least, _ = shared.cut(every.join(classes.select("node", "key"), "node").groupBy("label").agg(F.min("key").alias("component")), "least")
+        named = members.join(shared.small(shared.cut(every.join(shared.small(least), "label").select("node", "component"), "components")[0]), "node", "left")
+        named = named.withColumn("component", F.coalesce("component", "least"))
+    return named.select("key", "row", "n", "component"), found.where("n = 0 or key is null").select("key", "n")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept), a row for each row of ``docs``."""
-    found, _ = shared.cut(sketches(docs, key, text), "sketches")
-    with_set = found.where("n > 0 and key is not null")
-    classes, _ = shared.cut(with_set.groupBy("h1", "h2").agg(F.min("key").alias("rep")), "classes")
-    members, _ = shared.cut(with_set.select("key", "n", "h1", "h2").join(classes, ["h1", "h2"]).select("key", "n", "rep"), "members")
-    nodes = with_set.join(classes, ["h1", "h2"]).where("key = rep").select("rep", "n", "regs").dropDuplicates(["rep"])
-    nodes, _ = shared.cut(nodes, "nodes")
-    comps = _linked(docs, nodes, key, text)
-    named = members.withColumn("component", F.col("rep")) if comps is None else members.join(comps.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    alone = found.where("n = 0 or key is null").select("key", "n", F.col("key").alias("component"))
-    return named.select("key", "n", "component").unionByName(alone).select(
+    named, alone = _sorted_out(docs, key, text, True)
+    return named.select("key", "n", "component").unionByName(alone.withColumn("component", F.col("key"))).select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("key").isNull() | (F.col("key") == F.col("component"))).alias("kept")
     )
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is their component's; rows with null keys stay."""
-    kept, _ = shared.cut(near_duplicates(docs, key, text).where("not kept").select(F.col(key).alias("__pm_key")).distinct(), "copies")
-    return docs.join(kept, docs[key].cast("long") == F.col("__pm_key"), "left_anti")
+    """The rows of ``docs`` whose key is the least of the texts that theirs is linked with; rows with null keys stay. A
+    text goes for its own links alone, not for those of other rows that share its key."""
+    named, _ = _sorted_out(docs, key, text, False)
+    copies, _ = shared.cut(named.where("key <> component").select(F.col("key").alias("__pm_key"), F.col("row").alias("__pm_row")).distinct(), "copies")
+    return docs.join(shared.small(copies), (docs[key].cast("long") == F.col("__pm_key")) & (F.xxhash64(docs[text]) == F.col("__pm_row")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

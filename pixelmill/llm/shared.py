@@ -68,12 +68,14 @@ def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is (the join then shuffles).
+def small(df: DataFrame, most: int = BROADCAST_ROWS, weight: str | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows (or the column ``weight``, its rows' sizes in such
+    units, sums to no more), else as it is (the join then shuffles).
 
-    ``df`` must be cheap to count: a table that was cut, or a scan.
+    ``df`` must be cheap to count: a table that was cut, or a scan; files are counted by their footers.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    n = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most else df
 
 
 def local_path(uri: str) -> str | None:
@@ -83,9 +85,16 @@ def local_path(uri: str) -> str | None:
     return uri if "://" not in uri else None
 
 
+def _store(uri: str):
+    """The file system and path of a URI, for Python workers. Hadoop's names of object stores are known by another name."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{({'s3a': 's3', 's3n': 's3'}).get(scheme, scheme)}://{rest}")
+
+
 def write_bytes(uri: str, data: bytes) -> None:
-    """Writes one file whole, from any Python worker: other readers see all of it or nothing, and a task that runs again
-    writes the same name again."""
+    """Writes one file whole, from any Python worker: other readers see all of it or nothing."""
     path = local_path(uri)
     if path is not None:
         part = f"{path}.{uuid.uuid4().hex}.part"
@@ -93,14 +102,23 @@ def write_bytes(uri: str, data: bytes) -> None:
             f.write(data)
         os.replace(part, path)
         return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = _store(uri)
     part = f"{path}.{uuid.uuid4().hex}.part"
     with store.open_output_stream(part) as f:
         f.write(data)
     store.move(part, path)
 
 
+def read_bytes(uri: str) -> bytes:
+    """One whole file, in any Python worker."""
+    path = local_path(uri)
+    if path is not None:
+        with open(path, "rb") as f:
+            return f.read()
+    store, path = _store(uri)
+    with store.open_input_stream(path) as f:
+        return f.read()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -295,41 +295,101 @@ def test_padding_is_little():
 # op5
 
 
-def slow_components(docs):
-    sets = {}
-    for k, t in docs:
+def slow_components(docs, by_key=True):
+    """{row: (set size, least key reachable)}; rows of one key are linked, or only their texts count."""
+    sets = []
+    for _, t in docs:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UPPER))
-        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    up = {k: k for k in sets}
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    keys, up = [k for k, _ in docs], list(range(len(docs)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
-                up[y] = x
-    return {k: (len(sets[k]), root(k)) for k in sets}
-
-
-def test_near_duplicates(spark, texts):
-    rng = random.Random(8)
-    family = " ".join(f"w{i}" for i in range(80)).split()
-    docs = texts + [(2000 + i, " ".join(w if rng.random() > 0.02 else "z" + w for w in family)) for i in range(90)]
-    want = slow_components(docs)
-    for block in (512, 16):
-        near_dedup.BLOCK = near_dedup.FAMILY_BLOCK = block
-        got = near_dedup.near_duplicates(frame(spark, docs)).collect()
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
-        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
-    near_dedup.BLOCK, near_dedup.FAMILY_BLOCK = 512, 512
+    for a in range(len(docs)):
+        for b in range(a):
+            if None in (keys[a], keys[b]) or not sets[a] or not sets[b]:
+                continue
+            if by_key and keys[a] == keys[b] or 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                up[root(a)] = root(b)
+    least = {}
+    for i, k in enumerate(keys):
+        if k is not None:
+            least[root(i)] = min(k, least.get(root(i), k))
+    return [(len(s), least.get(root(i)) if keys[i] is not None else None) for i, s in enumerate(sets)]
+
+
+def by_doc(docs):
+    return {k: c for (k, _), c in zip(docs, slow_components(docs), strict=True)}
+
+
+def family(n, seed=8, change=0.02, words=80):
+    rng = random.Random(seed)
+    return [" ".join(f"w{i}" if rng.random() > change else f"z{rng.randrange(9)}w{i}" for i in range(words)) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("chunk", "rest", "change"), [(256, 256, 0.02), (16, 4, 0.02), (16, 8, 0.05), (5, 3, 0.035)])
+def test_near_duplicates(spark, texts, monkeypatch, chunk, rest, change):
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(near_dedup, "REST", rest)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    docs = texts + [(2000 + i, t) for i, t in enumerate(family(90, change=change))]
+    want = by_doc(docs)
+    got = near_dedup.near_duplicates(frame(spark, docs)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
     assert {r["doc_id"] for r in near_dedup.dedup(frame(spark, docs)).collect()} == {k for k, (_, c) in want.items() if k == c}
-    assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_near_duplicates_of_edge_cases(spark):
+    assert near_dedup.near_duplicates(frame(spark, [])).count() == 0 and near_dedup.dedup(frame(spark, [])).count() == 0
     odd = near_dedup.near_duplicates(frame(spark, [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, None)])).collect()
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["kept"]) for r in odd) == [(0, 1, True), (1, 1, True), (1, 1, True), (2, 0, True)]
+    long = " ".join(f"v{i}" for i in range(150_000))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, [(7, long), (5, long + " more"), (9, "short")])).collect()}
+    assert got == {7: 5, 5: 5, 9: 9}
+
+
+def test_every_text_of_a_key_counts(spark):
+    a, b, c = family(3, seed=4, change=0.9)
+    docs = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (5, c), (5, b), (9, c + " z"), (9, c + " z"), (None, a), (8, "none of them at all")]
+    for seed in range(3):
+        random.Random(seed).shuffle(docs)
+        got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in near_dedup.near_duplicates(frame(spark, docs).repartition(seed + 1)).collect())
+        assert got == sorted((k or 0, n, c or 0) for (k, _), (n, c) in zip(docs, slow_components(docs), strict=True))
+        kept = sorted((r["doc_id"] or 0, r["text"]) for r in near_dedup.dedup(frame(spark, docs)).collect())
+        assert kept == sorted((k or 0, t) for (k, t), (_, c) in zip(docs, slow_components(docs, False), strict=True) if k == c)
+
+
+@pytest.mark.parametrize("size", [4096, 16_384])
+def test_rows_of_a_family_are_linear(spark, size):
+    chunks = -(-size // near_dedup.CHUNK)
+    members = spark.range(size).selectExpr("id as node", "1L as family", f"{size} as of", f"{chunks} as chunks")
+    assert near_dedup._dealt(members, "family").count() <= size + 4 * near_dedup.PIVOTS * chunks
+    labels = spark.range(1, size).where("id % 500 <> 7").selectExpr("id as node", "0L as label")
+    outside = size // 500 + 1
+    assert near_dedup._rest(members, labels, "family").count() <= size + outside * chunks
+
+
+def test_linked_sets_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 40):
+        sets = [np.flatnonzero(rng.random(12) < 0.8).astype(np.uint64) + np.uint64(1) for _ in range(n)]
+        sets = [s if len(s) else np.array([1], np.uint64) for s in sets]
+        pairs = {(i, j) for i in range(n) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))}
+        for side in (np.full(n, -1), rng.integers(0, 2, n)):
+            own = {(i, j) for i, j in pairs if side[i] < 0 or side[i] != side[j]}
+            a, b = near_dedup.linked(sets, side, np.arange(n)) if side[0] < 0 or side.min() != side.max() else ([], [])
+            assert all((max(p), min(p)) in own for p in zip(a, b, strict=True))
+            if own:
+                x, y = np.array(sorted(own)).T
+                ends, root = near_dedup.roots(x, y)
+                got_ends, got = near_dedup.roots(np.array(a), np.array(b))
+                assert ends.tolist() == got_ends.tolist() and root.tolist() == got.tolist()
+            else:
+                assert not a
 
 
 def test_sketches_merge_and_estimate():
@@ -341,13 +401,6 @@ def test_sketches_merge_and_estimate():
     assert abs(near_dedup.estimate(sketch(x), sketch(y), np.array([700.0]), np.array([700.0]))[0] - 0.75) < 0.1
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=1, max_size=7), st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=1, max_size=7))
-def test_intersections(left, right):
-    of = lambda sets: [np.array(sorted(s), np.uint64) for s in sets]
-    assert near_dedup.intersections(of(left), of(right)).tolist() == [[len(a & b) for b in right] for a in left]
-
-
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 102), (103, 102)]
     random.Random(1).shuffle(links)
@@ -496,7 +549,7 @@ def test_pipeline(spark, sf_dir):
         elif name == "line dedup":
             assert kept >= {k for k, t in rows.items() if (t or "").count("\n") < 2}
         elif name == "near-duplicates":
-            assert kept == {k for k, (_, c) in slow_components(list(rows.items())).items() if k == c}
+            assert kept == {k for k, (_, c) in by_doc(list(rows.items())).items() if k == c}
         elif name == "benchmark decontamination":
             items = [(r["item_id"], r["text"]) for r in shared.table(spark, sf_dir, "benchmark").collect()]
             assert kept == {k for k, v in slow_hits(list(rows.items()), items).items() if not v[4]}
