@@ -3,18 +3,23 @@
 Vectors are lifted to equal norms (one more component), which makes the largest inner product the nearest neighbour. A
 shard is a bounded number of vectors; equal vectors of a shard are one node. Each level of a shard's graph holds a
 geometrically smaller share of its nodes, drawn at random, and of every node one among its ``LINKS`` nearest, so that no
-group of near copies is without a node above. A node's neighbours on a level are its nearest ones there, thinned so that each
-is nearer to the node than to any kept one, with back links, and a few chosen likewise from the nearest nodes of each
-higher level, which lead out of groups larger than ``CHOICE``; every node of a level can be reached from the level above.
-A search keeps a beam of ``UPPER`` nodes down the levels and of ``BEAM`` nodes on the lowest, for all queries of a block
-at once. The first level that it enters, of ``SCAN`` nodes at most, and levels of no more nodes than the beam are searched
-exactly. The shards' best are merged; scores are computed on
-the original vectors in double precision.
+group of near copies is without a node above. A shard is built as a whole, not node by node: a node's neighbours on a level
+are its nearest ones there, thinned so that each is nearer to the node than to any kept one, with back links, and a few
+chosen likewise from the nearest nodes of each higher level, which lead out of groups larger than ``CHOICE``; every node of
+a level can be reached from the level above. A search compares the first level that it enters (the highest of ``SCAN``
+nodes at most) in one product and keeps a beam of ``UPPER`` nodes down the levels and of ``BEAM`` nodes on the lowest, for
+all queries of a block at once.
+
+Shards are parts of cells: vectors go to the nearest of at most ``CELLS`` centres (fitted on ``SAMPLE`` vectors), and a
+cell of more than a shard is dealt over several. Graphs are files in the shared folder; a search task holds its queries and
+reads one graph after another, so neither graphs nor queries are copied through a shuffle, and merges the shards' results
+itself. A shard is left out for a query only where no vector in it can reach the query's twentieth score yet, by the
+shard's centre and radius, which loses nothing. Scores are computed on the original vectors in double precision.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
-different lengths are never compared; null ids take no part; ties go to the smaller id; a candidate that shares the
-query's id is its own; equal queries (same id and vector) are answered once; fewer candidates than K are all returned; an
-empty table gives no rows.
+different lengths are never compared; null ids take no part; ties go to the smaller id; rows that share the query's id
+are its own; rows of one id and different vectors are candidates each, and queries each; rows equal in id and vector count
+once; fewer candidates than K are all returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,20 +27,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from . import shared
 
 #: Neighbours returned, neighbours kept for each node on a level, nearest ones that they are chosen from, beam of a search.
-K, LINKS, CHOICE, BEAM = 20, 24, 96, 192
-#: Links to nodes of higher levels, nearest ones of each level that they are chosen from, beam on the higher levels, nodes of a higher level that
-#: are rather compared all, in one product, than walked to.
+K, LINKS, CHOICE, BEAM = 20, 24, 96, 288
+#: Links to nodes of higher levels, nearest ones of each level that they are chosen from, beam on the higher levels, most
+#: nodes of a higher level that a search enters by comparing all.
 FAR, FAR_CHOICE, UPPER, SCAN = 8, 32, 64, 4096
-#: Vectors in a shard, queries in a block.
-SHARD, BLOCK = 16_384, 1024
+#: Vectors in a shard, queries in a task, queries that walk a graph at once.
+SHARD, QUERIES, BLOCK = 8192, 512, 512
+#: Centres of cells, and vectors that they are fitted on (as expected; drawn by a hash of the id).
+CELLS, SAMPLE = 256, 4096
 SHRINK = 16
-RESULT = "query_id long, vec_id long, score double"
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def _nearest(x: np.ndarray, k: int, among: np.ndarray | None = None, block: int = 1024) -> np.ndarray:
@@ -135,10 +142,11 @@ def _joined(x: np.ndarray, links: np.ndarray, near: np.ndarray, entries: np.ndar
 
 
 class Graph:
-    """A shard's graph. ``ids`` and ``ends``: of each node the ids that share its vector, ascending, K + 1 at most."""
+    """A shard's graph. ``vectors``: of each node, in single precision, up to a common factor; ``originals``: in double, if
+    they are others; ``ids`` and ``ends``: of each node the ids that share its vector, ascending, K + 1 at most."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
-        self.vectors, self.ids, self.ends = vectors, ids, ends
+    def __init__(self, vectors: np.ndarray, originals: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.vectors, self.originals, self.ids, self.ends = vectors, originals, ids, ends
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray) -> Graph:
@@ -146,12 +154,18 @@ class Graph:
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
         new = np.ones(len(ids), bool)
         new[1:] = (vectors[1:] != vectors[:-1]).any(1)
+        again = np.zeros(len(ids), bool)
+        again[1:] = ~new[1:] & (ids[1:] == ids[:-1])
+        ids, vectors, new = ids[~again], vectors[~again], new[~again]
         first = np.flatnonzero(new)
         place = np.arange(len(ids)) - first[np.cumsum(new) - 1]
         kept = place <= K  # smaller ids win ties, and one may be the query's own
-        out = cls(vectors[first], ids[kept], np.cumsum(np.bincount((np.cumsum(new) - 1)[kept], minlength=len(first))))
-        norm = (out.vectors.astype(float) ** 2).sum(1)
-        lifted = np.hstack([out.vectors, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]]).astype(np.float32)
+        originals = vectors[first]
+        single = np.ascontiguousarray(originals / max(1.0, np.abs(originals).max() / 1e15), np.float32)
+        same = single.dtype == originals.dtype or np.array_equal(single, originals)
+        out = cls(single, single if same else originals, ids[kept], np.cumsum(np.bincount((np.cumsum(new) - 1)[kept], minlength=len(first))))
+        norm = (single.astype(float) ** 2).sum(1)
+        lifted = np.hstack([single, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]]).astype(np.float32)
         # A node's level: geometric, by a fixed permutation of the nodes, and where a neighbourhood has no node above.
         rank = np.argsort(np.random.default_rng(3).permutation(len(lifted)))
         levels, size = [(np.arange(len(lifted)), _nearest(lifted, min(CHOICE, len(lifted) - 1)))], len(lifted)
@@ -170,16 +184,35 @@ class Graph:
 
     def search(self, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The beam's nodes and scores for each query, best first (-1 and -inf where there are fewer)."""
-        q, at = queries.astype(np.float32), None
+        # Only the order counts here, so queries may be scaled.
+        q, at = (queries / np.maximum(np.abs(queries).max(1, keepdims=True), 1e-300)).astype(np.float32), None
         start = next((i for i, (nodes, _) in enumerate(self.levels) if i and len(nodes) <= SCAN), len(self.levels) - 1)
         for nodes, links in self.levels[start:0:-1]:
             at, _ = self._beam(q, at, nodes, links, UPPER)
         return self._beam(q, at, *self.levels[0], beam)
 
+    def candidates(self, ids: np.ndarray, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, id, score on the originals) of all ids in the beams, the queries' own left out."""
+        dim, begin = queries.shape[1], np.concatenate([[0], self.ends])
+        step, out = max(8, min(BLOCK, (8 << 20) // (beam * dim))), []
+        for i in range(0, len(queries), step):
+            node, _ = self.search(queries[i : i + step], beam)
+            at, column = np.nonzero(node >= 0)
+            node = node[at, column]
+            found, score = self.originals[node], np.zeros(len(node))
+            for d in range(dim):  # one sum in one order, so that equal vectors score the same everywhere
+                score += queries[i + at, d] * found[:, d]
+            many = self.ends[node] - begin[node]
+            at, score = np.repeat(at + i, many), np.repeat(score, many)
+            own = self.ids[np.repeat(self.ends[node] - np.cumsum(many), many) + np.arange(many.sum())]
+            other = own != ids[at]
+            out.append((at[other], own[other], score[other]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
     def _beam(self, q: np.ndarray, at: np.ndarray | None, nodes: np.ndarray, links: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """From the nodes ``at`` (-1: none) of each query; a level that nothing leads to is searched exactly."""
+        """From the nodes ``at`` (-1: none) of each query; on the level that is entered, where nothing leads to, from all."""
         n, rows = len(q), np.arange(len(q))
-        if at is None or beam >= len(nodes):
+        if at is None:
             s = q @ self.vectors[nodes].T
             keep = np.argpartition(-s, beam - 1, axis=1)[:, :beam] if beam < len(nodes) else np.broadcast_to(np.arange(len(nodes)), s.shape)
             best = np.take_along_axis(s, keep, 1)
@@ -222,7 +255,8 @@ def _pack(g: Graph) -> bytes:
     import io
 
     out = io.BytesIO()
-    np.savez(out, vectors=g.vectors, ids=g.ids, ends=g.ends, **{f"n{i}": n for i, (n, _) in enumerate(g.levels)}, **{f"l{i}": x for i, (_, x) in enumerate(g.levels)})
+    more = {} if g.originals is g.vectors else {"originals": g.originals}
+    np.savez(out, vectors=g.vectors, ids=g.ids, ends=g.ends, **more, **{f"n{i}": n for i, (n, _) in enumerate(g.levels)}, **{f"l{i}": x for i, (_, x) in enumerate(g.levels)})
     return out.getvalue()
 
 
@@ -230,7 +264,8 @@ def _unpack(data: bytes) -> Graph:
     import io
 
     z = np.load(io.BytesIO(data))
-    g = Graph(z["vectors"], z["ids"], z["ends"])
+    vectors = z["vectors"]
+    g = Graph(vectors, z["originals"] if "originals" in z.files else vectors, z["ids"], z["ends"])
     g.levels = [(z[f"n{i}"], z[f"l{i}"]) for i in range(sum(k[0] == "n" for k in z.files))]
     return g
 
@@ -243,59 +278,140 @@ def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(~F.exists("v", bad) & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
-def build(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
-    """(dim, shard, graph): a graph for each shard, written."""
-    counts = {r["dim"]: -(-r["n"] // shard_rows) for r in vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a vector length
-    if not counts:
-        return vectors.sparkSession.createDataFrame([], "dim int, shard int, graph binary")
-    shards = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("dim")]
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), shards).cast("int"))
+def centres(sample: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
+    """``n`` centres of a sample of vectors (fewer, if it is smaller), by Lloyd's rounds from its first ones."""
+    c = sample[:n].copy()
+    for _ in range(rounds):
+        own = _cell(sample, c)
+        for i in np.unique(own):
+            c[i] = sample[own == i].mean(0)
+    return c
+
+
+def _cell(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((c * c).sum(1) / 2 - x @ c.T).argmin(1)
+
 
-    def task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        # Values beyond single precision keep their order in graphs up to a common factor.
-        x = np.array(rows["v"].tolist(), float)
-        g = Graph.build(rows["id"].to_numpy(), np.ascontiguousarray(x / max(1.0, np.abs(x).max() / 1e15), np.float32))
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "graph": [_pack(g)]})
+def _rows(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    return shared.cut(dealt.groupBy("dim", "shard").applyInPandas(task, "dim int, shard int, graph binary"), "graphs")[0]
 
+def _celled(vectors: DataFrame, by_dim: dict[int, np.ndarray]) -> DataFrame:
+    """With ``cell``, the nearest centre's number (0 where a length has no centres)."""
 
-def search(graphs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): every block of queries goes to every shard of its vector length."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, cell = batch.column("dim").to_numpy(), np.zeros(batch.num_rows, np.int32)
+            for dim in np.unique(dims):
+                if int(dim) in by_dim:
+                    own = np.flatnonzero(dims == dim)
+                    cell[own] = _cell(_rows(batch.column("v").take(pa.array(own))), by_dim[int(dim)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    return vectors.select("id", "v", "dim").mapInArrow(task, "id long, v array<double>, dim int, cell int")
+
+
+def build(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
+    """(dim, shard, path, centre, radius): a row a graph, written to the shared folder. Files are named by attempt, so what
+    a lost attempt left behind is never read."""
+    spark, schema = vectors.sparkSession, "dim int, shard long, path string, centre array<double>, radius double"
+    counts = {r["dim"]: r["n"] for r in vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a vector length
+    if not counts:
+        return spark.createDataFrame([], schema)
+    by_dim = {}
+    for dim, n in counts.items():
+        if n > shard_rows:  # a row a shard's worth of vectors, CELLS at most
+            drawn = vectors.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(n)) < SAMPLE)).orderBy(F.xxhash64("id")).limit(2 * SAMPLE)
+            x = np.array([r["v"] for r in drawn.select("v").collect()], float).reshape(-1, dim)
+            by_dim[dim] = centres(x / max(1.0, np.abs(x).max(initial=0) / 1e100), min(-(-n // shard_rows), CELLS))
+    vectors, _ = shared.cut(_celled(vectors, by_dim), "cells")
+    sizes = vectors.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("parts"))
+    shard = F.col("cell").cast("long") + F.lit(CELLS) * F.pmod(F.xxhash64("id"), F.col("parts"))
+    dealt = vectors.join(F.broadcast(sizes), ["dim", "cell"]).select("dim", shard.alias("shard"), "id", "v")  # CELLS rows a length at most
+    folder = shared.new_path(spark, "graphs")
+    shared.make_dirs(spark, folder)
+
+    def task(key: tuple, rows: pa.Table) -> pa.Table:
+        import uuid
+
+        x = _rows(rows["v"].combine_chunks())
+        path = f"{folder}/{key[0].as_py()}-{key[1].as_py()}-{uuid.uuid4().hex}.npz"
+        shared.write_bytes(path, _pack(Graph.build(rows["id"].to_numpy(), x)))
+        centre = x.mean(0)
+        with np.errstate(over="ignore"):
+            radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
+        return pa.table([[key[0]], [key[1]], [path], [centre.tolist()], [radius]], schema=pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("path", pa.string()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())]))
+
+    return shared.cut(dealt.groupBy("dim", "shard").applyInArrow(task, schema), "graphs")[0]
+
+
+class Best:
+    """The K best of each query so far."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.at, self.ids, self.scores = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(n, -np.inf)
+
+    def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        at, ids, scores = (np.concatenate(c) for c in ((self.at, at), (self.ids, ids), (self.scores, scores)))
+        order = np.lexsort((ids, -scores, at))
+        at = at[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        order, at = order[place < self.k], at[place < self.k]
+        self.at, self.ids, self.scores = at, ids[order], scores[order]
+        full = place[place < self.k] == self.k - 1
+        self.least[at[full]] = self.scores[full]
+
+
+def best_of(graphs: list[tuple], ids: np.ndarray, queries: np.ndarray, k: int) -> Best:
+    """The best of all graphs (path, centre, radius) for queries of one length."""
+    best = Best(len(ids), k)
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm = np.sqrt((queries**2).sum(1))
+        bound = np.stack([queries @ c + norm * (r * (1 + 1e-9) + 1e-9 * np.sqrt(c @ c)) for _, c, r in graphs], 1)
+    first = np.where(np.isnan(bound), np.inf, bound).argmax(1)
+    for turn in (True, False):  # the most promising shard of each query, then the others
+        for s, (path, _, _) in enumerate(graphs):
+            own = np.flatnonzero(first == s if turn else (first != s) & ~(bound[:, s] < best.least))
+            if len(own):
+                at, found, score = _unpack(shared.read_bytes(path)).candidates(ids[own], queries[own])
+                best.add(own[at], found, score)
+    return best
+
+
+def search(graphs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """(query_id, rank, vec_id, score) of queries (id, v, dim)."""
     queries, _ = shared.cut(queries.dropDuplicates(["id", "v"]), "queries")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(shared.small(graphs.select("dim", "shard")), "dim")
-    asked = asked.select("dim", "shard", "block", "id", "v")
-    held = graphs.select(F.col("dim").alias("of_dim"), F.col("shard").alias("of_shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("of_block"), "graph")
-
-    def task(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(g) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": []}, dtype="int64")
-        graph, ids = _unpack(g["graph"][0]), q["id"].to_numpy()
-        x = np.array(q["v"].tolist(), float)
-        # Only the order counts here, so queries may be scaled.
-        node, score = graph.search(x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300))
-        out, begin = [], np.concatenate([[0], graph.ends])
-        for i in range(len(q)):
-            own = [graph.ids[begin[m] : begin[m + 1]] for m, s in zip(node[i, : 2 * k + 8], score[i], strict=False) if s > -np.inf]
-            found = np.concatenate(own)
-            found = found[found != ids[i]][: 2 * k + 8]
-            out.append(pd.DataFrame({"query_id": ids[i], "vec_id": found}))
-        return pd.concat(out).astype("int64")
-
-    near = asked.groupBy("dim", "shard", "block").cogroup(held.groupBy("of_dim", "of_shard", "of_block")).applyInPandas(lambda q, g: task(g, q), "query_id long, vec_id long").distinct()
-    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = (
-        near.join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("dim").alias("q_dim")), "query_id")
-        .join(vectors.select(F.col("id").alias("vec_id"), "v", "dim"), "vec_id")
-        .where("dim = q_dim")
-        .select("query_id", "vec_id", product.alias("score"))
-    )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held: dict[int, list[tuple]] = {}
+    for r in graphs.orderBy("dim", "shard").collect():  # a row a shard, that is a row for some thousands of vectors
+        held.setdefault(r["dim"], []).append((r["path"], np.array(r["centre"]), r["radius"]))
+    sent = queries.sparkSession.sparkContext.broadcast(held)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple]] = {}
+
+        def done(dim: int) -> pa.RecordBatch:
+            ids, x = (np.concatenate(c) for c in zip(*parts.pop(dim), strict=True))
+            best = best_of(sent.value[dim], ids, x, k)
+            rank = np.arange(len(best.at)) - np.searchsorted(best.at, best.at) + 1
+            return pa.RecordBatch.from_arrays([pa.array(ids[best.at]), pa.array(rank.astype(np.int32)), pa.array(best.ids), pa.array(best.scores)], names=["query_id", "rank", "vec_id", "score"])
+
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in map(int, np.unique(dims)):
+                if dim in sent.value:
+                    own = batch.filter(pa.array(dims == dim))
+                    parts.setdefault(dim, []).append((own.column("id").to_numpy(), _rows(own.column("v"))))
+                    if sum(len(i) for i, _ in parts[dim]) >= 4 * QUERIES:
+                        yield done(dim)
+        for dim in list(parts):
+            yield done(dim)
+
+    dealt = queries.repartition(max(1, -(-queries.count() // QUERIES)), "id")
+    return dealt.select("id", "v", "dim").mapInArrow(task, RESULT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: the nearest of every row whose vec_id is divisible by 20."""
     vectors, _ = shared.cut(usable(shared.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
-    return search(build(vectors), vectors, vectors.where("id % 20 = 0"))
+    return search(build(vectors), vectors.where("id % 20 = 0"))

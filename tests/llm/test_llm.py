@@ -459,7 +459,7 @@ def test_quality_of_edge_cases(spark, texts):
 # op8
 
 
-@pytest.mark.parametrize(("n", "dim", "shard"), [(3000, 16, 1000), (40, 8, 1000), (1500, 12, 16_384)])
+@pytest.mark.parametrize(("n", "dim", "shard"), [(3000, 16, 1000), (40, 8, 1000), (1500, 12, 16_384), (300, 8, 150)])
 def test_neighbours(spark, n, dim, shard):
     rng = np.random.default_rng(n)
     v = (rng.normal(size=(n, dim)) * rng.uniform(0.3, 2, (n, 1))).astype(np.float32)
@@ -467,7 +467,7 @@ def test_neighbours(spark, n, dim, shard):
     rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(n, None, 1), (n + 20, [0.0] * dim, 1), (n + 1, [float("nan")] * dim, 1), (n + 2, [1.0, None], 1), (None, [1.0] * dim, 1)]
     table, _ = shared.cut(hnsw.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>, dim int"), "vec_id", "embedding"), "v")
     got = defaultdict(list)
-    for r in hnsw.search(hnsw.build(table, shard), table, table.where("id % 20 = 0")).orderBy("query_id", "rank").collect():
+    for r in hnsw.search(hnsw.build(table, shard), table.where("id % 20 = 0")).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     hit = total = 0
     w = v.astype(float)
@@ -480,6 +480,64 @@ def test_neighbours(spark, n, dim, shard):
     assert set(got) == set(range(0, n, 20)) and hit / total >= 0.9
 
 
+def recall(spark, v):
+    """(mean recall, queries without any of their neighbours) of the whole operator, against all inner products."""
+    table, _ = shared.cut(hnsw.usable(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"), "vec_id", "embedding"), "v")
+    got = defaultdict(set)
+    for r in hnsw.search(hnsw.build(table), table.where("id % 20 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits, w = [], v.astype(float)
+    for q in range(0, len(v), 20):
+        s = w @ w[q]
+        s[q] = -np.inf
+        hits.append(len(got[q] & set(np.argpartition(-s, 20)[:20].tolist())))
+    return np.mean(hits) / 20, sum(h == 0 for h in hits)
+
+
+@pytest.mark.parametrize("n", [8000, 16_384])
+def test_recall_on_gaussian_vectors(spark, n):
+    found, none = recall(spark, np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32))
+    assert found >= 0.9 and none == 0
+
+
+def test_recall_on_tight_clusters(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([c + 0.01 * rng.normal(size=(100, 64)) for c in rng.normal(size=(80, 64))])[rng.permutation(8000)]
+    found, none = recall(spark, v.astype(np.float32))
+    assert found >= 0.99 and none == 0
+
+
+def test_shards_out_of_reach_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([20 * rng.normal(size=16) + 0.1 * rng.normal(size=(150, 16)) for _ in range(8)])[rng.permutation(1200)]
+    table, _ = shared.cut(hnsw.usable(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), "vec_id", "embedding"), "v")
+    graphs = [(r["path"], np.array(r["centre"]), r["radius"]) for r in hnsw.build(table, 150).collect()]
+    searched, walk = [], hnsw.Graph.candidates
+    monkeypatch.setattr(hnsw.Graph, "candidates", lambda self, ids, *more: searched.append(len(ids)) or walk(self, ids, *more))
+    best = hnsw.best_of(graphs, np.arange(60), v[:60], 20)
+    some = sum(searched)
+    every = hnsw.best_of([(p, c, np.inf) for p, c, _ in graphs], np.arange(60), v[:60], 20)
+    assert np.array_equal(best.ids, every.ids) and np.array_equal(best.scores, every.scores)
+    assert len(graphs) >= 8 and some < 60 * 3 and sum(searched) - some == 60 * len(graphs)
+
+
+def test_ids_that_repeat(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (2, [0.0, 2.0]), (20, [1.0, 1.0]), (20, [3.0, 1.0]), (3, []), (4, [float("inf"), 1.0]), (40, [1.0, 2.0, 3.0])]
+    table, _ = shared.cut(hnsw.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"), "v")
+    got = sorted((r["score"], r["rank"], r["vec_id"]) for r in hnsw.search(hnsw.build(table), table.where("id % 20 = 0")).collect())
+    assert got == sorted([(2.0, 1, 2), (2.0, 2, 2), (1.0, 3, 1), (1.0, 4, 1), (6.0, 1, 2), (3.0, 2, 1), (2.0, 3, 2), (1.0, 4, 1)])
+
+
+def test_values_beyond_single_precision(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(200, 6)) * 1e100
+    table, _ = shared.cut(hnsw.usable(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), "vec_id", "embedding"), "v")
+    for r in hnsw.search(hnsw.build(table, 100), table.where("id = 20")).collect():
+        s = v @ v[20]
+        s[20] = -np.inf
+        assert r["vec_id"] == np.argsort(-s)[r["rank"] - 1] and abs(r["score"] / s[r["vec_id"]] - 1) < 1e-12
+
+
 def test_groups_of_near_copies():
     rng = np.random.default_rng(1)
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
@@ -509,7 +567,7 @@ def test_every_node_is_reached():
 
 def test_no_vectors(spark):
     table, _ = shared.cut(hnsw.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding"), "v")
-    assert hnsw.search(hnsw.build(table), table, table).count() == 0
+    assert hnsw.search(hnsw.build(table), table).count() == 0
 
 
 # op9
