@@ -4,12 +4,13 @@ Words are hashed, k-grams of words are hashed, and of every ``WINDOW - K + 1`` c
 rightmost of ties) is kept with its place. Any ``WINDOW`` words that a document shares with an item hold the same least
 k-gram on both sides, so every shared span of that length meets in the join of the fingerprints; a meeting is extended
 word by word to both sides, and counts where ``WINDOW`` words or more agree. Items of fewer words than ``WINDOW`` are one
-window each and are joined by the hash of all their words, length by length.
+window each; the words that begin one are looked for first, in one pass, and where one stands, the hash of as many words
+as an item of that beginning has is looked up.
 
 Defined cases: null, empty and wordless texts have no words and are clean; items without words occur nowhere; repeated
-items count by their item_id; rows that share a doc_id are reported each, with the hits of that doc_id; null ids are
-kept (a null item_id is not listed); empty tables give clean documents or none; columns named as an output column are
-replaced.
+items count by their item_id; rows that share a doc_id, null ones too, are told apart by their texts and reported each with
+its own hits; null ids are kept (a null item_id is not listed); empty tables give clean documents or none; columns named
+as an output column are replaced.
 """
 
 from __future__ import annotations
@@ -111,33 +112,45 @@ def _run(equal: list[Column]) -> Column:
     return out.otherwise(len(equal))
 
 
+def _row(key: str, text: str) -> Column:
+    """What tells a row from others: its key and a hash of its text."""
+    return F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+
+
+def _short(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc, item, start, n): where items (item, h) of fewer words than ``WINDOW`` stand in documents (doc, h)."""
+    short = items.select("item", F.size("h").cast("int").alias("n"), F.xxhash64("h").alias("gram"), F.get("h", F.lit(0)).alias("word"))
+    lengths = short.groupBy("word").agg(F.collect_set("n").alias("lengths"))  # 9 a word at most
+    at = docs.select("doc", "h", F.posexplode("h").alias("start", "word")).join(shared.small(lengths), "word")
+    at = at.select("doc", "h", "start", F.explode("lengths").alias("n")).where(F.col("start") + F.col("n") <= F.size("h"))
+    at = at.select("doc", "start", "n", F.xxhash64(F.slice("h", F.col("start") + 1, F.col("n"))).alias("gram"))
+    return at.join(shared.small(short.drop("word").distinct()), ["n", "gram"]).select("doc", "item", "start", "n")
+
+
 def occurrences(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """(doc, item, start, n): spans of words in documents, each covered by windows of the item that occur there; every
-    occurrence of a window is in one of the item's spans."""
-    hashed = lambda df, of, name: df.select(F.col(of).alias(name), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("h"))
-    raw = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    low, _ = shared.cut(low_grams(items.select(F.coalesce(F.col(text), F.lit("")).alias("text"))), "low")
+    """(doc, item, start, n): spans of words in documents (``doc``: key and hash of the text), each covered by windows of
+    the item that occur there; every occurrence of a window is in one of the item's spans."""
+    hashed = lambda df, of: df.select(of, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+    raw = docs.select(_row(key, text).alias("doc"), F.col(text).alias("text"))
+    items = items.select(F.col(item).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    low, _ = shared.cut(low_grams(items), "low")
     near, _ = shared.cut(suspects(raw, low), "suspects")
     # Written, else conditions on the words are pushed below the join and evaluated on every text.
-    suspected, _ = shared.cut(raw.join(shared.small(near.toDF("__pm_near")), F.col("doc").eqNullSafe(F.col("__pm_near")), "left_semi"), "texts")
-    docs = hashed(raw, "doc", "doc")
-    items, _ = shared.cut(hashed(items, item, "item").where(F.size("h") > 0), "items")
+    suspected, _ = shared.cut(raw.join(shared.small(near), "doc", "left_semi"), "texts")
+    items, _ = shared.cut(hashed(items, "item").where(F.size("h") > 0), "items")
     long = lambda df, of: df.where(F.size("h") >= WINDOW).select(of, "h", _grams("h").alias("g"))
     theirs, _ = shared.cut(_near(tied(long(items, "item"), "item", "h"), "item").toDF("item", "gram", "ipos", "inear", "ilead"), "fingerprints")
     same = lambda i: F.coalesce(F.get("near", F.col("lead") + i) == F.get("inear", F.col("ilead") + i), F.lit(False))
-    ours = _near(_winnowed(long(hashed(suspected, "doc", "doc"), "doc"), "doc", "h"), "doc")
+    ours = _near(_winnowed(long(hashed(suspected, "doc"), "doc"), "doc", "h"), "doc")
     met = ours.join(shared.small(theirs), "gram")
     seed = same(0)
     for i in range(1, K):
         seed = seed & same(i)
     back, on = _run([same(-i) for i in range(1, WINDOW - K + 1)]), _run([same(K + i) for i in range(WINDOW - K)])
     spans = met.where(seed).select("doc", "item", (F.col("pos") - back).alias("start"), (back + K + on).alias("n")).where(F.col("n") >= WINDOW)
-    lengths = [r["n"] for r in items.select(F.size("h").alias("n")).where(F.col("n") < WINDOW).distinct().collect()]  # 9 at most
-    for n in sorted(lengths):
-        short = items.where(F.size("h") == n).select("item", _hash("h", F.lit(0), n).alias("gram")).distinct()
-        at = docs.where(F.size("h") >= n).select("doc", "h", F.explode(F.sequence(F.lit(0), F.size("h") - n)).alias("start"))
-        at = at.select("doc", "start", _hash("h", F.col("start"), n).alias("gram"))
-        spans = spans.unionByName(at.join(shared.small(short), "gram").select("doc", "item", "start", F.lit(n).alias("n")))
+    short = items.where(F.size("h") < WINDOW)
+    if not short.isEmpty():
+        spans = spans.unionByName(_short(hashed(raw, "doc"), short))
     return spans.distinct()
 
 
@@ -152,7 +165,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     none = F.lit(0).cast("long")
     return (
         docs.withColumn("n_words", count_words(F.col(text)))
-        .join(hits, docs[key].eqNullSafe(F.col("__pm_doc")), "left")
+        .join(hits, _row(key, text) == F.col("__pm_doc"), "left")
         .withColumn("n_hit", F.coalesce("__pm_hit", none))
         .withColumn("n_items", F.when(F.col("__pm_items").isNull(), none).otherwise(F.size("__pm_items").cast("long")))
         .withColumn("items_sha256", F.sha2(F.coalesce(F.array_join("__pm_items", ","), F.lit("")).cast("binary"), 256))
@@ -164,7 +177,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no window of an item."""
     hit, _ = shared.cut(occurrences(docs, items, key, text).select(F.col("doc").alias("__pm_doc")).distinct(), "hit")
-    return docs.join(shared.small(hit), docs[key].eqNullSafe(F.col("__pm_doc")), "left_anti")
+    return docs.join(shared.small(hit), _row(key, text) == F.col("__pm_doc"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

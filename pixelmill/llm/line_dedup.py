@@ -1,13 +1,16 @@
 """Line deduplication over overlapping three-line windows, in DataFrame functions only.
 
 Every run of three consecutive lines is hashed (128 bits). A window that occurs more than once in the whole table keeps
-its first occurrence, by (doc_id, position); the lines of every later occurrence go. Occurrences in one document that
+its first occurrence, by (doc_id, a hash of the text, position); the lines of every later occurrence go. Occurrences in one document that
 overlap the first one there belong to the same run and are not later ones. The covered positions of a document are
 merged before its lines are rebuilt, so overlapping windows remove each line once.
 
+Passages on one or two lines, or whose neighbours differ, are in no repeated window and stay.
+
 Defined cases: null and empty texts, and texts of fewer than three lines, have no windows and stay as they are; a null
-doc_id counts as the smallest; rows that share a doc_id are one document that was given twice: they do not repeat each
-other, and lose the same positions; an empty table gives no rows; columns named as an output column are replaced.
+doc_id counts as the smallest; rows that share a doc_id, null ones too, are documents of their own, told apart by their
+texts; rows of one doc_id and one text are one document that was given twice: they do not repeat each other, and lose the
+same positions; an empty table gives no rows; columns named as an output column are replaced.
 """
 
 from __future__ import annotations
@@ -23,11 +26,16 @@ def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n")
 
 
+def _row(key: str, text: str) -> Column:
+    """What tells a row from others, and their order: its key and a hash of its text."""
+    return F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+
+
 def windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, pos, h1, h2): one row for each window of ``WIDTH`` lines."""
+    """(doc, pos, h1, h2): one row for each window of ``WIDTH`` lines; ``doc``: key and hash of the text."""
     at = [F.get("lines", F.col("pos") + i) for i in range(WIDTH)]
     return (
-        docs.select(F.col(key).alias("doc"), _lines(text).alias("lines"))
+        docs.select(_row(key, text).alias("doc"), _lines(text).alias("lines"))
         .where(F.size("lines") >= WIDTH)
         .select("doc", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - WIDTH)).alias("pos"))
         .select("doc", "pos", F.xxhash64(*at).alias("h1"), F.xxhash64(F.lit(WIDTH), *at[::-1]).alias("h2"))
@@ -40,7 +48,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     firsts = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("first")).where("n > 1")
     # Written, so that both sides of the join come from exchanges of their own and a hot window's partition can be split.
     firsts, _ = shared.cut(firsts.select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")), "firsts")
-    same_run = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("pos") < F.col("first_pos") + WIDTH)
+    same_run = (F.col("doc") == F.col("first_doc")) & (F.col("pos") < F.col("first_pos") + WIDTH)
     later = found.join(shared.small(firsts), ["h1", "h2"]).where(~same_run)
     return later.groupBy("doc").agg(F.collect_set("pos").alias("starts"))
 
@@ -49,11 +57,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """``docs`` with the repeated lines taken out of ``text``, and ``n_lines`` and ``n_removed`` (long; null text: 0)."""
     docs = docs.drop("n_lines", "n_removed")
     cols = docs.columns
-    starts = repeated(docs, key, text).withColumnRenamed("doc", "__pm_doc").withColumnRenamed("starts", "__pm_starts")
+    starts, _ = shared.cut(repeated(docs, key, text).toDF("__pm_doc", "__pm_starts").withColumn("__pm_n", F.size("__pm_starts")), "starts")
+    starts = shared.small(starts, weight="__pm_n")  # texts are shuffled only where the starts are too many to broadcast
     covered = F.flatten(F.transform("__pm_starts", lambda p: F.sequence(p, p + WIDTH - 1)))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__pm_lines") - 1), covered)
     return (
-        docs.join(starts, docs[key].eqNullSafe(F.col("__pm_doc")), "left")
+        docs.join(starts, _row(key, text) == F.col("__pm_doc"), "left")
         .withColumn("__pm_lines", _lines(text))
         .withColumn("__pm_kept", F.when(F.col("__pm_starts").isNotNull(), kept))
         .select(

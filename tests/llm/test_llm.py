@@ -127,9 +127,10 @@ def test_personal_data_of_edge_cases(spark, texts):
 
 
 def slow_hits(docs, items):
+    """A row's (n_words, n_hit, n_items, items_sha256, contaminated)."""
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UPPER))
-    out = {}
-    for k, t in docs:
+    out = []
+    for _, t in docs:
         w, hit, own = find(t), set(), set()
         for i, u in items:
             v = find(u)
@@ -139,7 +140,7 @@ def slow_hits(docs, items):
                 if tuple(w[p : p + n]) in windows:
                     hit |= set(range(p, p + n))
                     own.add(i)
-        out[k] = (len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(map(str, own))).encode()).hexdigest(), bool(hit))
+        out.append((len(w), len(hit), len(own), hashlib.sha256(",".join(sorted(map(str, own))).encode()).hexdigest(), bool(hit)))
     return out
 
 
@@ -149,15 +150,21 @@ def test_decontamination(spark, texts):
     items = [(1, " ".join(words[5:30])), (2, " ".join(words[40:50]).upper()), (3, "one"), (4, ""), (5, None), (6, "a a a a a a a a a a a a"), (10, " ".join(words[3:9])), (7, "Σας é É " * 4), (8, "12, x!")]
     docs = texts + [(900, "ΣΑΣ " + "σας É é Σας é É Σας é É " * 2 + " Σας é É Σας é É"), (901, "so 12 X end"), (902, "b " + "a " * 9), (903, "b " + "a " * 10)]
     docs += [(904 + i, " ".join(rng.choices(["ab", "cd"], k=200))) for i in range(6)]
-    items += [(20 + i, " ".join(rng.choices(["ab", "cd"], k=14))) for i in range(6)]
+    items += [(20 + i, " ".join(rng.choices(["ab", "cd"], k=14))) for i in range(6)] + [(30, "ab cd ab"), (31, "ab"), (32, "cd cd cd cd cd cd cd cd cd"), (33, "ab cd ab")]
+    # Rows that share a key, or have none, have hits of their own; so do rows that are equal; and a very long text.
+    docs += [(1, " ".join(words[5:17])), (1, "clean one of its own"), (None, " ".join(words[5:17])), (None, "clean too"), (None, None), (2, "clean"), (2, "clean")]
+    docs += [(950, "w " * 400_000 + " ".join(words[40:50]) + " v" * 400_000)]
     got = decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = slow_hits(docs, items)
-    for r in got:
-        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == want[r["doc_id"]], r["doc_id"]
-    kept = {r["doc_id"] for r in decontaminate.clean(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert kept == {k for k, v in want.items() if not v[4]}
+    said = lambda r: (r["doc_id"] or 0, r["text"] or "", r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"])
+    assert sorted(map(said, got)) == sorted((k or 0, t or "", *w) for (k, t), w in zip(docs, want, strict=True))
+    kept = [(r["doc_id"] or 0, r["text"] or "") for r in decontaminate.clean(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(kept) == sorted((k or 0, t or "") for (k, t), w in zip(docs, want, strict=True) if not w[4])
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(frame(spark, docs[:5]), none).where("contaminated").isEmpty()
+    assert decontaminate.decontaminate(frame(spark, []), none).count() == 0 and decontaminate.clean(frame(spark, []), none).count() == 0
+    clash = decontaminate.decontaminate(frame(spark, [(1, "a b")]).withColumnRenamed("shard", "n_hit").withColumnRenamed("rep", "doc"), none)
+    assert clash.columns == ["doc_id", "text", "doc", "__kept", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"] and clash.first()["n_hit"] == 0
 
 
 # op3
@@ -173,6 +180,35 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(frame(spark, [])).count() == 0
 
 
+def slow_lines(docs):
+    """What each row keeps: plain windows, in order of key (null first), then a hash of the text, then position."""
+    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is not None, docs[i][0] or 0, docs[i][2]))
+    first, gone = {}, defaultdict(set)
+    for i in order:
+        lines = (docs[i][1] or "").split("\n")
+        for p in range(len(lines) - 2):
+            w = tuple(lines[p : p + 3])
+            own, at = first.setdefault(w, (docs[i][0::2], p))
+            if (own, True) != (docs[i][0::2], p < at + 3):
+                gone[i] |= {p, p + 1, p + 2}
+    return [None if d[1] is None else "\n".join(x for p, x in enumerate(d[1].split("\n")) if p not in gone[i]) for i, d in enumerate(docs)]
+
+
+def hashed(spark, docs):
+    """Rows with Spark's hash of their text, by which rows of one key are ordered."""
+    return [(r["doc_id"], r["text"], r["h"]) for r in frame(spark, docs).withColumn("h", F.xxhash64("text")).collect()]
+
+
+def test_line_dedup_against_a_loop(spark):
+    rng = random.Random(2)
+    docs = [(rng.choice([None, *range(1, 25)]), "\n".join(rng.choices("abc", k=rng.randrange(0, 14)))) for _ in range(60)] + [(3, None), (3, None), (4, ""), (90, "q\n" * 200_000 + "x\ny\nz"), (91, "0\nx\ny\nz")]
+    docs += docs[:5]
+    rows = hashed(spark, docs)
+    got = line_dedup.dedup(frame(spark, docs).withColumnRenamed("shard", "n_lines").withColumnRenamed("rep", "pos"))
+    assert got.columns == ["doc_id", "text", "pos", "__kept", "n_lines", "n_removed"]
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in got.collect())) == sorted((k or 0, t or "") for (k, *_), t in zip(rows, slow_lines(rows), strict=True))
+
+
 # op4 and op10
 
 
@@ -610,7 +646,7 @@ def test_pipeline(spark, sf_dir):
             assert kept == {k for k, (_, c) in by_doc(list(rows.items())).items() if k == c}
         elif name == "benchmark decontamination":
             items = [(r["item_id"], r["text"]) for r in shared.table(spark, sf_dir, "benchmark").collect()]
-            assert kept == {k for k, v in slow_hits(list(rows.items()), items).items() if not v[4]}
+            assert kept == {k for k, v in zip(rows, slow_hits(list(rows.items()), items), strict=True) if not v[4]}
         else:
             assert kept == set(rows)
         if name != "packing":
