@@ -15,7 +15,7 @@ Buckets and families of any size are worked in two passes, and no pair is ever a
 chunks of bounded size, each with the group's pivots (a few members, chosen by hash) beside it; each chunk finds its trees
 of linked members, and the pivots tie the chunks together. Pass two takes the members that are still outside their group's
 largest tree and holds them against all members in other trees, block by block. A pair that neither pass looks at lies in
-one tree already. Rows are members plus pivots times chunks, and in pass two as many again times blocks of the rest.
+one tree already. Rows are members plus pivots times chunks, and in pass two members times blocks of the rest and back.
 
 Defined cases: null, empty and blank texts have no set (n_shingles 0) and are linked with nothing, not even each other;
 a text of fewer than five words is one shingle; rows that share a key are one document, linked with whatever any of its
@@ -44,8 +44,10 @@ BASE, RATE, TOP = 1.001, 20.0, 40_000
 #: link falls below with a probability of 1e-8.
 LEAST_ESTIMATE = 0.6
 #: Members of a chunk of a bucket or family, shingles of a family's chunk, pivots (as expected) that go to every chunk of
-#: a group of several, members of a block of pass two.
-CHUNK, CHUNK_SHINGLES, PIVOTS, REST = 256, 4 << 20, 8, 256
+#: a group of several, chunks that make a block of pass two.
+CHUNK, CHUNK_SHINGLES, PIVOTS, WIDE = 128, 1 << 20, 8, 4
+#: Links that a task contracts at a time.
+LINKS = 1 << 21
 _RNG = np.random.default_rng(20240607)
 #: Register i hashes a shingle's x to x * MULTIPLIERS[i] + SHIFTS[i] modulo 2^32.
 MULTIPLIERS = _RNG.integers(0, 1 << 31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -191,8 +193,8 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             up = up[up]
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """Links (v, u) that connect the same: within each task, about a million at a time, every end points to the least one."""
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links (v, u) that connect the same: within each task, ``LINKS`` at a time, every end points to the least one."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stars() -> pa.RecordBatch:
@@ -202,25 +204,31 @@ def _contracted(edges: DataFrame) -> DataFrame:
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(h.num_rows for h in held) >= 1 << 20:
+            if held and sum(h.num_rows for h in held) + batch.num_rows > LINKS:
                 yield stars()
                 held = []
+            if batch.num_rows:
+                held.append(batch)
         if held:
             yield stars()
 
-    return edges.select("v", "u").mapInArrow(task, "v long, u long")
+    return links.mapInArrow(task, "v long, u long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of links (a, b), without the nodes that are their component's least: large and small stars in turn
-    until nothing changes, each round from a written table."""
-    spark = links.sparkSession
-    edges, path = shared.cut(_contracted(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct()), "edges")
+    """(node, comp) of written links (a, b), without the nodes that are their component's least. Tasks contract ``LINKS``
+    links each, again and again while that halves them; it is all where one task takes all. Else large and small stars in
+    turn until nothing changes, each round from a written table and contracted again."""
+    edges = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u")
     while True:
+        n = edges.count()
+        edges, _ = shared.cut(_contracted(edges.coalesce(max(1, -(-n // LINKS)))), "edges")
+        if n <= LINKS:
+            return edges.select(F.col("v").alias("node"), F.col("u").alias("comp"))
+        if 2 * edges.count() <= n:
+            continue
         # Done when every node either points to one other or is pointed to.
-        ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+        ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")).distinct())
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 or up > 0 and low > 0").isEmpty():
             return edges.select(F.col("v").alias("node"), F.col("u").alias("comp"))
         # A star's centre has many links and one least end; that is written first, so that the join's many can be split.
@@ -230,9 +238,7 @@ def components(links: DataFrame) -> DataFrame:
         large, _ = shared.cut(large, "large")
         least, _ = shared.cut(large.groupBy("v").agg(F.min("u").alias("m")), "least")
         small = large.join(shared.small(least), "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u")).where("v <> u")
-        edges, new_path = shared.cut(_contracted(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct()), "edges")
-        shared.remove(spark, path)
-        path = new_path
+        edges, _ = shared.cut(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct(), "edges")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -258,12 +264,12 @@ def _dealt(members: DataFrame, group: str) -> DataFrame:
 def _rest(members: DataFrame, labels: DataFrame, group: str) -> DataFrame | None:
     """Pass two. Of groups of several chunks (group, of, chunks, node): (group, node, label, i, j, side), the members
     outside their group's largest tree (side 1) against all (side 0); None where there are none."""
-    members = members.where("chunks > 1").select(group, "chunks", "node")
+    members = members.where("chunks > 1").select(group, "of", F.ceil(F.col("chunks") / WIDE).cast("int").alias("chunks"), "node")
     held = members.join(shared.small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     held, _ = shared.cut(held, "held")
-    counts = held.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy(group).agg(F.max_by("label", F.struct("n", "label")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
-    largest, _ = shared.cut(largest.withColumn("blocks", F.ceil(F.col("rest") / REST).cast("int")), "largest")
+    counts = held.groupBy(group, "of", "chunks", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy(group, "of", "chunks").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    largest, _ = shared.cut(largest.select(group, "largest", F.ceil(F.col("rest") * F.col("chunks") / F.col("of")).cast("int").alias("blocks")), "largest")
     if largest.isEmpty():
         return None
     held = held.join(shared.small(largest), group)

@@ -366,10 +366,10 @@ def family(n, seed=8, change=0.02, words=80):
     return [" ".join(f"w{i}" if rng.random() > change else f"z{rng.randrange(9)}w{i}" for i in range(words)) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("chunk", "rest", "change"), [(256, 256, 0.02), (16, 4, 0.02), (16, 8, 0.05), (5, 3, 0.035)])
-def test_near_duplicates(spark, texts, monkeypatch, chunk, rest, change):
+@pytest.mark.parametrize(("chunk", "wide", "change"), [(128, 4, 0.02), (16, 1, 0.02), (16, 2, 0.05), (5, 3, 0.035)])
+def test_near_duplicates(spark, texts, monkeypatch, chunk, wide, change):
     monkeypatch.setattr(near_dedup, "CHUNK", chunk)
-    monkeypatch.setattr(near_dedup, "REST", rest)
+    monkeypatch.setattr(near_dedup, "WIDE", wide)
     monkeypatch.setattr(near_dedup, "PIVOTS", 2)
     docs = texts + [(2000 + i, t) for i, t in enumerate(family(90, change=change))]
     want = by_doc(docs)
@@ -437,11 +437,14 @@ def test_sketches_merge_and_estimate():
     assert abs(near_dedup.estimate(sketch(x), sketch(y), np.array([700.0]), np.array([700.0]))[0] - 0.75) < 0.1
 
 
-def test_components_of_a_chain(spark):
+def test_components_of_a_chain(spark, monkeypatch):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 102), (103, 102)]
     random.Random(1).shuffle(links)
-    got = {r["node"]: r["comp"] for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: 1 for i in range(2, 41)} | {101: 100, 102: 100, 103: 100}
+    want = {i: 1 for i in range(2, 41)} | {101: 100, 102: 100, 103: 100}
+    for at_once, parts in ((near_dedup.LINKS, 1), (2, 1), (3, 5)):
+        monkeypatch.setattr(near_dedup, "LINKS", at_once)
+        df, _ = shared.cut(spark.createDataFrame(links, "a long, b long").repartition(parts), "links")
+        assert {r["node"]: r["comp"] for r in near_dedup.components(df).collect()} == want
 
 
 # op6
