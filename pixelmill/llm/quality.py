@@ -10,8 +10,8 @@ ones vote, weighted by their similarity.
 Only rows whose crc32(doc_id as text) modulo 3 is not 1 give labels. Inputs of a score: the text alone.
 
 Defined cases: null and empty texts have no terms and get the share of label 1 in the sample; without any labelled row
-every score is 0.5; a key with several labels counts with the least; labelled keys without a document, and null labels,
-do not count; a null key is not held out; extra columns are carried; columns named as an output column are replaced.
+every score is 0.5; a key with several labels counts with the least, and one of several texts with the least terms;
+labelled keys without a document, and null labels, do not count; a null key is not held out; extra columns are carried; columns named as an output column are replaced.
 """
 
 from __future__ import annotations
@@ -144,10 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                     rows = [r.tobytes() for r in counts(_bytes(part.column("text"))).astype("<f4")]
                     yield pa.RecordBatch.from_arrays([part.column("key").cast(pa.int64()), part.column("label").cast(pa.float64()), pa.array(rows, pa.binary())], names=["key", "label", "x"])
 
-    rows = own.select("key", "label", "text").mapInArrow(task, "key long, label double, x binary").toArrow()
+    # One row a key, of whatever rows share it, so that no more than ``most`` go to the driver.
+    rows = own.select("key", "label", "text").mapInArrow(task, "key long, label double, x binary").groupBy("key", "label").agg(F.min("x").alias("x")).toArrow()
     if not rows.num_rows:
         return Model.blank()
-    order = np.argsort(rows["key"].to_numpy(), kind="stable")[:most]
+    order = np.argsort(rows["key"].to_numpy(), kind="stable")
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), "<f4").reshape(-1, TERMS)[order]
     return Model.fit(x, rows["label"].to_numpy()[order])
 

@@ -127,6 +127,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        if max(self.lib.get_vocab(with_added_tokens=True).values()) > 0xFFFF:
+            raise ValueError("ids are held in 16 bits; the vocabulary has more")
         # A text with an added token's string goes to the library whole, as one id may stand across chunks there.
         added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.odd = "|".join([ODD, *(re.sub(r"([^\w\s])", r"\\\1", t) for t in added)])

@@ -2,22 +2,26 @@
 
 A shard holds the ids of consecutive documents. The ids stand as 16 bit-planes, most significant first, each plane
 ordered by the planes above it (zeros before ones), which is the wavelet matrix; a plane's ranks are kept for every
-1,024 bits. File layout, all integers little-endian:
+1,024 bits. Planes are compressed in pieces of ``PIECE`` bits, so that a look-up inflates only the pieces that it visits.
+File layout, all integers little-endian:
 
     b"PMWM"  u16 version  u16 planes  u64 tokens  u64 documents  u64 tokens of the partition before this shard
     then blocks, each u64 length and a Zstandard frame:
       document keys (i64), key-is-null flags (u8), tokens of each document (u32),
-      and for each plane: its packed bits (u8), its ranks (u32)
+      lengths of all pieces (u32), and for each plane: its ranks (u32)
+    then the pieces, plane after plane, each a Zstandard frame of packed bits (u8)
 
 Defined cases: null and empty texts are documents of the end id alone; null keys come first; rows of equal keys stand
-next to each other, ordered by a hash of their text; an empty table gives no files and no rows.
+next to each other, ordered by a hash of their text (rows equal in both are interchangeable, and share a range of the
+order); an empty table gives no files and no rows; a vocabulary of over 65,536 ids is an error.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +29,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shared, tokens
 
-PLANES, STEP = 16, 1024
+PLANES, STEP, PIECE = 16, 1024, 1 << 16
 HEAD = struct.Struct("<4sHHQQQ")
 #: Ids in a shard, before the document that fills it ends.
 SHARD_IDS = 1 << 20
+#: Bytes of text in a range of the order on average, and most ranges.
+RANGE_BYTES, RANGES = 16 << 20, 1 << 16
 
 
 class WaveletMatrix:
-    """Access, rank, select, count and places of ids, from bit-planes alone."""
+    """Access, rank, select, count and places of ids, from bit-planes alone. ``piece(k, j)``: piece j of plane k, packed."""
 
-    def __init__(self, n: int, bits: list[np.ndarray], ranks: list[np.ndarray]) -> None:
-        self.n, self.bits, self.ranks = n, bits, ranks
+    def __init__(self, n: int, piece: Callable[[int, int], np.ndarray], ranks: Sequence[np.ndarray]) -> None:
+        self.n, self.piece, self.ranks = n, piece, ranks
         self.zeros = [n - int(r[-1]) for r in ranks]
 
     @classmethod
@@ -49,13 +55,18 @@ class WaveletMatrix:
             ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(whole.view("<u8")).reshape(-1, STEP // 64).sum(1))]).astype("<u4"))
             bits.append(packed)
             x = np.concatenate((np.compress(~one, x), np.compress(one, x)))
-        return cls(len(x), bits, ranks)
+        return cls(len(x), lambda k, j: bits[k][j * PIECE // 8 : (j + 1) * PIECE // 8], ranks)
+
+    def pieces(self) -> int:
+        """Pieces of a plane."""
+        return -(-self.n // PIECE)
 
     def decode(self) -> np.ndarray:
         """All ids, from the lowest plane upwards."""
         x = np.zeros(self.n, "<u2")
         for k in range(PLANES - 1, -1, -1):
-            one = np.unpackbits(self.bits[k], count=self.n, bitorder="little").view(bool)
+            bits = np.concatenate([self.piece(k, j) for j in range(self.pieces())]) if self.n else np.zeros(0, np.uint8)
+            one = np.unpackbits(bits, count=self.n, bitorder="little").view(bool)
             up = np.empty_like(x)
             up[~one] = x[: self.zeros[k]]
             up[one] = x[self.zeros[k] :] | (1 << (PLANES - 1 - k))
@@ -63,15 +74,18 @@ class WaveletMatrix:
         return x
 
     def _bit(self, k: int, i: int) -> int:
-        return self.bits[k][i >> 3] >> (i & 7) & 1
+        return self.piece(k, i // PIECE)[i % PIECE >> 3] >> (i & 7) & 1
 
     def _ones(self, k: int, i: int) -> int:
         """Ones among the first ``i`` bits of plane ``k``."""
-        step = i // STEP
-        part = self.bits[k][step * STEP // 8 : (i + 7) // 8].copy()
-        if i & 7 and len(part):
-            part[-1] &= (1 << (i & 7)) - 1
-        return int(self.ranks[k][step]) + int(np.bitwise_count(part).sum())
+        step, out = i // STEP, int(self.ranks[k][i // STEP])
+        if i % STEP:
+            begin = step * STEP % PIECE // 8
+            part = self.piece(k, i // PIECE)[begin : begin + (i % STEP + 7) // 8].copy()
+            if i & 7:
+                part[-1] &= (1 << (i & 7)) - 1
+            out += int(np.bitwise_count(part).sum())
+        return out
 
     def access(self, i: int) -> int:
         out = 0
@@ -110,7 +124,8 @@ class WaveletMatrix:
         if not bit:
             before = np.arange(len(before)) * STEP - before
         step = int(np.searchsorted(before, nth, "right")) - 1
-        block = np.unpackbits(self.bits[k][step * STEP // 8 : (step + 1) * STEP // 8], bitorder="little")
+        begin = step * STEP % PIECE // 8
+        block = np.unpackbits(self.piece(k, step * STEP // PIECE)[begin : begin + STEP // 8], bitorder="little")
         return step * STEP + int(np.flatnonzero(block == bit)[nth - int(before[step])])
 
     def places(self, token: int) -> list[int]:
@@ -123,76 +138,80 @@ def dump(ids: np.ndarray, keys: list, lens: np.ndarray, before: int) -> bytes:
 
     pack = zstandard.ZstdCompressor(level=1).compress
     wm = WaveletMatrix.build(ids)
-    blocks = [np.array([k or 0 for k in keys], "<i8"), np.array([k is None for k in keys], np.uint8), lens.astype("<u4")]
-    for b, r in zip(wm.bits, wm.ranks, strict=True):
-        blocks += [b, r]
+    pieces = [pack(wm.piece(k, j).tobytes()) for k in range(PLANES) for j in range(wm.pieces())]
+    blocks = [np.array([k or 0 for k in keys], "<i8"), np.array([k is None for k in keys], np.uint8), lens.astype("<u4"), np.array([len(p) for p in pieces], "<u4"), *wm.ranks]
     packed = [pack(np.ascontiguousarray(b).tobytes()) for b in blocks]
-    return HEAD.pack(b"PMWM", 1, PLANES, len(ids), len(keys), before) + b"".join(struct.pack("<Q", len(p)) + p for p in packed)
+    return HEAD.pack(b"PMWM", 2, PLANES, len(ids), len(keys), before) + b"".join(struct.pack("<Q", len(p)) + p for p in packed) + b"".join(pieces)
 
 
 def load(data: bytes) -> tuple[WaveletMatrix, list, np.ndarray, int]:
-    """The matrix, the document keys, the ids of each document, and the ids of the partition before this shard."""
+    """The matrix, which inflates pieces as it needs them, the document keys, the ids of each document, and the ids of the
+    partition before this shard."""
     import zstandard
 
     magic, version, planes, n, docs, before = HEAD.unpack_from(data)
-    if (magic, version, planes) != (b"PMWM", 1, PLANES):
+    if (magic, version, planes) != (b"PMWM", 2, PLANES):
         raise ValueError("not a wavelet-matrix file")
     unpack, at, blocks = zstandard.ZstdDecompressor().decompress, HEAD.size, []
-    while at < len(data):
+    for _ in range(4 + PLANES):
+        if at + 8 > len(data):
+            raise ValueError("a wavelet-matrix file is cut short")
         (size,) = struct.unpack_from("<Q", data, at)
         blocks.append(unpack(data[at + 8 : at + 8 + size]))
         at += 8 + size
-    if at != len(data) or len(blocks) != 3 + 2 * PLANES:
-        raise ValueError("a wavelet-matrix file is cut short")
     keys = [None if null else int(k) for k, null in zip(np.frombuffer(blocks[0], "<i8"), np.frombuffer(blocks[1], np.uint8), strict=True)]
-    lens = np.frombuffer(blocks[2], "<u4").astype(np.int64)
-    if len(keys) != docs or lens.sum() != n:
+    lens, sizes = np.frombuffer(blocks[2], "<u4").astype(np.int64), np.frombuffer(blocks[3], "<u4").astype(np.int64)
+    ends = at + np.cumsum(sizes)
+    each = -(-n // PIECE)
+    if len(keys) != docs or lens.sum() != n or len(sizes) != PLANES * each or (ends[-1] if n else at) != len(data):
         raise ValueError("a wavelet-matrix file's lengths disagree")
-    return WaveletMatrix(n, [np.frombuffer(b, np.uint8) for b in blocks[3::2]], [np.frombuffer(b, "<u4") for b in blocks[4::2]]), keys, lens, before
 
+    @lru_cache(maxsize=PLANES * 4)
+    def piece(k: int, j: int) -> np.ndarray:
+        p = k * each + j
+        return np.frombuffer(unpack(data[ends[p] - sizes[p] : ends[p]]), np.uint8)
 
-def in_order(docs: DataFrame, partitions: int) -> DataFrame:
-    """(part, key, text): parts are ranges of keys in ascending order, each in one task and sorted there. The ranges come
-    from the keys alone, so texts are read once (a range partitioning would read them a second time for its sample)."""
-    from pyspark.ml.feature import Bucketizer
+    return WaveletMatrix(n, piece, [np.frombuffer(b, "<u4") for b in blocks[4:]]), keys, lens, before
 
-    shares = [i / partitions for i in range(1, partitions)]
-    found = docs.agg(F.percentile_approx(F.col("key").cast("double"), shares, 10_000).alias("q")).first()["q"] if shares else None
-    splits = [float("-inf"), *sorted(set(found or [])), float("inf")]
-    if len(splits) > 2:
-        docs = Bucketizer(splits=splits, inputCol="at", outputCol="part").transform(docs.withColumn("at", F.coalesce(F.col("key").cast("double"), F.lit(float("-inf")))))
-    else:
-        docs = docs.withColumn("part", F.lit(0))
-    return docs.select(F.col("part").cast("long").alias("part"), "key", "text").repartition(partitions, "part").sortWithinPartitions("part", "key", F.xxhash64("text"))
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """(key, text) in ascending order over the partitions, about ``RANGE_BYTES`` of text in each. Ranges are of keys and
+    hashes of the text, so the rows of one key are not one range."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    return hashed.repartitionByRange(min(RANGES, max(1, -(-size // RANGE_BYTES))), "key", "hash").sortWithinPartitions("key", "hash").select("key", "text")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_ids: int = SHARD_IDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes ``path/part-P-S.wm`` in ascending key order; returns (part, shard, docs, ids), a row a file, already done."""
+    """Writes ``path/part-P-S-ATTEMPT.wm`` in ascending key order; returns (name, part, shard, docs, ids), a row a file,
+    already done. Files are named by attempt, so those that a lost one left behind are in no manifest."""
     spark = docs.sparkSession
     shared.make_dirs(spark, path)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(tokenizer or tokens.default_path())
-        part, ids, keys, lens, held, before, shard, done = -1, [], [], [], 0, 0, 0, []
+        import uuid
+
+        from pyspark import TaskContext
+
+        enc, part, attempt = tokens.encoder(tokenizer or tokens.default_path()), TaskContext.get().partitionId(), uuid.uuid4().hex
+        ids, keys, lens, held, before, done = [], [], [], 0, 0, []
 
         def close() -> None:
-            nonlocal held, before, shard
+            nonlocal held, before
             if keys:
-                shared.write_bytes(f"{path}/part-{part:06d}-{shard:06d}.wm", dump(np.concatenate(ids), keys, np.array(lens), before))
-                done.append((part, shard, len(keys), held))
-                before, shard, held = before + held, shard + 1, 0
+                name = f"part-{part:06d}-{len(done):06d}-{attempt}.wm"
+                shared.write_bytes(f"{path}/{name}", dump(np.concatenate(ids), keys, np.array(lens), before))
+                done.append((name, part, len(done), len(keys), held))
+                before, held = before + held, 0
                 ids.clear(), keys.clear(), lens.clear()
 
         for batch in batches:
             for piece in tokens.slices(batch, "text"):
                 flat, n = tokens.ends(*enc.encode(piece.column("text")))
-                own, at, pos, parts = piece.column("key").to_pylist(), 0, np.concatenate([[0], np.cumsum(n)]), piece.column("part").to_numpy()
+                own, at, pos = piece.column("key").to_pylist(), 0, np.concatenate([[0], np.cumsum(n)])
                 while at < len(own):
-                    if parts[at] != part:
-                        close()
-                        part, before, shard = int(parts[at]), 0, 0
-                    # as many documents of the part as the shard takes, the one that fills it included
-                    to = min(int(np.searchsorted(pos, pos[at] + shard_ids - held, "left")), int(np.searchsorted(parts, part, "right")))
+                    # as many documents as the shard takes, the one that fills it included
+                    to = min(int(np.searchsorted(pos, pos[at] + shard_ids - held, "left")), len(own))
                     to = max(to, at + 1)
                     ids.append(flat[pos[at] : pos[to]])
                     keys += own[at:to]
@@ -202,38 +221,80 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_ids: i
                     if held >= shard_ids:
                         close()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)] if done else [pa.array([], pa.int64())] * 4, names=["part", "shard", "docs", "ids"])
-
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = in_order(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), partitions)
-    return shared.cut(ordered.mapInArrow(task, "part long, shard long, docs long, ids long"), "shards")[0]
-
+        cols = list(zip(*done, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["name", "part", "shard", "docs", "ids"])
 
-def read(spark, path: str, manifest: DataFrame) -> DataFrame:
-    """(key, start, n_tokens, ids): every document of the files, ids as little-endian u32."""
-    return _read(spark, path, manifest, "ids binary", lambda raw: pa.array(raw, pa.binary()))
+    ordered = in_order(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
+    return shared.cut(ordered.mapInArrow(task, "name string, part long, shard long, docs long, ids long"), "shards")[0]
 
 
-def _read(spark, path: str, manifest: DataFrame, column: str, of) -> DataFrame:
-    name = column.split()[0]
+def _each(spark, path: str, manifest: DataFrame, schema: str, work: Callable) -> DataFrame:
+    """The batches that ``work(matrix, keys, lens, start)`` yields for each file of the manifest; ``start``: ids of all
+    documents before it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data in zip(batch.column("part").to_pylist(), batch.column("content"), strict=True):
+            for base, data in zip(batch.column("base").to_pylist(), batch.column("content"), strict=True):
                 wm, keys, lens, before = load(data.as_py())
-                raw, ends = wm.decode().astype("<u4").tobytes(), np.cumsum(lens)
-                starts = ends - lens
-                cuts = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(starts + before), pa.array(lens), of(cuts)], names=["part", "key", "start", "n_tokens", name])
+                yield from work(wm, keys, lens, base + before)
 
-    # A row for each part of the writing job, whatever the data's size.
+    # A row for each range of the writing job.
     parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids"))
     base = parts.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    if manifest.isEmpty():
-        return spark.createDataFrame([], f"key long, start long, n_tokens long, {column}")
-    files = spark.read.format("binaryFile").load(f"{path}/*.wm").select(F.regexp_extract("path", r"part-(\d+)-\d+\.wm$", 1).cast("long").alias("part"), "content")
-    found = files.mapInArrow(task, f"part long, key long, start long, n_tokens long, {column}")
-    return found.join(shared.small(base), "part").select("key", (F.col("base") + F.col("start")).alias("start"), "n_tokens", name)
+    named, _ = shared.cut(manifest.join(base, "part").select("name", "base"), "names")
+    if named.isEmpty():
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").load(f"{path}/*.wm").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return files.join(shared.small(named), "name").select("base", "content").mapInArrow(task, schema)
+
+
+def read(spark, path: str, manifest: DataFrame) -> DataFrame:
+    """(key, start, n_tokens, ids): every document of the files, ids as little-endian u32."""
+    return _read(spark, path, manifest, "ids binary", lambda raw: pa.array(raw, pa.binary()))
+
+
+def _read(spark, path: str, manifest: DataFrame, column: str, of: Callable) -> DataFrame:
+    def work(wm: WaveletMatrix, keys: list, lens: np.ndarray, start: int) -> Iterator[pa.RecordBatch]:
+        raw, ends = wm.decode().astype("<u4").tobytes(), np.cumsum(lens)
+        starts = ends - lens
+        cuts = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + start), pa.array(lens), of(cuts)], names=["key", "start", "n_tokens", column.split()[0]])
+
+    return _each(spark, path, manifest, f"key long, start long, n_tokens long, {column}", work)
+
+
+def count(spark, path: str, manifest: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, n): how often each id occurs in all files, by rank alone."""
+    ids = list(dict.fromkeys(ids))
+
+    def work(wm: WaveletMatrix, keys: list, lens: np.ndarray, start: int) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([wm.count(t) for t in ids], pa.int64())], names=["id", "n"])
+
+    return _each(spark, path, manifest, "id long, n long", work).groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark, path: str, manifest: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, key, place): where each id occurs, as the document's key and the place among its ids, by select alone."""
+    ids = list(dict.fromkeys(ids))
+
+    def work(wm: WaveletMatrix, keys: list, lens: np.ndarray, start: int) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(lens)
+        for t in ids:
+            at = np.array(wm.places(t), np.int64)
+            doc = np.searchsorted(ends, at, "right")
+            yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int64()), pa.array([keys[d] for d in doc.tolist()], pa.int64()), pa.array(at - (ends - lens)[doc])], names=["id", "key", "place"])
+
+    return _each(spark, path, manifest, "id long, key long, place long", work)
+
+
+def access(spark, path: str, manifest: DataFrame, places: list[int]) -> DataFrame:
+    """(place, id): the ids at places of the whole stream (from 0), each from the file that holds it."""
+
+    def work(wm: WaveletMatrix, keys: list, lens: np.ndarray, start: int) -> Iterator[pa.RecordBatch]:
+        own = [p for p in places if start <= p < start + wm.n]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([wm.access(p - start) for p in own], pa.int64())], names=["place", "id"])
+
+    return _each(spark, path, manifest, "place long, id long", work)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -269,8 +269,20 @@ def test_wavelet_matrix():
             assert w.count(t) == len(at) and w.rank(t, len(ids) // 2) == (at < len(ids) // 2).sum() and w.places(t)[:20] == at[:20].tolist()
     with pytest.raises(IndexError):
         w.select(4, 0)
-    with pytest.raises(ValueError):
-        wavelet.load(b"PMWM" + bytes(40))
+    for bad in (b"PMWM" + bytes(40), wavelet.dump(x, [1], np.array([len(x)]), 0)[:-1]):
+        with pytest.raises(ValueError):
+            wavelet.load(bad)
+
+
+def test_a_look_up_inflates_few_pieces(monkeypatch):
+    ids = np.random.default_rng(1).integers(0, 50_257, 400_000).astype("<u2")
+    w = wavelet.load(wavelet.dump(ids, [1], np.array([len(ids)]), 0))[0]
+    assert [w.access(i) for i in (0, 65_535, 65_536, 399_999)] == ids[[0, 65_535, 65_536, 399_999]].tolist()
+    w = wavelet.load(wavelet.dump(ids, [1], np.array([len(ids)]), 0))[0]
+    w.access(123_456)
+    assert w.piece.cache_info().currsize <= wavelet.PLANES < wavelet.PLANES * w.pieces() / 6
+    at = np.flatnonzero(ids == 77)
+    assert w.count(77) == len(at) and w.places(77) == at.tolist() and w.count(77, 1000, 200_000) == ((at >= 1000) & (at < 200_000)).sum()
 
 
 def test_wavelet_files(spark, texts):
@@ -284,6 +296,26 @@ def test_wavelet_files(spark, texts):
         assert got[k]["start"] == start and got[k]["n_tokens"] == len(want) and bytes(got[k]["ids"]) == want.tobytes()
         start += len(want)
     assert manifest.count() > 5
+    shared.write_bytes(f"{path}/part-000000-000000-lost.wm", b"what a lost attempt left behind")
+    every = sorted(docs)
+    stream = np.concatenate([slow_ids(t) for _, t in every])
+    wanted = [0, int(stream[3]), int(stream[-2]), 50_000]
+    assert {r["id"]: r["n"] for r in wavelet.count(spark, path, manifest, wanted).collect()} == {t: int((stream == t).sum()) for t in wanted}
+    at = sorted((r["id"], r["key"], r["place"]) for r in wavelet.occurrences(spark, path, manifest, wanted[1:3]).collect())
+    assert at == sorted((t, k, p) for k, x in every for p, y in enumerate(slow_ids(x).tolist()) for t in set(wanted[1:3]) if y == t)
+    assert {r["place"]: r["id"] for r in wavelet.access(spark, path, manifest, [0, 5, len(stream) - 1]).collect()} == {p: int(stream[p]) for p in (0, 5, len(stream) - 1)}
+
+
+def test_wavelet_keys_that_repeat_or_are_null(spark, monkeypatch):
+    monkeypatch.setattr(wavelet, "RANGE_BYTES", 500)
+    docs = [(None, "a b"), (None, "c"), (None, None), (7, "d e f"), (7, "d e f"), (7, ""), (-3, "<x>\ty")] + [(5, f"text {i} of one key " * 3) for i in range(60)]
+    path = shared.new_path(spark, "t")
+    manifest = wavelet.write(frame(spark, docs).repartition(3), path, shard_ids=40)
+    got = wavelet.read(spark, path, manifest).orderBy("start").collect()
+    assert sorted((r["key"] or 0, bytes(r["ids"])) for r in got) == sorted((k or 0, slow_ids(t).tobytes()) for k, t in docs)
+    assert [r["key"] for r in got] == sorted((k for k, _ in docs), key=lambda k: (k is not None, k or 0))
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got])[:-1].tolist()
+    assert manifest.select("part").distinct().count() > 4
     path = shared.new_path(spark, "t")
     assert wavelet.read(spark, path, wavelet.write(frame(spark, []), path)).count() == 0
 
@@ -487,6 +519,52 @@ def test_quality(spark, sf_dir):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
 
 
+def slow_counts(text):
+    """Terms of one text, from its own shapes, and words again within three places."""
+    raw = (text or "").encode().replace(b"\0", b" ")
+    shape = [int(quality.SHAPES[b]) for b in raw]
+    runs = [s for i, s in enumerate(shape) if i == 0 or s != shape[i - 1] or s > 3]
+    out, columns = np.zeros(quality.TERMS), quality.TERMS - quality.REPEATS
+    for size in range(1, 5):
+        for i in range(len(runs) - size + 1):
+            code = 0
+            for s in runs[i : i + size]:
+                code = (code * 0x9E3779B1 + s) % 2**32
+            out[(code * 0x85EBCA6B % 2**32 >> 7) % columns] += 1
+    words = re.findall(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", raw)
+    for gap in range(1, quality.REPEATS + 1):
+        out[columns + gap - 1] = sum(a == b for a, b in zip(words, words[gap:], strict=False))
+    return out
+
+
+def test_votes_against_all_pairs(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in shared.table(spark, sf_dir, "documents").collect()] + [(10_000, None), (10_001, ""), (10_002, "one one one A1! ..")]
+    labels = shared.table(spark, sf_dir, "labels")
+    own = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    got = {r["doc_id"]: r["score"] for r in quality.classify(frame(spark, docs), labels).collect()}
+    model = quality.fit(frame(spark, docs), labels)
+    vectors = {}
+    for k, t in docs:
+        v = (np.log1p(slow_counts(t)) * model.idf) @ model.space.astype(float)
+        vectors[k] = v / np.linalg.norm(v) if v.any() else v
+    known = [k for k in sorted(own) if vectors.get(k) is not None and vectors[k].any()]
+    assert len(model.labels) == len(known) <= quality.FIT_ROWS
+    prior = np.mean([own[k] for k in known])
+    for k, _ in docs:
+        near = sorted(((float(vectors[k] @ vectors[o]), own[o]) for o in known), reverse=True)[: quality.NEIGHBOURS]
+        weight = [max(s, 0) ** quality.SHARPNESS for s, _ in near]
+        want = sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight) if sum(weight) > 1e-9 else prior
+        assert abs(got[k] - want) < 0.02, k
+
+
+def test_labelled_rows_sent_to_the_driver_are_bounded(spark, monkeypatch):
+    docs = [(i % 7, f"text {i} of some words.") for i in range(300)] + [(100, "very long " * 300_000)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)] + [(100, 1, 0)], "doc_id long, quality int, toxic int")
+    assert len(quality.fit(frame(spark, docs), labels).labels) <= 9
+    got = quality.classify(frame(spark, docs).withColumnRenamed("rep", "score").withColumnRenamed("shard", "label"), labels)
+    assert got.columns == ["doc_id", "text", "label", "__kept", "score", "held_out", "predicted"] and got.count() == 301
+
+
 def test_quality_of_edge_cases(spark, texts):
     labels = spark.createDataFrame([(k, k % 2, 0) for k, _ in texts] + [(None, 1, 0), (12, None, 0), (13, 0, 1)], "doc_id long, quality int, toxic int")
     got = quality.classify(frame(spark, texts + [(None, "x")]), labels).collect()
@@ -622,13 +700,52 @@ def test_shards(spark, texts):
         slots[r["shard"]].append(r["slot"])
     assert sorted(slots) == list(range(5)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
-    again = external_shuffle.write(df.repartition(7), shared.new_path(spark, "s"), n_shards=5, bucket_bytes=2000).collect()
-    assert {(r["doc_id"], r["shard"], r["slot"]) for r in again} == {(r["doc_id"], r["shard"], r["slot"]) for r in got}
     other = external_shuffle.write(df, shared.new_path(spark, "s"), n_shards=5, bucket_bytes=2000, seed=8).collect()
     assert {(r["doc_id"], r["shard"]) for r in other} != {(r["doc_id"], r["shard"]) for r in got}
     assert external_shuffle.write(frame(spark, []), shared.new_path(spark, "s")).count() == 0
-    odd = external_shuffle.write(frame(spark, [(None, "a"), (None, None), (1, "b"), (1, "b")]), shared.new_path(spark, "s"), n_shards=3)
-    assert odd.count() == 4
+    odd = external_shuffle.write(frame(spark, [(None, "a"), (None, None), (1, "b"), (1, "b"), (2, "long " * 500_000)]), shared.new_path(spark, "s"), n_shards=3)
+    assert odd.count() == 5
+
+
+def test_the_seed_alone_decides(spark):
+    docs = [(None if i % 5 == 0 else i, "equal" if i % 3 == 0 else f"text {i}") for i in range(3000)]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    results = []
+    try:
+        for parts, adaptive, dealt in (("4", "false", 3), ("7", "false", 5), ("11", "true", 1)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            got = external_shuffle.assign(frame(spark, docs).repartition(dealt), 5, bucket_bytes=4000)
+            results.append(sorted((r["doc_id"] or -1, r["text"], r["shard"], r["slot"]) for r in got.collect()))
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert results[0] == results[1] == results[2]
+
+
+def test_rows_of_one_key_are_split(spark):
+    rows = frame(spark, [(None, "x")] * 2000 + [(3, f"t{i}") for i in range(2000)])
+    parts = external_shuffle.assign(rows, 4, bucket_bytes=100).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 20 and max(r["count"] for r in parts) < 400
+    numbered = external_shuffle._numbered(rows.where("doc_id is null").repartition(6).withColumn("__pm_record", F.lit(1)))
+    assert sorted(r["__pm_i"] for r in numbered.collect()) == list(range(2000))
+
+
+def test_shard_columns(spark, sf_dir):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in shared.table(spark, sf_dir, "documents").collect()}
+    for r in queries.QUERIES["op9_external_shuffle"](spark, sf_dir).collect():
+        t = texts[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(t) + 1, zlib.crc32(t), "rows", None)
+
+
+def test_order_within_a_shard_is_uniform(spark):
+    """Each of many small tables is shuffled by another seed; every row is first about equally often."""
+    first = defaultdict(int)
+    counts = spark.range(4).selectExpr("int(id) as bucket", "6L as n")
+    for seed in range(60):
+        for r in external_shuffle.permutations(counts, 4, seed).collect():
+            first[r["perm"][0]] += 1
+    assert sum(first.values()) == 240 and all(15 < first[i] < 70 for i in range(6))
 
 
 # The pipeline
