@@ -1,16 +1,22 @@
 """WARC archives in Zstandard: a dictionary in a leading skippable frame, then one frame a record.
 
 Writing: pages of equal payloads (by SHA-1) share one response record, the one of the largest page id; the others become
-revisit records that name it and carry no payload. Each task writes archives of bounded size; an archive's dictionary is
-trained from its own first records and stands, itself compressed, in a skippable frame at the archive's head.
+revisit records that name it and carry no payload. Each task writes archives of bounded size; an archive begins with a
+warcinfo record, its dictionary is trained on records from all over it and stands, itself compressed, in a skippable frame
+at the archive's head. Responses are HTTP messages, and the payload is what follows the HTTP head. Files are named by
+attempt and read by the list that the writing job returns, so what a lost attempt left behind does not count.
 
-Reading: the dictionary is taken from the skippable frame, every following frame is found by its block headers, decoded
-alone, and its record validated: version line, required headers, Content-Length, the closing line feeds, and for response
-records the payload's digest.
+Reading takes any archive of this form: the dictionary from the skippable frame (compressed or not; archives without one
+too), every following frame is found by its block headers, decoded alone, and its record validated: version line, required
+headers, Content-Length, the closing line feeds, and the digests of block and payload where they are given (SHA-1,
+SHA-256 or MD5, in base32 or hex). Records of every type are rows; the payload of HTTP messages is the body (chunks
+joined; content codings stay), of others the block.
 
 Defined cases: a null html is an empty payload; empty payloads of several pages are equal payloads; a null url leaves the
-target header out; null page ids are written as "null", never referred to by name but as null; rows that are equal are
-records each; other columns are not carried; an empty table gives no archives and no rows.
+target header out; null page ids are written as "null", never referred to by name but as null; of a page id that comes
+several times with one payload, every row of the largest id is a response; rows that are equal are records each; a record
+of more bytes than an archive takes is an archive of its own; other columns are not carried; an empty table gives no
+archives and no rows.
 """
 
 from __future__ import annotations
@@ -29,43 +35,92 @@ from . import shared
 #: Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
 FRAME = 0xFD2FB528
-#: Uncompressed bytes of an archive, and of its first records that the dictionary is trained from.
-ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 32 << 20, 1 << 20, 32 << 10
+SKIPPABLE = range(0x184D2A50, 0x184D2A60)
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Uncompressed bytes of an archive, of the records that its dictionary is trained on, of one such record, of the dictionary.
+ARCHIVE_BYTES, SAMPLE_BYTES, SAMPLE_RECORD, DICTIONARY_BYTES = 32 << 20, 2 << 20, 64 << 10, 64 << 10
 #: Payloads of at least so many bytes are deduplicated.
 LEAST_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
-SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string, refers_to_id string"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _record(kind: str, record_id: str, headers: list[str], content_type: str, block: bytes) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}", *headers, f"Content-Type: {content_type}", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def information(name: str) -> bytes:
+    """The warcinfo record of the archive ``name``."""
+    return _record("warcinfo", f"urn:archive:{name}", [f"WARC-Filename: {name}"], "application/warc-fields", b"software: pixelmill\r\nformat: WARC File Format 1.1\r\n")
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, sha: str) -> bytes:
-    """One WARC record; the id of a page is its record id, ``sha`` the payload's SHA-1 in hex."""
-    block = b"" if revisit else payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
-    if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url))
-    head += [f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha)).decode()}", f"WARC-Payload-Length: {len(payload)}"]
+    """One WARC record; the id of a page is its record id, ``sha`` the payload's SHA-1 in hex. A revisit has the HTTP head
+    alone, which says how long the payload is."""
+    name = lambda x: f"urn:page:{'null' if x is None else x}"
+    more = [] if url is None else ["WARC-Target-URI: " + re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url)]
+    more.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha)).decode()}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'null' if refers_to is None else refers_to}>"]
-    head += ["Content-Type: text/html", f"Content-Length: {len(block)}", "", ""]
-    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+        more += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <{name(refers_to)}>"]
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    return _record("revisit" if revisit else "response", name(page_id), more, "application/http; msgtype=response", http if revisit else http + payload)
+
+
+def _fields(text: str) -> dict[str, str]:
+    """Header lines by lower-case name; the first of a name counts, and lines that begin with a blank go on."""
+    out: dict[str, str] = {}
+    last = None
+    for line in text.split("\r\n") if text else []:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon:
+            raise ValueError(f"header without a colon: {line!r}")
+        last = name.strip().lower()
+        out.setdefault(last, value.strip())
+    return out
+
+
+def _holds(said: str | None, *bodies: bytes) -> bool:
+    """Whether a digest header fits one of the bodies; what names another algorithm is not judged."""
+    algorithm, colon, value = (said or "").partition(":")
+    make = {"sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256, "md5": hashlib.md5}.get(algorithm.lower())
+    if not colon or make is None:
+        return True
+    value = value.strip().upper().rstrip("=")
+    return any(value in (base64.b32encode(d).decode().rstrip("="), d.hex().upper()) for d in (make(b).digest() for b in bodies))
+
+
+def _joined(body: bytes) -> bytes | None:
+    """The body of an HTTP message in chunks; None where it is not in that form."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return None
+        if not (n := int(size, 16)):
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+        if len(out[-1]) != n or body[at - 2 : at] != b"\r\n":
+            return None
 
 
 def parse(data: bytes) -> dict:
-    """A record's headers (lower-case names) and its block; ValueError where the record is not valid."""
+    """A record's headers (lower-case names), its ``block`` and ``payload`` (None for revisits), and ``payload-length``
+    (None where a revisit does not say it); ValueError where the record is not valid."""
     end = data.find(b"\r\n\r\n")
-    lines = data[: max(end, 0)].decode("utf-8").split("\r\n")
-    if end < 0 or lines[0] not in ("WARC/1.1", "WARC/1.0"):
+    version, _, text = data[: max(end, 0)].decode("utf-8").partition("\r\n")
+    if end < 0 or version not in ("WARC/1.1", "WARC/1.0"):
         raise ValueError("not a WARC record")
-    headers = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise ValueError(f"header without a colon: {line!r}")
-        headers[name.strip().lower()] = value.strip()
+    headers = _fields(text)
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise ValueError(f"no {name}")
@@ -73,23 +128,45 @@ def parse(data: bytes) -> dict:
     if len(data) != end + 4 + size + 4 or data[-4:] != b"\r\n\r\n":
         raise ValueError("the record's length disagrees with its Content-Length")
     block = data[end + 4 : end + 4 + size]
-    if headers["warc-type"] == "response" and "warc-payload-digest" in headers and headers["warc-payload-digest"] != f"sha1:{digest(block)}":
+    if not _holds(headers.get("warc-block-digest"), block):
+        raise ValueError("the block's digest disagrees")
+    payload, length = block, size
+    if headers.get("content-type", "").lower().startswith("application/http"):
+        at = block.find(b"\r\n\r\n")
+        _, _, text = block[: max(at, 0)].decode("latin-1").partition("\r\n")
+        http, payload = _fields(text), block[at + 4 :] if at >= 0 else b""
+        whole = _joined(payload) if http.get("transfer-encoding", "").lower() == "chunked" else None
+        bodies = [payload] if whole is None else [payload, whole]
+        payload, length = bodies[-1], len(bodies[-1])
+        if headers["warc-type"] == "revisit":
+            length = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+    else:
+        bodies = [payload]
+    if headers["warc-type"] == "revisit":
+        payload, length = None, length if headers.get("content-type", "").lower().startswith("application/http") else None
+    elif "warc-truncated" not in headers and not _holds(headers.get("warc-payload-digest"), *bodies):
         raise ValueError("the payload's digest disagrees")
-    return headers | {"block": block}
+    return headers | {"block": block, "payload": payload, "payload-length": length}
+
+
+def sampled(records: list[bytes]) -> list[bytes]:
+    """Records from all over an archive, evenly by bytes, about ``SAMPLE_BYTES`` of them (``SAMPLE_RECORD`` of each)."""
+    share, seen, taken, out = SAMPLE_BYTES / max(sum(map(len, records)), 1), 0, 0, []
+    for r in records:
+        seen += len(r)
+        if taken <= seen * share:
+            out.append(r[:SAMPLE_RECORD])
+            taken += len(out[-1])
+    return out
 
 
 def archive(records: list[bytes]) -> bytes:
     """An archive of records."""
     import zstandard
 
-    sample, held = [], 0
-    for r in records:
-        if held >= SAMPLE_BYTES:
-            break
-        sample.append(r[: SAMPLE_BYTES - held])
-        held += len(sample[-1])
+    sample = sampled(records)
     try:
-        dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(held // 8, 256)), sample)
+        dictionary = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(sum(map(len, sample)) // 8, 256)), sample)
     except zstandard.ZstdError:  # too few or too short records: their own bytes serve
         dictionary = zstandard.ZstdCompressionDict(b"".join(sample)[-4096:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     head = zstandard.ZstdCompressor(level=3).compress(dictionary.as_bytes())
@@ -118,7 +195,7 @@ def frame_end(data: memoryview, at: int) -> int:
 
 
 def records(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, decoded frame by frame."""
+    """The records of an archive, decoded frame by frame; skippable frames between them are passed over."""
     import zstandard
 
     view, at, dictionary = memoryview(data), 0, None
@@ -127,18 +204,28 @@ def records(data: bytes) -> Iterator[bytes]:
         own = bytes(view[8 : 8 + size])
         if len(own) != size:
             raise ValueError("the dictionary is cut short")
-        if own[:4] == struct.pack("<I", FRAME):
-            own = zstandard.ZstdDecompressor().decompressobj().decompress(own)
-        dictionary, at = zstandard.ZstdCompressionDict(own), 8 + size
+        try:
+            if own[:4] == struct.pack("<I", FRAME):
+                own = zstandard.ZstdDecompressor().decompressobj().decompress(own)
+            dictionary = zstandard.ZstdCompressionDict(own)
+        except zstandard.ZstdError as e:
+            raise ValueError(f"the dictionary cannot be read: {e}") from e
+        at = 8 + size
     unpack = zstandard.ZstdDecompressor(dict_data=dictionary)
     while at < len(data):
+        if at + 8 <= len(data) and struct.unpack_from("<I", data, at)[0] in SKIPPABLE:
+            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            continue
         to = frame_end(view, at)
-        yield unpack.decompressobj().decompress(view[at:to])
+        try:
+            yield unpack.decompressobj().decompress(view[at:to])
+        except zstandard.ZstdError as e:
+            raise ValueError(f"a frame cannot be read: {e}") from e
         at = to
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Writes ``path/part-P-A.warc.zst``; returns (part, archive, records), a row an archive, already done."""
+    """Writes ``path/part-P-A-ATTEMPT.warc.zst``; returns (name, part, archive, records), a row an archive, already done."""
     spark = pages.sparkSession
     shared.make_dirs(spark, path)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -150,15 +237,18 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> DataFr
     named = pages.join(shared.small(shared_by), "sha", "left").withColumn("again", F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.octet_length("payload") >= least_bytes))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
         from pyspark import TaskContext
 
-        part, held, own, done = TaskContext.get().partitionId(), 0, [], []
+        part, attempt, held, own, done = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, [], []
 
         def close() -> None:
             nonlocal held
             if own:
-                shared.write_bytes(f"{path}/part-{part:06d}-{len(done):06d}.warc.zst", archive(own))
-                done.append((part, len(done), len(own)))
+                name = f"part-{part:06d}-{len(done):06d}-{attempt}.warc.zst"
+                shared.write_bytes(f"{path}/{name}", archive([information(name), *own]))
+                done.append((name, part, len(done), len(own)))
                 own.clear()
                 held = 0
 
@@ -169,21 +259,29 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> DataFr
                 if held >= ARCHIVE_BYTES:
                     close()
         close()
-        cols = list(zip(*done, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["part", "archive", "records"])
+        cols = list(zip(*done, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["name", "part", "archive", "records"])
 
-    out = named.select("page_id", "url", "payload", "refers_to", "again", "sha").mapInArrow(task, "part long, archive long, records long")
+    out = named.select("page_id", "url", "payload", "refers_to", "again", "sha").mapInArrow(task, "name string, part long, archive long, records long")
     return shared.cut(out, "archives")[0]
 
 
-def read(spark, path: str) -> DataFrame:
-    """The records of all archives in a folder: page_id, url, payload_bytes, payload_digest (both of the full payload),
-    record_type, refers_to, payload (null for revisits). Any invalid record fails the job with its archive's name."""
+def read(spark, path: str, manifest: DataFrame | None = None) -> DataFrame:
+    """The records of the manifest's archives (without one: of all in the folder): page_id, url, payload_bytes,
+    payload_digest (both of the full payload), record_type, refers_to, payload (null for revisits), record_id,
+    refers_to_id; page_id and refers_to are null where the ids are not of pages. Any invalid record fails the job with its
+    archive's name."""
 
     def number(name: str | None) -> int | None:
         m = re.fullmatch(r"<urn:page:(-?\d+)>", name or "")
         return int(m[1]) if m else None
 
+    def sha1(r: dict) -> str | None:
+        if r["payload"] is not None:
+            return digest(r["payload"])
+        m = re.fullmatch(r"sha-?1:([A-Z2-7]{32}|[0-9a-f]{40})", r.get("warc-payload-digest", ""), re.IGNORECASE)
+        return None if m is None else m[1].upper() if len(m[1]) == 32 else base64.b32encode(bytes.fromhex(m[1])).decode()
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -197,8 +295,8 @@ def read(spark, path: str) -> DataFrame:
                 try:
                     for raw in records(data.as_py()):
                         r = parse(raw)
-                        first = r["warc-type"] == "response"
-                        rows.append((number(r["warc-record-id"]), r.get("warc-target-uri"), int(r.get("warc-payload-length", r["content-length"])), r["warc-payload-digest"].removeprefix("sha1:"), r["warc-type"], number(r.get("warc-refers-to")), r["block"] if first else None))
+                        own, other = r["warc-record-id"], r.get("warc-refers-to")
+                        rows.append((number(own), r.get("warc-target-uri"), r["payload-length"], sha1(r), r["warc-type"], number(other), r["payload"], own, other))
                         held += len(raw)
                         if held > 4 << 20:
                             yield flush(rows)
@@ -209,11 +307,13 @@ def read(spark, path: str) -> DataFrame:
                     yield flush(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("path", "content")
+    if manifest is not None:
+        files = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(shared.small(manifest.select("name")), "name", "left_semi").select("path", "content")
     return files.mapInArrow(task, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: the pages, written and read back."""
     path = shared.new_path(spark, "warc")
-    write(shared.table(spark, sf_dir, "pages"), path)
-    return read(spark, path).drop("url", "payload")
+    manifest = write(shared.table(spark, sf_dir, "pages"), path)
+    return read(spark, path, manifest).where("record_type in ('response', 'revisit')").drop("url", "payload", "record_id", "refers_to_id")
