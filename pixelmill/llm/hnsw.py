@@ -38,10 +38,12 @@ K, LINKS, CHOICE, BEAM = 20, 24, 96, 288
 #: nodes of a higher level that a search enters by comparing all.
 FAR, FAR_CHOICE, UPPER, SCAN = 8, 32, 64, 4096
 #: Vectors in a shard, queries in a task, queries that walk a graph at once.
-SHARD, QUERIES, BLOCK = 8192, 512, 512
+SHARD, QUERIES, BLOCK = 8192, 512, 128
 #: Centres of cells, and vectors that they are fitted on (as expected; drawn by a hash of the id).
 CELLS, SAMPLE = 256, 4096
 SHRINK = 16
+#: Nodes of a beam that a step expands.
+STEPS = 16
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -220,33 +222,51 @@ class Graph:
             return nodes[np.take_along_axis(keep, order, 1)], np.take_along_axis(best, order, 1)
         at, place = at[:, :beam], np.zeros(len(self.vectors), np.int32)
         place[nodes] = np.arange(len(nodes))
-        seen = np.zeros((n, len(self.vectors)), bool)
+        # Where a query has seen a node, the number under which it did.
+        stamp, serial = np.full((n, len(self.vectors)), -1, np.int32), 0
         node, score, done = np.full((n, beam), -1, np.int32), np.full((n, beam), -np.inf, np.float32), np.ones((n, beam), bool)
         m = at.shape[1]
-        node[:, :m], score[:, :m] = at, np.where(at < 0, -np.inf, np.einsum("nd,nkd->nk", q, self.vectors[at]))
-        done[:, :m] = at < 0
-        seen[np.broadcast_to(rows[:, None], at.shape)[at >= 0], at[at >= 0]] = True
+        row, column = np.nonzero(at >= 0)
+        node[:, :m], done[:, :m] = at, at < 0
+        score[row, column] = np.einsum("fd,fd->f", q[row], self.vectors[at[row, column]])
+        stamp[row, at[row, column]] = 0
         open_ = rows
         while len(open_):
             masked = np.where(done[open_], -np.inf, score[open_])
-            best = masked.argmax(1)
-            going = masked[np.arange(len(open_)), best] > -np.inf
-            open_, best = open_[going], best[going]
+            best = np.argpartition(-masked, STEPS - 1, axis=1)[:, :STEPS] if STEPS < beam else np.broadcast_to(np.arange(beam), masked.shape)
+            going = np.take_along_axis(masked, best, 1) > -np.inf
+            live = going.any(1)
+            open_, best, going = open_[live], best[live], going[live]
             if not len(open_):
                 break
-            done[open_, best] = True
-            near = links[place[node[open_, best]]]
-            fresh = (near >= 0) & ~seen[open_[:, None], near]
-            s = np.einsum("nd,nkd->nk", q[open_], self.vectors[near])
-            s[~fresh] = -np.inf
-            for k in range(near.shape[1]):  # a node may stand twice in a row of links
-                again = seen[open_, near[:, k]] & fresh[:, k]
-                s[again, k] = -np.inf
-                seen[open_[fresh[:, k]], near[fresh[:, k], k]] = True
-            all_s, all_n = np.hstack([score[open_], s]), np.hstack([node[open_], near])
-            all_d = np.hstack([done[open_], s == -np.inf])
+            of, column = np.nonzero(going)
+            at_row, column = open_[of], best[of, column]
+            done[at_row, column] = True
+            near = links[place[node[at_row, column]]]
+            near, at_row = near.ravel(), np.repeat(at_row, links.shape[1])
+            new = near >= 0
+            new[new] = stamp[at_row[new], near[new]] < 0
+            near, at_row = near[new], at_row[new]
+            mine = np.arange(serial, serial + len(near), dtype=np.int32)
+            stamp[at_row, near] = mine
+            once = stamp[at_row, near] == mine  # a node that several links lead to is taken once
+            near, at_row, serial = near[once], at_row[once], serial + len(mine)
+            s = np.einsum("fd,fd->f", q[at_row], self.vectors[near])
+            good = s > score.min(1)[at_row]
+            near, at_row, s = near[good], at_row[good], s[good]
+            if not len(near):
+                continue
+            many = np.bincount(at_row, minlength=n)
+            order = np.argsort(at_row, kind="stable")
+            column = np.arange(len(near)) - np.repeat(np.cumsum(many) - many, many)
+            own = np.flatnonzero(many)
+            line = (np.cumsum(many > 0) - 1)[at_row[order]]
+            more_s, more_n = np.full((len(own), many.max()), -np.inf, np.float32), np.full((len(own), many.max()), -1, np.int32)
+            more_s[line, column], more_n[line, column] = s[order], near[order]
+            all_s, all_n = np.hstack([score[own], more_s]), np.hstack([node[own], more_n])
+            all_d = np.hstack([done[own], more_n < 0])
             keep = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-            score[open_], node[open_], done[open_] = (np.take_along_axis(v, keep, 1) for v in (all_s, all_n, all_d))
+            score[own], node[own], done[own] = (np.take_along_axis(v, keep, 1) for v in (all_s, all_n, all_d))
         order = np.argsort(-score, axis=1, kind="stable")
         return np.take_along_axis(node, order, 1), np.take_along_axis(score, order, 1)
 
