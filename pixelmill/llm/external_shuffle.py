@@ -77,16 +77,16 @@ def assign(docs: DataFrame, n_shards: int, seed: int = 7, bucket_bytes: int = BU
         docs = docs.join(shared.small(heavy), "__pm_record", "left_anti").withColumn("__pm_bucket", bucket()).unionByName(equal)
         scattered = records.join(shared.small(heavy), "__pm_record", "left_anti").select(bucket()).unionByName(equal.select("__pm_bucket"))
     counts = scattered.groupBy(F.col("__pm_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    perms, _ = shared.cut(permutations(counts, buckets, seed).toDF("__pm_bucket", "__pm_before", "__pm_perm").withColumn("__pm_n", F.size("__pm_perm")), "perms")
+    perms, _ = shared.cut(permutations(counts, buckets, seed).toDF("__pm_bucket", "__pm_before", "__pm_perm").withColumn("__pm_bytes", F.size("__pm_perm").cast("long") * 4), "perms")
     place = Window.partitionBy("__pm_bucket").orderBy(F.xxhash64(F.lit(~seed), "__pm_record"), "__pm_record")
     return (
         docs.repartition(min(buckets, PARTITIONS), "__pm_bucket")
         .withColumn("__pm_place", F.row_number().over(place) - 1)
-        .join(shared.small(perms, weight="__pm_n"), "__pm_bucket")
+        .join(shared.small(perms, weight="__pm_bytes"), "__pm_bucket")
         .withColumn("__pm_rank", F.col("__pm_before") + F.get("__pm_perm", F.col("__pm_place")))
         .withColumn("shard", F.expr(f"int(__pm_rank * {n_shards}L div {max(n, 1)}L)"))
         .withColumn("slot", F.expr(f"__pm_rank - (shard * {n}L + {n_shards - 1}L) div {n_shards}L"))
-        .drop("__pm_record", "__pm_bucket", "__pm_place", "__pm_before", "__pm_perm", "__pm_n", "__pm_rank")
+        .drop("__pm_record", "__pm_bucket", "__pm_place", "__pm_before", "__pm_perm", "__pm_bytes", "__pm_rank")
     )
 
 

@@ -57,8 +57,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """``docs`` with the repeated lines taken out of ``text``, and ``n_lines`` and ``n_removed`` (long; null text: 0)."""
     docs = docs.drop("n_lines", "n_removed")
     cols = docs.columns
-    starts, _ = shared.cut(repeated(docs, key, text).toDF("__pm_doc", "__pm_starts").withColumn("__pm_n", F.size("__pm_starts")), "starts")
-    starts = shared.small(starts, weight="__pm_n")  # texts are shuffled only where the starts are too many to broadcast
+    starts, _ = shared.cut(repeated(docs, key, text).toDF("__pm_doc", "__pm_starts").withColumn("__pm_bytes", F.size("__pm_starts") * 4 + 64), "starts")
+    starts = shared.small(starts, weight="__pm_bytes")  # texts are shuffled only where the starts are too many to broadcast
     covered = F.flatten(F.transform("__pm_starts", lambda p: F.sequence(p, p + WIDTH - 1)))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__pm_lines") - 1), covered)
     return (
