@@ -45,7 +45,7 @@ BASE, RATE, TOP = 1.001, 20.0, 40_000
 LEAST_ESTIMATE = 0.6
 #: Members of a chunk of a bucket or family, shingles of a family's chunk, pivots (as expected) that go to every chunk of
 #: a group of several, chunks that make a block of pass two.
-CHUNK, CHUNK_SHINGLES, PIVOTS, WIDE = 128, 1 << 20, 8, 4
+CHUNK, CHUNK_SHINGLES, PIVOTS, WIDE = 64, 1 << 19, 8, 8
 #: Links that a task contracts at a time.
 LINKS = 1 << 21
 _RNG = np.random.default_rng(20240607)
@@ -500,8 +500,8 @@ def _sorted_out(docs: DataFrame, key: str, text: str, by_key: bool) -> tuple[Dat
     classes, _ = shared.cut(classes, "classes")
     members = with_set.select("key", "row", "n", "h1", "h2").join(classes.select("h1", "h2", "node", F.col("key").alias("least")), ["h1", "h2"])
     members, _ = shared.cut(members.select("key", "row", "n", "node", "least"), "members")
-    nodes = with_set.join(classes, ["h1", "h2", "key", "row"]).select("node", "n", "regs").dropDuplicates(["node"])
-    nodes, _ = shared.cut(nodes, "nodes")
+    first = ["h1", "h2", "key", "row"]
+    nodes, _ = shared.cut(with_set.join(classes, first).dropDuplicates(first).select("node", "n", "regs"), "nodes")
     labels = _linked(_rows(docs, key, text), nodes, classes)
     if by_key:
         several = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "a")

@@ -6,12 +6,15 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Most rows (of a few dozen bytes each) that a join side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Most rows (of a few dozen bytes each) that a join side may have to be broadcast, and most bytes where rows' sizes are
+#: told; beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 @lru_cache(maxsize=1)
@@ -42,11 +45,29 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Names of folders that are made inside; those that are still listed at the end go then."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+        for path in made:
+            remove(spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name in the shared folder; the folder goes when the driver ends."""
+    """A fresh folder name in the shared folder; the folder goes when the scope or the driver ends."""
     path = f"{shared_dir(spark)}/pixelmill-{name}-{uuid.uuid4().hex}"
     fs, p = _fs(spark, path)
     fs.deleteOnExit(p)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
@@ -68,14 +89,14 @@ def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS, weight: str | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows (or the column ``weight``, its rows' sizes in such
-    units, sums to no more), else as it is (the join then shuffles).
+def small(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows (or ``BROADCAST_BYTES`` by its column
+    ``weight``), else as it is (the join then shuffles).
 
     ``df`` must be cheap to count: a table that was cut, or a scan; files are counted by their footers.
     """
-    n = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= most else df
+    fits = df.count() <= BROADCAST_ROWS if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    return F.broadcast(df) if fits else df
 
 
 def local_path(uri: str) -> str | None:
