@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import codecs, pixels
 
-RESULT = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("out_width", T.IntegerType()), T.StructField("out_height", T.IntegerType()), T.StructField("error", T.StringType())])
+RESULT = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("out_width", T.IntegerType()), T.StructField("out_height", T.IntegerType()), T.StructField("error", T.StringType()), T.StructField("made_ms", T.LongType())])
 
 
 def _whole(x) -> int | None:
@@ -19,14 +21,16 @@ def derive(content: pd.Series, width: pd.Series, height: pd.Series, fmt: pd.Seri
     """Decode, resize, gray, blur, encode; what fails is the row's error and other rows go on."""
     out = []
     for data, w, h, f, b, g, k in zip(content, width, height, fmt, blur, gray, kernel, strict=True):
+        began = time.perf_counter()
         try:
             if data is None:
                 raise codecs.CodecError("no source")
             image = pixels.processed(codecs.decode(bytes(data)), _whole(w), _whole(h), k, bool(g) if g is not None and not pd.isna(g) else None, None if b is None or pd.isna(b) else float(b))
-            out.append((codecs.encode(image, f), image.shape[1], image.shape[0], None))
+            made = (codecs.encode(image, f), image.shape[1], image.shape[0], None)
         except codecs.CodecError as e:
-            out.append((None, None, None, str(e)))
-    return pd.DataFrame(out, columns=["content", "out_width", "out_height", "error"]).astype({"out_width": "Int32", "out_height": "Int32"})
+            made = (None, None, None, str(e))
+        out.append((*made, int((time.perf_counter() - began) * 1000)))
+    return pd.DataFrame(out, columns=["content", "out_width", "out_height", "error", "made_ms"]).astype({"out_width": "Int32", "out_height": "Int32"})
 
 
 def processed(work: DataFrame) -> DataFrame:
