@@ -1,7 +1,7 @@
 """Pixels in numpy (height x width x channels) and, for small fixed sizes, as column expressions over arrays.
 
 Resampling is separable: a kernel, stretched by the scale when shrinking, weighs the pixels around each output centre;
-weights are normalised and edges use the pixels there are. Rows first, then columns, in single precision; results are
+weights are normalised and edges use the pixels there are. Rows first, then columns, in double precision; results are
 rounded half away from zero and clamped.
 """
 
@@ -51,11 +51,11 @@ def blur_weights(size: int, sigma: float) -> np.ndarray:
 
 
 def _apply(image: np.ndarray, down: np.ndarray | None, across: np.ndarray | None) -> np.ndarray:
-    x = image.astype(np.float32)
+    x = image.astype(float)
     if down is not None:
-        x = np.tensordot(down.astype(np.float32), x, (1, 0))
+        x = np.tensordot(down, x, (1, 0))
     if across is not None:
-        x = np.moveaxis(np.tensordot(across.astype(np.float32), x, (1, 1)), 0, 1)
+        x = np.moveaxis(np.tensordot(across, x, (1, 1)), 0, 1)
     return x
 
 
@@ -112,11 +112,14 @@ def processed(image: np.ndarray, width: int | None, height: int | None, kernel:
 # The same on arrays of values, inside Catalyst.
 
 
-def weighted(array: Column, down: np.ndarray, across: np.ndarray) -> Column:
-    """The cells of ``down @ image @ across.T`` of an image held row by row: a constant row of weights for each cell."""
-    cells = np.einsum("yi,xj->yxij", down, across).reshape(len(down) * len(across), -1)
-    product = lambda row: F.aggregate(F.zip_with(array, F.array(*map(F.lit, row)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.array(*[product(row.tolist()) for row in cells])
+def weighted(name: str, down: np.ndarray, across: np.ndarray) -> tuple[str, str]:
+    """SQL for ``down @ image @ across.T`` of the image that the array column ``name`` holds row by row, in two steps: all
+    rows' sums (to be a column ``rows``), then the cells. Plain sums, which are compiled, of the weights that are not 0; as
+    text, which is one call, where thousands of column objects would be as many."""
+    total = lambda of, row, at: " + ".join(f"{of}[{at(int(i))}] * {float(row[i])!r}D" for i in np.flatnonzero(row)) or "0D"
+    rows = [total(name, down[y], lambda i, x=x: i * across.shape[1] + x) for y in range(len(down)) for x in range(across.shape[1])]
+    cells = [total("rows", across[x], lambda i, y=y: y * across.shape[1] + i) for y in range(len(down)) for x in range(len(across))]
+    return f"array({', '.join(rows)})", f"array({', '.join(cells)})"
 
 
 def luma(array: Column, pixels: int) -> Column:

@@ -87,6 +87,17 @@ def request_url(base: Column, url: Column, width: Column, height: Column, fmt: C
     return F.concat(base, F.lit("/api/images/resize?url="), keys.percent_encoded(url), F.lit("&"), query)
 
 
+def config_error(config: DataFrame) -> Column:
+    """What is wrong with a benchmark configuration (levels, urls, sizes, timeout_s), first fault first; null where nothing is."""
+    none = lambda items: F.coalesce(F.size(items), F.lit(0)) <= 0
+    return (
+        F.when(none(levels(F.col("levels"))), "no valid concurrency levels")
+        .when(none(F.filter(parts(F.col("urls")), lambda u: u != "")), "no valid urls")
+        .when(none(sizes(F.col("sizes"))), "no valid sizes")
+        .when(F.coalesce(F.col("timeout_s"), F.lit(0)) <= 0, "the timeout must be over 0")
+    )
+
+
 def bench_requests(config: DataFrame) -> DataFrame:
     """One row for each request of each level: lists pair round-robin. ``config``: host, port, levels, urls, sizes, format."""
     one = config.select(base_url(F.col("host"), F.col("port")).alias("base"), "format", levels(F.col("levels")).alias("levels"), parts(F.col("urls")).alias("urls"), sizes(F.col("sizes")).alias("sizes"))

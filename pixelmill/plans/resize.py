@@ -1,15 +1,21 @@
 """The batch plan: validate, key, probe, deduplicate, fetch, derive, store, locate.
 
 The probe and the deduplication stand before the pixel step by construction, as Spark does not move them below a UDF.
-Joins are on keys and urls; image bytes never pass a shuffle but the one that brings a source to its request.
+Joins are on keys and urls; image bytes never pass a shuffle but the one that brings a source to its request. Sources are
+a table or are fetched: ``lambda work: http.fetched(work, hosts)``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
+from .. import tables
 from ..operators import process, requests as req, store
 
+Sources = DataFrame | Callable[[DataFrame], DataFrame]
+
 
 def prepared(raw: DataFrame, sub_path: str = "") -> DataFrame:
     """Requests with ``error`` and, where good, ``key`` and the plan columns."""
@@ -23,25 +29,31 @@ def work_list(requests: DataFrame, derivatives: DataFrame) -> DataFrame:
     return req.deduplicated(store.misses(good, derivatives))
 
 
-def derived(work: DataFrame, sources: DataFrame, max_bytes: int) -> DataFrame:
-    """(key, content_type, content, error, out_width, out_height) of the work list; sources: url, status, content_length, content."""
+def derived(work: DataFrame, sources: Sources, max_bytes: int) -> DataFrame:
+    """(key, content_type, content, error, out_width, out_height, made_ms) of the work list; sources: url, status,
+    content_length, content and perhaps error, or a function that makes them of rows with ``url``."""
+    sources = sources(work) if callable(sources) else sources
     guarded = store.guarded(sources, max_bytes)
     met = work.join(guarded.select("url", F.col("content").alias("source"), F.col("error").alias("source_error")), "url", "left")
     met = met.withColumn("source", F.when(F.col("source_error").isNull(), F.col("source")))
     out = process.processed(met)
-    return out.select("key", "content_type", "result.content", F.coalesce("source_error", "result.error").alias("error"), "result.out_width", "result.out_height")
+    return out.select("key", "content_type", "result.content", F.coalesce("source_error", "result.error").alias("error"), "result.out_width", "result.out_height", "result.made_ms")
+
 
+def resize_batch(raw: DataFrame, sources: Sources, store_path: str, base: str, max_bytes: int = 50 << 20, sub_path: str = "", seq: int = 0) -> DataFrame:
+    """Answers requests and stores what was missing: (request_id, key, cached, location, error), a row a request.
 
-def resize_batch(raw: DataFrame, sources: DataFrame, store_path: str, base: str, max_bytes: int = 50 << 20, sub_path: str = "", seq: int = 0) -> DataFrame:
-    """Answers requests and stores what was missing: (request_id, key, cached, location, error), a row a request."""
-    stored = store.read(raw.sparkSession, store_path)
+    What is made is written before it is stored, and what was cached is written before the store grows, so pixels are made
+    once, whichever executor is lost, and the answer does not follow the store. Both are in the shared folder until the
+    driver, or the scope that this is called in, ends.
+    """
+    stored = store.read(raw.sparkSession, store_path, probing=True)
     known = prepared(raw, sub_path)
-    new = derived(work_list(known, stored), sources, max_bytes).persist()
+    work, _ = tables.cut(work_list(known, stored), "work")
+    new, _ = tables.cut(derived(work, sources, max_bytes), "derived")
     failed = new.where(F.col("error").isNotNull()).select("key", F.col("error").alias("made_error"))
     cached = store.probed(known.select("request_id", "url", "key", "error"), stored).withColumnRenamed("found", "cached")
-    answer = cached.join(failed, "key", "left").withColumn("error", F.coalesce("error", "made_error")).drop("made_error").persist()
-    answer.count()  # what was cached is decided before the store grows
+    answer, _ = tables.cut(cached.join(failed, "key", "left").withColumn("error", F.coalesce("error", "made_error")).drop("made_error"), "answer")
     store.append(new.where(F.col("error").isNull()), store_path, seq)
-    new.unpersist()
     located = store.located(answer.withColumn("found", F.col("error").isNull()), base)
     return located.select("request_id", "key", "cached", "location", "error")

@@ -171,16 +171,24 @@ STORE_ROWS = ["s3", "MinIO", "local_fs", "LocalFS", "local", "in_memory", "InMem
 
 def profile_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles with explicit settings over them, at eight processors, and store names."""
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(PROFILE_ROWS)], "i int, profile string, downloads int, pool int")
-    table = spark.createDataFrame([(n, v[0], 8 if v[1] is None else int(8 * v[1]), v[2] * 1048576, v[3]) for n, v in ((name, [config.PROFILES[k][c] for k in ("max_concurrent_downloads", "cpu_pool", "max_image_mib", "enable_http2")]) for c, name in enumerate(config.NAMES))], "name string, d int, p int, max_image_bytes long, enable_http2 boolean")
-    known = F.when(F.lower("profile").isin(*config.NAMES[1:]), F.lower("profile")).otherwise("")
-    out = rows.withColumn("name", known).join(F.broadcast(table), "name")  # four rows
-    one = out.select(F.col("i").cast("long").alias("i"), F.col("name").alias("profile"), F.coalesce("downloads", "d").alias("downloads"), F.coalesce("pool", "p").alias("pool"), "max_image_bytes", "enable_http2")
+    known = [p.lower() if p and p.lower() in config.NAMES else "" for p, _, _ in PROFILE_ROWS]
+    got = [config.resolved(p, {"max_concurrent_downloads": d, "cpu_pool": n}, 8) for p, d, n in PROFILE_ROWS]
+    schema = "i long, profile string, downloads int, pool int, max_image_bytes long, enable_http2 boolean"
+    one = spark.createDataFrame([(i, p, g.max_concurrent_downloads, g.pool(8), g.max_image_bytes, g.enable_http2) for i, (p, g) in enumerate(zip(known, got, strict=True))], schema)
     names = spark.createDataFrame([(100 + i, s) for i, s in enumerate(STORE_ROWS)], "i long, s string")
     two = names.select("i", F.coalesce(formats.store_name(F.col("s")), F.lit("error")).alias("profile"), F.lit(None).cast("int").alias("downloads"), F.lit(None).cast("int").alias("pool"), F.lit(None).cast("long").alias("max_image_bytes"), F.lit(None).cast("boolean").alias("enable_http2"))
     return one.unionByName(two)
 
 
+#: Levels, urls, sizes and timeouts, of which some are no configuration.
+CONFIGS = [("1,5", "http://a", "300x300", 60), ("x,", "http://a", "300x300", 60), ("1", " , ", "300x300", 60), ("1", "http://a", "bad", 60), ("1", "http://a", "10x", 0), ("", "", "", 0)]
+
+
+def config_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(CONFIGS)], "i long, levels string, urls string, sizes string, timeout_s int")
+    return rows.select("i", F.coalesce(req.config_error(rows), F.lit("-")).alias("error"))
+
+
 LISTS = ("localhost", 3000, "1, 5,x,,20", "http://a.example/1 2?q=é&r=~*, http://b.example/", "300x300,800x, x600 ,bad,axb,1200x800", "jpg")
 
 
@@ -195,10 +203,14 @@ def _cells(df: DataFrame, cells: str) -> DataFrame:
     return df.select("vec_id", F.posexplode(cells).alias("cell", "value")).select("vec_id", F.col("cell").cast("long").alias("cell"), (F.round(F.col("value").cast("double"), 4) + 0.0).alias("value"))
 
 
+def _weighted(spark: SparkSession, sf_dir: str, w: np.ndarray) -> DataFrame:
+    rows, cells = pixels.weighted("v", w, w)
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return _cells(v.select("vec_id", F.expr(rows).alias("rows")).select("vec_id", F.expr(cells).alias("cells")), "cells")
+
+
 def resample_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = pixels.weights(SIDE, SMALL, "triangle")
-    v = F.col("embedding").cast("array<double>")
-    return _cells(_table(spark, sf_dir, "embeddings").select("vec_id", pixels.weighted(v, w, w).alias("cells")), "cells")
+    return _weighted(spark, sf_dir, pixels.weights(SIDE, SMALL, "triangle"))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -217,8 +229,7 @@ def grayscale_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blur_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = pixels.blur_weights(SIDE, 1.0)
-    return _cells(_table(spark, sf_dir, "embeddings").select("vec_id", pixels.weighted(F.col("embedding").cast("array<double>"), w, w).alias("cells")), "cells")
+    return _weighted(spark, sf_dir, pixels.blur_weights(SIDE, 1.0))
 
 
 @F.pandas_udf(T.StructType([T.StructField("content", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("total", T.LongType()), T.StructField("same", T.BooleanType())]))
@@ -236,18 +247,42 @@ def png_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.col("r.size").alias("n_pixels"), F.col("r.total").alias("total"), F.col("r.same").alias("same"), formats.sniffed(F.col("r.content")).alias("format"))
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _kernels(v: pd.Series) -> pd.Series:
+    """Of an 8 x 8 image: Lanczos to 5 x 5 and to 11 x 11, and blurred, in whole pixels; then 21 RGB triples as gray."""
+    out = []
+    for x in v:
+        image = pixels.rounded(np.asarray(x, float) * 127 + 128).reshape(SIDE, SIDE, 1)
+        cells = [pixels.resized(image, 5, 5, "lanczos3"), pixels.resized(image, 11, 11, "lanczos3"), pixels.blurred(image, 1.0), pixels.gray(image.reshape(-1)[:63].reshape(1, 21, 3))]
+        out.append(np.concatenate([c.reshape(-1) for c in cells]).astype(float))
+    return pd.Series(out)
+
+
+def pixel_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numpy steps of the pixel UDF, pixel by pixel."""
+    return _cells(_table(spark, sf_dir, "embeddings").select("vec_id", _kernels("embedding").alias("cells")), "cells")
+
+
+@F.pandas_udf(T.LongType())
+def _pixel_sum(content: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else int(codecs.decode(bytes(x)).astype(int).sum()) for x in content], dtype="Int64")
+
+
 def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests for PNG sources made of embeddings, through validation, keys, deduplication, pixels and codecs."""
+    """Requests for PNG sources made of embeddings, through validation, keys, deduplication, pixels and codecs. The sum of
+    pixels is of PNG derivatives that were not blurred: as they were, or by Lanczos."""
     made = _table(spark, sf_dir, "embeddings").select("vec_id", F.format_string("http://img.example.com/%d.png", "vec_id").alias("url"), _png("embedding").alias("r"))
     sources = made.select("url", F.lit(200).alias("status"), F.octet_length("r.content").cast("long").alias("content_length"), F.col("r.content").alias("content"))
     v = F.col("vec_id")
     raw = made.select(v.alias("request_id"), "url", F.when(v % 3 > 0, 12 + v % 5).cast("int").alias("width"), F.when(v % 4 > 0, 10 + v % 7).cast("int").alias("height"), F.element_at(F.array(*map(F.lit, ("png", "webp", "jpg"))), (v % 3 + 1).cast("int")).alias("format"), F.when(v % 2 > 0, 0.8).cast("float").alias("blur_sigma"), (v % 5 == 0).alias("grayscale"))
     known = resize.prepared(raw)
-    out = resize.derived(resize.work_list(known, spark.createDataFrame([], store.DERIVATIVES)), sources, 1 << 20)
-    return out.select("key", "content_type", "error", F.col("out_width").cast("long").alias("out_width"), F.col("out_height").cast("long").alias("out_height"), formats.sniffed(F.col("content")).alias("format"))
+    work = resize.work_list(known, spark.createDataFrame([], store.DERIVATIVES))
+    out = resize.derived(work, sources, 1 << 20).join(work.select("key", "does_blur"), "key")
+    total = F.when(~F.col("does_blur") & (F.col("content_type") == "image/png"), _pixel_sum("content"))
+    return out.select("key", "content_type", "error", F.col("out_width").cast("long").alias("out_width"), F.col("out_height").cast("long").alias("out_height"), formats.sniffed(F.col("content")).alias("format"), total.alias("pixel_sum"))
 
 
-QUERIES = {f.__name__: f for f in (resize_keys, request_validation, mime_and_kernel, target_geometry, cache_probe, cache_misses, download_lookup, redirect_location, latest_derivative, dedupe_requests, source_guard, magic_bytes, bench_stats, hit_ratio, stage_averages, path_metrics, profile_resolution, bench_requests, resample_triangle, resample_udf, grayscale_array, blur_array, png_roundtrip, image_pipeline)}
+QUERIES = {f.__name__: f for f in (resize_keys, request_validation, mime_and_kernel, target_geometry, cache_probe, cache_misses, download_lookup, redirect_location, latest_derivative, dedupe_requests, source_guard, magic_bytes, bench_stats, hit_ratio, stage_averages, path_metrics, profile_resolution, bench_requests, config_validity, resample_triangle, resample_udf, grayscale_array, blur_array, png_roundtrip, pixel_kernels, image_pipeline)}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -261,8 +296,24 @@ def _matrix_sql(down: np.ndarray, across: np.ndarray) -> str:
 SELECT vec_id, CAST(cell AS BIGINT) AS cell, round(sum(CAST(embedding[spot + 1] AS DOUBLE) * f), 4) + 0.0 AS value FROM embeddings, w GROUP BY vec_id, cell"""
 
 
+def _whole_sql(matrices: list[tuple[np.ndarray, np.ndarray]]) -> str:
+    """Whole pixels of matrices on 8 x 8 whole pixels, cells one matrix after another, then 21 triples as gray."""
+    rows, first = [], 0
+    for down, across in matrices:
+        rows += [(first + y * len(across) + x, i * SIDE + j, float(down[y, i] * across[x, j])) for y in range(len(down)) for x in range(len(across)) for i in range(SIDE) for j in range(SIDE) if down[y, i] * across[x, j]]
+        first += len(down) * len(across)
+    r, g, b = pixels.LUMA
+    return f"""WITH w(cell, spot, f) AS (VALUES {_values(rows)}),
+p AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(greatest(least(floor(v::DOUBLE * 127 + 128 + 0.5), 255), 0) AS DOUBLE)) AS x FROM embeddings)
+SELECT vec_id, CAST(cell AS BIGINT) AS cell, greatest(least(floor(sum(x[spot + 1] * f) + 0.5), 255), 0) + 0.0 AS value FROM p, w GROUP BY vec_id, cell
+UNION ALL SELECT vec_id, {first} + k, floor((x[3 * k + 1] * {r} + x[3 * k + 2] * {g} + x[3 * k + 3] * {b}) / {r + g + b}) + 0.0 FROM p, range(21) t(k)"""
+
+
 _TRIANGLE = pixels.weights(SIDE, SMALL, "triangle")
 _BLUR = pixels.blur_weights(SIDE, 1.0)
+_LANCZOS = [pixels.weights(SIDE, n, "lanczos3") for n in (5, 11)]
+_BY_HEIGHT = {n: pixels.weights(SIDE, n, "lanczos3") for n in range(10, 17)}
+_BY_HEIGHT_SQL = _values([(n, y * n + x, i * SIDE + j, float(w[y, i] * w[x, j])) for n, w in _BY_HEIGHT.items() for y in range(n) for x in range(n) for i in range(SIDE) for j in range(SIDE) if w[y, i] * w[x, j]])
 _ENCODED = "replace(replace(url_encode(%s), '+', '%%20'), '*', '%%2A')"
 
 ORACLE_SQL = {
@@ -346,10 +397,18 @@ FROM (SELECT vec_id, embedding, unnest(range(21)) AS cell FROM embeddings)""",
     "png_roundtrip": """
 SELECT vec_id, CAST(64 AS INTEGER) AS n_pixels, CAST(sum(greatest(least(floor(v::DOUBLE * 127 + 128 + 0.5), 255), 0)) AS BIGINT) AS total, true AS same, 'png' AS format
 FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) GROUP BY vec_id""",
-    "image_pipeline": """
-WITH q AS (SELECT vec_id, 'http://img.example.com/' || vec_id || '.png' AS url, CASE WHEN vec_id % 3 > 0 THEN 12 + vec_id % 5 END AS w, CASE WHEN vec_id % 4 > 0 THEN 10 + vec_id % 7 END AS h,
+    "config_validity": """
+SELECT * FROM (VALUES (0::BIGINT, '-'), (1, 'no valid concurrency levels'), (2, 'no valid urls'), (3, 'no valid sizes'), (4, 'the timeout must be over 0'), (5, 'no valid concurrency levels')) t(i, error)""",
+    "pixel_kernels": _whole_sql([(w, w) for w in _LANCZOS] + [(_BLUR, _BLUR)]),
+    "image_pipeline": f"""
+WITH w(n, cell, spot, f) AS (VALUES {_BY_HEIGHT_SQL}),
+x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(greatest(least(floor(v::DOUBLE * 127 + 128 + 0.5), 255), 0) AS DOUBLE)) AS x FROM embeddings WHERE vec_id % 6 = 0),
+s AS (SELECT vec_id, CAST(sum(greatest(least(floor(v + 0.5), 255), 0)) AS BIGINT) AS pixel_sum
+      FROM (SELECT vec_id, cell, sum(x[spot + 1] * f) AS v FROM x JOIN w ON n = 10 + vec_id % 7 AND vec_id % 4 > 0 GROUP BY vec_id, cell) GROUP BY vec_id
+      UNION ALL SELECT vec_id, CAST(list_sum(x) AS BIGINT) FROM x WHERE vec_id % 4 = 0),
+q AS (SELECT vec_id, 'http://img.example.com/' || vec_id || '.png' AS url, CASE WHEN vec_id % 3 > 0 THEN 12 + vec_id % 5 END AS w, CASE WHEN vec_id % 4 > 0 THEN 10 + vec_id % 7 END AS h,
   ['png', 'webp', 'jpg'][vec_id % 3 + 1] AS f, CASE WHEN vec_id % 2 > 0 THEN '0.8' ELSE 'None' END AS b, CAST(vec_id % 5 = 0 AS VARCHAR) AS g FROM embeddings),
-k AS (SELECT DISTINCT sha256(url || coalesce(w::VARCHAR, 'None') || coalesce(h::VARCHAR, 'None') || f || b || g) || '.' || f AS key, w, h, f FROM q)
+k AS (SELECT DISTINCT sha256(url || coalesce(w::VARCHAR, 'None') || coalesce(h::VARCHAR, 'None') || f || b || g) || '.' || f AS key, w, h, f, pixel_sum FROM q LEFT JOIN s USING (vec_id))
 SELECT key, CASE f WHEN 'jpg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' ELSE 'image/webp' END AS content_type, CAST(NULL AS VARCHAR) AS error,
-  CAST(coalesce(w, h, 8) AS BIGINT) AS out_width, CAST(coalesce(h, w, 8) AS BIGINT) AS out_height, f AS format FROM k""",
+  CAST(coalesce(w, h, 8) AS BIGINT) AS out_width, CAST(coalesce(h, w, 8) AS BIGINT) AS out_height, f AS format, pixel_sum FROM k""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 
 #: Fixed values, by setting: default without a profile, high_throughput, low_latency, memory_efficient. Processing and
 #: pool sizes stand as multiples of the processors; None means "as many as processors".
@@ -51,17 +51,60 @@ def resolved(profile: str | None, given: Mapping[str, object] | None = None, pro
     return Performance(**base | {k: v for k, v in (given or {}).items() if v is not None})
 
 
+#: The environment's names of the settings.
+NAMES_IN_ENV = {
+    "max_concurrent_downloads": "MAX_CONCURRENT_DOWNLOADS",
+    "max_concurrent_processing": "MAX_CONCURRENT_PROCESSING",
+    "http_timeout_s": "HTTP_TIMEOUT_SECS",
+    "max_image_mib": "MAX_IMAGE_SIZE_MB",
+    "cpu_pool": "CPU_THREAD_POOL_SIZE",
+    "enable_http2": "ENABLE_HTTP2",
+    "connection_pool": "CONNECTION_POOL_SIZE",
+    "keep_alive_s": "KEEP_ALIVE_TIMEOUT_SECS",
+}
+#: The environment's other names, and what holds where they are not set.
+SERVICE = {
+    "host": ("HOST", "0.0.0.0"),
+    "port": ("PORT", "3000"),
+    "storage_type": ("STORAGE_TYPE", None),
+    "sub_path": ("STORAGE_SUB_PATH", ""),
+    "endpoint": ("MINIO_ENDPOINT_URL", "http://localhost:9000"),
+    "access_key": ("MINIO_ACCESS_KEY_ID", "minioadmin"),
+    "secret_key": ("MINIO_SECRET_ACCESS_KEY", "minioadmin"),
+    "bucket": ("MINIO_BUCKET", "image-cache"),
+    "region": ("MINIO_REGION", "us-east-1"),
+    "local_path": ("LOCAL_FS_STORAGE_PATH", "./data/images"),
+    "cdn_base": ("CDN_BASE_URL", "http://localhost:9000/image-cache"),
+}
+
+
 def from_env(env: Mapping[str, str] | None = None, processors: int | None = None) -> Performance:
-    """``PIXELMILL_PROFILE`` and ``PIXELMILL_<SETTING>``; what cannot be read as the setting's kind is an error."""
+    """``PERFORMANCE_PROFILE`` and the settings' own names; what cannot be read as the setting's kind is an error."""
     env = os.environ if env is None else env
     given: dict[str, object] = {}
-    for f in fields(Performance):
-        raw = env.get(f"PIXELMILL_{f.name.upper()}")
+    for name, said in NAMES_IN_ENV.items():
+        raw = env.get(said)
         if raw:
-            if f.name == "enable_http2" and raw.lower() not in ("true", "false"):
-                raise ValueError(f"{f.name}: true or false, not {raw!r}")
-            given[f.name] = raw.lower() == "true" if f.name == "enable_http2" else int(raw)
-    return resolved(env.get("PIXELMILL_PROFILE"), given, processors)
+            if name == "enable_http2" and raw.lower() not in ("true", "false"):
+                raise ValueError(f"{said}: true or false, not {raw!r}")
+            given[name] = raw.lower() == "true" if name == "enable_http2" else int(raw)
+    return resolved(env.get("PERFORMANCE_PROFILE"), given, processors)
+
+
+def service(env: Mapping[str, str] | None = None) -> dict[str, str | None]:
+    """The environment's other settings; the port is a number of 16 bits."""
+    env = os.environ if env is None else env
+    out = {name: env.get(said, default) for name, (said, default) in SERVICE.items()}
+    if not (out["port"].isdigit() and int(out["port"]) < 65536):
+        raise ValueError(f"PORT: not {out['port']!r}")
+    return out
+
+
+def stores(env: Mapping[str, str] | None = None, enabled: tuple[str, ...] = ("s3", "local", "memory")) -> Stores:
+    """The enabled stores with their settings from the environment."""
+    s = service(env)
+    s3 = {k: s[k] for k in ("endpoint", "access_key", "secret_key", "bucket", "region", "sub_path")}
+    return Stores(s3 if "s3" in enabled else None, s["local_path"] if "local" in enabled else None, "memory" in enabled, enabled)
 
 
 @dataclass(frozen=True)
@@ -110,6 +153,7 @@ def hadoop_settings(s3: Mapping[str, str]) -> dict[str, str]:
         "spark.hadoop.fs.s3a.path.style.access": "true",
         "spark.hadoop.fs.s3a.access.key": s3["access_key"],
         "spark.hadoop.fs.s3a.secret.key": s3["secret_key"],
+        **({"spark.hadoop.fs.s3a.endpoint.region": s3["region"]} if s3.get("region") else {}),
     }
 
 

@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import tables
 from ..plans import resize
 
 
-def serve(requests: DataFrame, sources: DataFrame, store_path: str, answers_path: str, checkpoint: str, base: str, once: bool = True) -> StreamingQuery:
+def serve(requests: DataFrame, sources: resize.Sources, store_path: str, answers_path: str, checkpoint: str, base: str, once: bool = True) -> StreamingQuery:
     """Answers a stream of requests; answers go to ``answers_path/batch=N``, overwritten if a batch runs again."""
 
     def batch(df: DataFrame, n: int) -> None:
-        resize.resize_batch(df, sources, store_path, base, seq=n).write.mode("overwrite").parquet(f"{answers_path}/batch={n}")
+        with tables.scope(df.sparkSession):  # what a micro-batch wrote on its way goes with it
+            resize.resize_batch(df, sources, store_path, base, seq=n).write.mode("overwrite").parquet(f"{answers_path}/batch={n}")
 
     out = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return out.trigger(availableNow=True).start() if once else out.start()

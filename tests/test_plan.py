@@ -61,8 +61,34 @@ def test_probe_and_dedup_stand_below_the_pixel_step(spark, sources):
     assert plan.index("ArrowEvalPython") < plan.index("LeftAnti")
 
 
-def test_unreadable_store_is_empty(spark, tmp_path):
+def test_stores_that_cannot_be_read(spark, tmp_path):
     assert store.read(spark, str(tmp_path / "none")).isEmpty()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_bytes(b"no parquet")
+    bad = f"nosuchscheme://{tmp_path}/bad"
+    with pytest.raises(Exception, match="(?i)scheme"):
+        store.read(spark, bad)
+    raised = []
+    for more in ({"probing": True}, {"kind": "local"}):
+        try:
+            assert store.read(spark, bad, **more).isEmpty()
+        except Exception as e:  # an error of the file system itself, not of Spark
+            raised.append(e)
+    assert not raised
+
+
+def test_objects_by_key(spark, tmp_path):
+    held = spark.createDataFrame([("a/b/" + HEX + ".png", "image/png", b"one", 1), (HEX + ".jpg", None, b"z", 2), ("../" + HEX + ".png", "image/png", b"s", 3), ("x/" + HEX + ".webp", "image/webp", None, 4)], store.DERIVATIVES)
+    got = {r["key"]: (r["n_bytes"], r["error"]) for r in store.put_objects(held, str(tmp_path / "o")).collect()}
+    assert got == {"a/b/" + HEX + ".png": (3, None), HEX + ".jpg": (1, None), "../" + HEX + ".png": (None, "unsafe key"), "x/" + HEX + ".webp": (None, "no content")}
+    assert (tmp_path / "o" / "a" / "b" / (HEX + ".png")).read_bytes() == b"one"
+    back = {r["key"]: (r["content_type"], bytes(r["content"])) for r in store.objects(spark, str(tmp_path / "o")).collect()}
+    assert back == {"a/b/" + HEX + ".png": ("image/png", b"one"), HEX + ".jpg": ("image/jpeg", b"z")}
+    again = held.where("seq = 1").withColumn("content", F.lit(b"two"))
+    assert store.put_objects(again, f"file://{tmp_path}/o").collect()[0]["n_bytes"] == 3
+    assert (tmp_path / "o" / "a" / "b" / (HEX + ".png")).read_bytes() == b"two"
+    full = store.put_objects(again, "/proc/nowhere").collect()[0]
+    assert full["n_bytes"] is None and full["error"]
 
 
 def test_keys_collide_as_documented_and_v2_does_not(spark):
@@ -92,11 +118,18 @@ def test_profiles():
     none = config.resolved("other", processors=8)
     assert (none.enable_http2, none.cpu_pool, none.pool(8), none.max_concurrent_processing) == (False, None, 8, 8)
     assert config.resolved("memory_efficient", processors=8).cpu_pool == 4
-    env = {"PIXELMILL_PROFILE": "low_latency", "PIXELMILL_ENABLE_HTTP2": "false", "PIXELMILL_CPU_POOL": "4"}
+    env = {"PERFORMANCE_PROFILE": "low_latency", "ENABLE_HTTP2": "false", "CPU_THREAD_POOL_SIZE": "4", "HTTP_TIMEOUT_SECS": "7"}
     got = config.from_env(env, processors=8)
-    assert (got.max_concurrent_downloads, got.enable_http2, got.cpu_pool) == (10, False, 4)
+    assert (got.max_concurrent_downloads, got.enable_http2, got.cpu_pool, got.http_timeout_s) == (10, False, 4, 7)
+    for bad in ({"ENABLE_HTTP2": "maybe"}, {"MAX_IMAGE_SIZE_MB": "x"}):
+        with pytest.raises(ValueError):
+            config.from_env(bad)
+    s = config.service({"PORT": "81", "MINIO_BUCKET": "b"})
+    assert (s["host"], s["port"], s["bucket"], s["storage_type"], s["cdn_base"]) == ("0.0.0.0", "81", "b", None, "http://localhost:9000/image-cache")
     with pytest.raises(ValueError):
-        config.from_env({"PIXELMILL_ENABLE_HTTP2": "maybe"})
+        config.service({"PORT": "70000"})
+    assert config.chosen(config.stores({"LOCAL_FS_STORAGE_PATH": "/d"}, ("local",)), env={}) == "local"
+    assert config.hadoop_settings(config.stores({}).s3)["spark.hadoop.fs.s3a.endpoint.region"] == "us-east-1"
 
 
 def test_store_choice():
@@ -115,10 +148,68 @@ def test_http_guards():
     assert http.fetch("http://x/a", set(), 1, 1)[4] == "host not allowed"
 
 
-def test_http_source(spark):
-    spark.dataSource.register(http.HttpImages)
-    rows = spark.read.format("http_images").option("urls", '["http://nowhere.example/x"]').load().collect()
-    assert [r["error"] for r in rows] == ["host not allowed"]
+@pytest.fixture(scope="module")
+def server():
+    """Images and faults on a local port; counts what is asked."""
+    import threading
+    from collections import Counter
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    asked = Counter()
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked[self.path] += 1
+            if self.path == "/move":
+                self.send_response(302)
+                self.send_header("Location", "/1.png")
+                self.end_headers()
+            elif self.path == "/away":
+                self.send_response(302)
+                self.send_header("Location", "http://elsewhere.example/1.png")
+                self.end_headers()
+            elif self.path == "/404":
+                self.send_error(404)
+            else:
+                body = b"x" * 3_000_000 if self.path.startswith("/large") else _png(30)
+                self.send_response(200)
+                if self.path != "/large-undeclared":
+                    self.send_header("Content-Length", str(len(body)))
+                self.end_headers()
+                self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", asked
+    s.shutdown()
+
+
+def test_fetching_from_a_table(spark, server):
+    base, asked = server
+    small = config.Performance(max_image_mib=1, max_concurrent_downloads=3, http_timeout_s=5)
+    rows = [(f"{base}{p}",) for p in ("/1.png", "/1.png", "/move", "/away", "/404", "/large", "/large-undeclared")] + [("http://other.example/x",), (None,), ("file:///etc/passwd",)]
+    before = asked["/1.png"]
+    got = {(r["url"] or "").removeprefix(base): r for r in http.fetched(spark.createDataFrame(rows, "url string"), ["127.0.0.1"], small).collect()}
+    assert len(got) == 8 and asked["/1.png"] - before == 2  # once by itself, once by the redirect
+    assert bytes(got["/1.png"]["content"]) == _png(30) == bytes(got["/move"]["content"]) and got["/1.png"]["fetch_ms"] >= 0
+    assert {k: (r["status"], r["error"]) for k, r in got.items() if k.startswith(("/4", "/l"))} == {"/404": (404, "status"), "/large": (200, "too large"), "/large-undeclared": (200, "too large")}
+    assert "not allowed" in got["/away"]["error"] and got["http://other.example/x"]["error"] == got["file:///etc/passwd"]["error"] == "host not allowed"
+
+
+def test_from_url_to_derivative(spark, server, tmp_path):
+    base, asked = server
+    rows = [(1, f"{base}/7.png", 10, None, "webp", None, None), (2, f"{base}/7.png", 5 + 6, None, "png", None, True), (3, f"{base}/404", 10, None, "png", None, None), (4, f"{base}/7.png", 10, None, "webp", None, None)]
+    raw, path = spark.createDataFrame(rows, RAW), str(tmp_path / "store")
+    fetch = lambda work: http.fetched(work, ["127.0.0.1"])
+    got = {r["request_id"]: r for r in resize.resize_batch(raw, fetch, path, "http://cdn").collect()}
+    assert [got[i]["error"] for i in (1, 2, 3, 4)] == [None, None, "status", None] and got[3]["location"] == f"{base}/404"
+    assert asked["/7.png"] == 1
+    made = {r["key"]: codecs.decode(bytes(r["content"])) for r in store.read(spark, path).collect()}
+    assert made[got[1]["key"]].shape == (6, 10, 3) and made[got[2]["key"]].shape == (7, 11, 1) and (made[got[1]["key"]] == 30).all()
+    assert all(r["cached"] for r in resize.resize_batch(raw.where("request_id <> 3"), fetch, path, "http://cdn").collect()) and asked["/7.png"] == 1
 
 
 def test_files_and_size_guard(spark, tmp_path):
