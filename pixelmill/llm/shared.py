@@ -1,94 +1,19 @@
-"""Helpers that the training-data operators share: the cluster's shared folder, lineage cuts, size-checked broadcasts."""
+"""Helpers that the training-data operators share: size-checked broadcasts, the tables; and, from ``pixelmill.tables``, the
+cluster's shared folder and lineage cuts."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..tables import cut, local_path, make_dirs, new_path, read_bytes, remove, scope, shared_dir, write_bytes
+
+__all__ = ["cut", "local_path", "make_dirs", "new_path", "read_bytes", "remove", "scope", "shared_dir", "small", "table", "write_bytes"]
+
 #: Most rows (of a few dozen bytes each) that a join side may have to be broadcast, and most bytes where rows' sizes are
 #: told; beyond it the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
-@lru_cache(maxsize=1)
-def _local_scratch() -> str:
-    import atexit
-
-    path = tempfile.mkdtemp(prefix="pixelmill-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a single-machine session (``local[...]``) gets a scratch folder that goes at exit; a cluster
-    gets a folder in the warehouse, never a machine-local one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] == "local":
-        return _local_scratch()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pixelmill"
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-_scopes: list[list[str]] = []
-
-
-@contextmanager
-def scope(spark: SparkSession) -> Iterator[list[str]]:
-    """Names of folders that are made inside; those that are still listed at the end go then."""
-    made: list[str] = []
-    _scopes.append(made)
-    try:
-        yield made
-    finally:
-        _scopes.pop()
-        for path in made:
-            remove(spark, path)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name in the shared folder; the folder goes when the scope or the driver ends."""
-    path = f"{shared_dir(spark)}/pixelmill-{name}-{uuid.uuid4().hex}"
-    fs, p = _fs(spark, path)
-    fs.deleteOnExit(p)
-    if _scopes:
-        _scopes[-1].append(path)
-    return path
-
-
-def make_dirs(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.mkdirs(p)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.delete(p, True)
-
-
-def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes ``df`` to the shared folder and reads it back: later jobs start from the files, whichever executor is lost."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def small(df: DataFrame, weight: str | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows (or ``BROADCAST_BYTES`` by its column
     ``weight``), else as it is (the join then shuffles).
@@ -99,47 +24,5 @@ def small(df: DataFrame, weight: str | None = None) -> DataFrame:
     return F.broadcast(df) if fits else df
 
 
-def local_path(uri: str) -> str | None:
-    """The path of a ``file:`` URI or a bare path, None for other stores."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if "://" not in uri else None
-
-
-def _store(uri: str):
-    """The file system and path of a URI, for Python workers. Hadoop's names of object stores are known by another name."""
-    from pyarrow import fs
-
-    scheme, _, rest = uri.partition("://")
-    return fs.FileSystem.from_uri(f"{({'s3a': 's3', 's3n': 's3'}).get(scheme, scheme)}://{rest}")
-
-
-def write_bytes(uri: str, data: bytes) -> None:
-    """Writes one file whole, from any Python worker: other readers see all of it or nothing."""
-    path = local_path(uri)
-    if path is not None:
-        part = f"{path}.{uuid.uuid4().hex}.part"
-        with open(part, "wb") as f:
-            f.write(data)
-        os.replace(part, path)
-        return
-    store, path = _store(uri)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as f:
-        f.write(data)
-    store.move(part, path)
-
-
-def read_bytes(uri: str) -> bytes:
-    """One whole file, in any Python worker."""
-    path = local_path(uri)
-    if path is not None:
-        with open(path, "rb") as f:
-            return f.read()
-    store, path = _store(uri)
-    with store.open_input_stream(path) as f:
-        return f.read()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
