@@ -150,14 +150,9 @@ def parse(data: bytes) -> dict:
 
 
 def sampled(records: list[bytes]) -> list[bytes]:
-    """Records from all over an archive, evenly by bytes, about ``SAMPLE_BYTES`` of them (``SAMPLE_RECORD`` of each)."""
-    share, seen, taken, out = SAMPLE_BYTES / max(sum(map(len, records)), 1), 0, 0, []
-    for r in records:
-        seen += len(r)
-        if taken <= seen * share:
-            out.append(r[:SAMPLE_RECORD])
-            taken += len(out[-1])
-    return out
+    """Every so manyth record of an archive, about ``SAMPLE_BYTES`` in all (``SAMPLE_RECORD`` of each at most)."""
+    held = sum(min(len(r), SAMPLE_RECORD) for r in records)
+    return [r[:SAMPLE_RECORD] for r in records[:: max(1, round(held / SAMPLE_BYTES))]]
 
 
 def archive(records: list[bytes]) -> bytes:
