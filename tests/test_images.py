@@ -132,3 +132,101 @@ def test_gray_and_order():
     assert np.array_equal(out[..., 0], want) and np.array_equal(out[..., 1], image[..., 3])
     assert np.array_equal(pixels.processed(image, 4, None, "lanczos3", True, 0.7), pixels.blurred(pixels.gray(pixels.fitted(image, 4, None, "lanczos3")), 0.7))
     assert np.array_equal(pixels.processed(image, None, None, "lanczos3", False, 0.0), image)
+
+
+# Parts of the lossless format that the writer here does not use, from a writer that only the tests have.
+
+
+def _stream(x, w, h, outermost, cache_bits=0, groups=None, shift=2):
+    """Fields (value, bits) of pixels that are numbers, without copies; pixels that the colour cache holds come from it."""
+    out = [(1, 1), (cache_bits, 4)] if cache_bits else [(0, 1)]
+    if outermost:
+        out += [(0, 1)] if groups is None else [(1, 1), (shift - 2, 3), *_stream([g << 8 for g in groups.reshape(-1).tolist()], groups.shape[1], groups.shape[0], False)]
+    own = [0] * len(x) if groups is None else [int(groups[(i // w) >> shift, (i % w) >> shift]) for i in range(len(x))]
+    cache, tokens = {}, []
+    for p in x:
+        at = (p * 0x1E35A7BD & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
+        tokens.append([280 + at] if cache_bits and cache.get(at) == p else [p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24])
+        cache[at] = p
+    books = []
+    for g in range(max(own) + 1):
+        mine = [t for t, o in zip(tokens, own, strict=True) if o == g]
+        book = []
+        for k, n in enumerate((280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)):
+            lengths = codecs._lengths(np.bincount([t[k] for t in mine if len(t) > k], minlength=n), 15)
+            out += codecs._spoken(lengths)
+            book.append((codecs._canonical(lengths), lengths * ((lengths > 0).sum() > 1)))
+        books.append(book)
+    for t, g in zip(tokens, own, strict=True):
+        out += [(int(books[g][k][0][s]), int(books[g][k][1][s])) for k, s in enumerate(t)]
+    return out
+
+
+def _file(w, h, fields):
+    import struct
+
+    head = np.array([(w - 1, 14), (h - 1, 14), (1, 1), (0, 3), *fields], np.int64)
+    data = b"\x2f" + np.packbits(codecs._packed(head[:, 0], head[:, 1]), bitorder="little").tobytes()
+    chunk = b"VP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+
+
+def _numbers(image):
+    x = image.reshape(-1, 4).astype(int)
+    return (x[:, 3] << 24 | x[:, 0] << 16 | x[:, 1] << 8 | x[:, 2]).tolist()
+
+
+@pytest.mark.parametrize("cache_bits", [0, 1, 6])
+def test_webp_caches_and_groups(cache_bits):
+    image = np.random.default_rng(2).integers(0, 5, (11, 14, 4)).astype(np.uint8) * 50
+    for groups in (None, np.array([[0, 1, 0, 2], [2, 0, 1, 1], [1, 1, 2, 0]])):
+        data = _file(14, 11, [(0, 1), *_stream(_numbers(image), 14, 11, True, cache_bits, groups)])
+        assert np.array_equal(codecs.decode(data), image)
+
+
+@pytest.mark.parametrize(("colours", "per"), [(1, 8), (2, 8), (4, 4), (13, 2), (17, 1), (200, 1)])
+def test_webp_palettes(colours, per):
+    rng = np.random.default_rng(colours)
+    palette, index = rng.integers(0, 256, (colours, 4)).astype(np.uint8), rng.integers(0, colours, (9, 13))
+    steps = np.diff(palette, axis=0, prepend=np.zeros((1, 4), np.uint8))
+    padded = np.pad(index, ((0, 0), (0, -13 % per))).reshape(9, -1, per)
+    packed = (padded << (np.arange(per) * (8 // per))).sum(2)
+    pixels_ = [255 << 24 | int(v) << 8 for v in packed.reshape(-1)]
+    fields = [(1, 1), (3, 2), (colours - 1, 8), *_stream(_numbers(steps), colours, 1, False), (0, 1), *_stream(pixels_, packed.shape[1], 9, True)]
+    assert np.array_equal(codecs.decode(_file(13, 9, fields)), palette[index])
+
+
+def test_webp_colour_transform_and_every_predictor():
+    rng = np.random.default_rng(8)
+    image = np.dstack([_image(10, 60, 3), rng.integers(0, 256, (10, 60)).astype(np.uint8)])
+    clamp = lambda v: min(max(v, 0), 255)
+    mean = lambda a, b: (a + b) // 2
+    modes = np.array([[0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 1], [13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0, 13], [11] * 15])
+    left = np.zeros((10, 60, 4), np.uint8)
+    for y in range(10):
+        for x in range(60):
+            here = image[y, x].astype(int)
+            if not y or not x:
+                guess = [0, 0, 0, 255] if not y and not x else image[y, x - 1] if not y else image[y - 1, x]
+            else:
+                a, b, c = (image[p].astype(int) for p in ((y, x - 1), (y - 1, x), (y - 1, x - 1)))
+                d = (image[y - 1, x + 1] if x < 59 else image[y, 0]).astype(int)
+                m = modes[y >> 2, x >> 2]
+                whole = a if np.abs(b - c).sum() < np.abs(a - c).sum() else b
+                guess = [
+                    np.array([0, 0, 0, 255]), a, b, d, c, mean(mean(a, d), b), mean(a, c), mean(a, b), mean(c, b), mean(b, d), mean(mean(a, c), mean(b, d)), whole,
+                    np.array([clamp(v) for v in a + b - c]), np.array([clamp(int(v + np.trunc((v - w) / 2))) for v, w in zip(mean(a, b), c, strict=True)]),
+                ][m]
+            left[y, x] = here - np.array(guess) & 255
+    fields = [(1, 1), (0, 2), (0, 3), *_stream([m << 8 for m in modes.reshape(-1).tolist()], 15, 3, False), (0, 1), *_stream(_numbers(left), 60, 10, True)]
+    assert np.array_equal(codecs.decode(_file(60, 10, fields)), image)
+    factors = rng.integers(0, 256, (3, 15, 3))  # red to blue, green to blue, green to red
+    signed = lambda v: v.astype(np.uint8).view(np.int8).astype(int)
+    f = signed(factors)[np.arange(10)[:, None] >> 2, np.arange(60)[None, :] >> 2]
+    r, g, b = (signed(image[..., c]) for c in range(3))
+    changed = image.copy()
+    changed[..., 0] = r - (f[..., 2] * g >> 5) & 255
+    changed[..., 2] = b - (f[..., 1] * g >> 5) - (f[..., 0] * r >> 5) & 255
+    table = [255 << 24 | int(p[0]) << 16 | int(p[1]) << 8 | int(p[2]) for p in factors.reshape(-1, 3)]
+    fields = [(1, 1), (1, 2), (0, 3), *_stream(table, 15, 3, False), (0, 1), *_stream(_numbers(changed), 60, 10, True)]
+    assert np.array_equal(codecs.decode(_file(60, 10, fields)), image)
