@@ -148,7 +148,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 )
                 at += len(sets)
 
-    return _rows(docs, key, text).mapInArrow(task, "key long, row long, n long, h1 long, h2 long, regs binary")
+    return _rows(docs, key, text).mapInArrow(shared.lean(task), "key long, row long, n long, h1 long, h2 long, regs binary")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -173,7 +173,7 @@ def _bands(nodes: DataFrame) -> DataFrame:
                     held = pa.array(np.repeat(batch.column("node").to_numpy()[i : i + 1024], BANDS))
                     yield pa.RecordBatch.from_arrays([pa.array(part.reshape(-1)), held], names=["bucket", "node"])
 
-    return nodes.select("node", "regs").mapInArrow(task, "bucket long, node long")
+    return nodes.select("node", "regs").mapInArrow(shared.lean(task), "bucket long, node long")
 
 
 # Components.
@@ -212,7 +212,7 @@ def _contracted(links: DataFrame) -> DataFrame:
         if held:
             yield stars()
 
-    return links.mapInArrow(task, "v long, u long")
+    return links.mapInArrow(shared.lean(task), "v long, u long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -365,7 +365,7 @@ def _likely(members: DataFrame) -> DataFrame:
             if kept:
                 yield _edges(*zip(*kept, strict=True))
 
-    return _together(members, "bucket").mapInArrow(task, "a long, b long")
+    return _together(members, "bucket").mapInArrow(shared.lean(task), "a long, b long")
 
 
 def overlaps(one: np.ndarray, codes: np.ndarray, starts: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -434,7 +434,7 @@ def _linked_in(sets: DataFrame) -> DataFrame:
             if found_a:
                 yield _edges(found_a, found_b)
 
-    return _together(sets, "family").mapInArrow(task, "a long, b long")
+    return _together(sets, "family").mapInArrow(shared.lean(task), "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -448,7 +448,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 at += len(sets)
 
     own = docs.join(shared.small(wanted), ["key", "row"]).select("node", "text")
-    return own.dropDuplicates(["node"]).mapInArrow(task, "node long, set binary")  # rows that are equal come once
+    return own.dropDuplicates(["node"]).mapInArrow(shared.lean(task), "node long, set binary")  # rows that are equal come once
 
 
 def _families(nodes: DataFrame) -> DataFrame | None:

@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         if done := list(bins.rest()):
             yield rows(done)
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(task, SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(shared.lean(task), SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

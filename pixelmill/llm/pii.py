@@ -464,7 +464,7 @@ def find(docs: DataFrame, text: str = "text", labelled: DataFrame | None = None)
                 cols += [pa.array([hashlib.sha256(_said(base).encode()).hexdigest() for base, _ in found]), pa.array([_said(every) for _, every in found]), pa.array([len(every) - len(base) for base, every in found], pa.int64()), pa.array([len(every) for _, every in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *cols], names=[*piece.schema.names, *(f.name for f in more)])
 
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(shared.lean(task), T.StructType([*docs.schema.fields, *more]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

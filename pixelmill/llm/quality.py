@@ -138,14 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in tokens.slices(batch, "text", 4 << 20):
+            for piece in tokens.slices(batch, "text", 1 << 20):
                 for i in range(0, piece.num_rows, 1024):
                     part = piece.slice(i, 1024)
                     rows = [r.tobytes() for r in counts(_bytes(part.column("text"))).astype("<f4")]
                     yield pa.RecordBatch.from_arrays([part.column("key").cast(pa.int64()), part.column("label").cast(pa.float64()), pa.array(rows, pa.binary())], names=["key", "label", "x"])
 
     # One row a key, of whatever rows share it, so that no more than ``most`` go to the driver.
-    rows = own.select("key", "label", "text").mapInArrow(task, "key long, label double, x binary").groupBy("key", "label").agg(F.min("x").alias("x")).toArrow()
+    rows = own.select("key", "label", "text").mapInArrow(shared.lean(task), "key long, label double, x binary").groupBy("key", "label").agg(F.min("x").alias("x")).toArrow()
     if not rows.num_rows:
         return Model.blank()
     order = np.argsort(rows["key"].to_numpy(), kind="stable")
@@ -160,13 +160,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in tokens.slices(batch, text, 4 << 20):
+            for piece in tokens.slices(batch, text, 1 << 20):
                 for i in range(0, piece.num_rows, 1024):
                     part = piece.slice(i, 1024)
                     found = sent.value.score(counts(_bytes(part.column(text))).astype(np.float32))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, "score"])
 
-    return docs.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(shared.lean(task), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -3,11 +3,15 @@ cluster's shared folder and lineage cuts."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..tables import cut, local_path, make_dirs, new_path, read_bytes, remove, scope, shared_dir, write_bytes
 
-__all__ = ["cut", "local_path", "make_dirs", "new_path", "read_bytes", "remove", "scope", "shared_dir", "small", "table", "write_bytes"]
+__all__ = ["cut", "lean", "local_path", "make_dirs", "new_path", "read_bytes", "remove", "scope", "shared_dir", "small", "table", "write_bytes"]
 
 #: Most rows (of a few dozen bytes each) that a join side may have to be broadcast, and most bytes where rows' sizes are
 #: told; beyond it the join shuffles.
@@ -26,3 +30,22 @@ def small(df: DataFrame, weight: str | None = None) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task for ``mapInArrow`` that gives freed memory back to the system at its end: workers live on and take other
+    tasks, and would hold what the largest one needed."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim:
+                trim(0)
+
+    return run

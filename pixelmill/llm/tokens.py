@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-#: Chunks that a worker keeps: 13 bytes each and their ids. The first are kept, as frequent ones come early; where most
-#: of a batch is unknown (another language, say), the table begins anew.
-KEPT = 1 << 21
+#: Chunks that a worker keeps: 2^22 slots of 16 bytes and their ids, some 90 MB. The first are kept, as frequent ones come
+#: early; where most of a batch is unknown (another language, say), the table begins anew.
+KEPT = 2_000_000
 #: Texts that the library must see whole.
 ODD = r"[\t\x0b-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]|[ \n][ \n]|^[ \n]|[ \n]$|^$"
 #: A chunk follows a space, a line feed, or a letter or digit; the same bytes have other ids in each case.
@@ -86,7 +86,7 @@ class Table:
         """Distinct new keys with their ids, one after another."""
         if 2 * (self.used + len(keys)) > self.mask:
             old = self.keys != 0
-            bigger = Table(1 << int(4 * (self.used + len(keys))).bit_length())
+            bigger = Table(1 << int(2 * (self.used + len(keys))).bit_length())
             bigger.pool, bigger.filled = self.pool, self.filled
             bigger._place(self.keys[old], self.start[old], self.size[old])
             self.__dict__ = bigger.__dict__

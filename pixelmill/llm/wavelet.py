@@ -225,7 +225,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_ids: i
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["name", "part", "shard", "docs", "ids"])
 
     ordered = in_order(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
-    return shared.cut(ordered.mapInArrow(task, "name string, part long, shard long, docs long, ids long"), "shards")[0]
+    return shared.cut(ordered.mapInArrow(shared.lean(task), "name string, part long, shard long, docs long, ids long"), "shards")[0]
 
 
 def _each(spark, path: str, manifest: DataFrame, schema: str, work: Callable) -> DataFrame:
@@ -245,7 +245,7 @@ def _each(spark, path: str, manifest: DataFrame, schema: str, work: Callable) ->
     if named.isEmpty():
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").load(f"{path}/*.wm").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.join(shared.small(named), "name").select("base", "content").mapInArrow(task, schema)
+    return files.join(shared.small(named), "name").select("base", "content").mapInArrow(shared.lean(task), schema)
 
 
 def read(spark, path: str, manifest: DataFrame) -> DataFrame:
