@@ -106,7 +106,7 @@ _DIGIT_LENGTH = np.array([0, 0, 1, 2, 3, 4, 4, 4, 5, 5, 5, 5, 6, 6, 6, 6, 6, 6,
 _MIXED_LENGTH = np.array([0] * 5 + [1] * 4 + [2] * 7 + [3] * 16 + [4])
 REACH = (-2, -1, 0, 1, 2)
 #: See ``Field``.
-SPARE = 1.0
+SPARE = 0.5
 #: Digits may be: in no group of a card's length, in one that fails, in one that passes, in several that pass together.
 CARD_STATES = 4
 #: A feature is a place, whether white space lies between, and a shape; or a card state.
