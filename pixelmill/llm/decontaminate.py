@@ -162,10 +162,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     hits = occurrences(docs, items, key, text).groupBy(F.col("doc").alias("__pm_doc")).agg(
         F.size(covered).cast("long").alias("__pm_hit"), F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("__pm_items")
     )
+    hits, _ = shared.cut(hits.withColumn("__pm_bytes", F.size("__pm_items") * 32 + 64), "hits")
     none = F.lit(0).cast("long")
     return (
         docs.withColumn("n_words", count_words(F.col(text)))
-        .join(hits, _row(key, text) == F.col("__pm_doc"), "left")
+        .withColumn("__pm_row", _row(key, text))  # so that a caller who drops the text has none shuffled
+        .join(shared.small(hits, weight="__pm_bytes"), F.col("__pm_row") == F.col("__pm_doc"), "left")
         .withColumn("n_hit", F.coalesce("__pm_hit", none))
         .withColumn("n_items", F.when(F.col("__pm_items").isNull(), none).otherwise(F.size("__pm_items").cast("long")))
         .withColumn("items_sha256", F.sha2(F.coalesce(F.array_join("__pm_items", ","), F.lit("")).cast("binary"), 256))
