@@ -212,7 +212,7 @@ class Encoder:
         return out, np.diff(np.concatenate([[0], done])[np.append(first, len(begin))])
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20):
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20):
     """The batch in pieces of about ``most`` bytes of text, so that memory does not follow the batch."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
