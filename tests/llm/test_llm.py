@@ -60,8 +60,13 @@ def test_same_as_sql(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_every_row_comes_back(spark, sf_dir, name):
     df = queries.QUERIES[name](spark, sf_dir)
-    key = "page_id" if name == "op6_warc" else "query_id" if name == "op8_hnsw" else "doc_id"
-    n = {"op6_warc": "select count(*) from '{}/pages.parquet'", "op8_hnsw": "select count(*) from '{}/embeddings.parquet' where vec_id % 20 = 0"}
+    key = {"op6_warc": "page_id", "op8_hnsw": "query_id", "op12_replay": "filter_order", "op13_reply_trees": "conv_id"}.get(name, "doc_id")
+    n = {
+        "op6_warc": "select count(*) from '{}/pages.parquet'",
+        "op8_hnsw": "select count(*) from '{}/embeddings.parquet' where vec_id % 20 = 0",
+        "op12_replay": "select 120 from '{}/documents.parquet' limit 1",
+        "op13_reply_trees": "select count(distinct conv_id) + 1 from '{}/conversations.parquet'",
+    }
     want = duckdb.sql(n.get(name, "select count(*) from '{}/documents.parquet'").format(sf_dir)).fetchall()[0][0]
     assert df.select(key).distinct().count() == want
 
