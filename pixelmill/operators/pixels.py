@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Luma weights in ten-thousandths.
 LUMA = (2126, 7152, 722)
@@ -112,14 +112,20 @@ def processed(image: np.ndarray, width: int | None, height: int | None, kernel:
 # The same on arrays of values, inside Catalyst.
 
 
-def weighted(name: str, down: np.ndarray, across: np.ndarray) -> tuple[str, str]:
-    """SQL for ``down @ image @ across.T`` of the image that the array column ``name`` holds row by row, in two steps: all
-    rows' sums (to be a column ``rows``), then the cells. Plain sums, which are compiled, of the weights that are not 0; as
-    text, which is one call, where thousands of column objects would be as many."""
-    total = lambda of, row, at: " + ".join(f"{of}[{at(int(i))}] * {float(row[i])!r}D" for i in np.flatnonzero(row)) or "0D"
-    rows = [total(name, down[y], lambda i, x=x: i * across.shape[1] + x) for y in range(len(down)) for x in range(across.shape[1])]
-    cells = [total("rows", across[x], lambda i, y=y: y * across.shape[1] + i) for y in range(len(down)) for x in range(len(across))]
-    return f"array({', '.join(rows)})", f"array({', '.join(cells)})"
+def weighted(images: DataFrame, key: str, values: str, down: np.ndarray, across: np.ndarray) -> DataFrame:
+    """(key, cell, value) of ``down @ image @ across.T`` for the images that the array column ``values`` holds row by row; rows
+    that share a key are added up. A join of pixels with the weights that are not 0, and a sum, which combines before the
+    shuffle; there are as many weights as the two matrices make, whatever the number of images."""
+    down_y, down_i = np.nonzero(down)
+    across_x, across_j = np.nonzero(across)
+    f = down[down_y, down_i][:, None] * across[across_x, across_j][None, :]
+    cell = down_y[:, None] * len(across) + across_x[None, :]
+    spot = down_i[:, None] * across.shape[1] + across_j[None, :]
+    rows = list(zip(spot.ravel().tolist(), cell.ravel().tolist(), f.ravel().tolist(), strict=True))
+    table = images.sparkSession.createDataFrame(rows, "spot int, cell long, weight double")
+    each = images.select(F.col(key).alias("key"), F.posexplode(values).alias("spot", "v"))
+    met = each.join(F.broadcast(table), "spot")
+    return met.groupBy("key", "cell").agg(F.sum(F.col("v") * F.col("weight")).alias("value")).withColumnRenamed("key", key)
 
 
 def luma(array: Column, pixels: int) -> Column:

@@ -98,11 +98,12 @@ def config_error(config: DataFrame) -> Column:
     )
 
 
-def bench_requests(config: DataFrame) -> DataFrame:
-    """One row for each request of each level: lists pair round-robin. ``config``: host, port, levels, urls, sizes, format."""
-    one = config.select(base_url(F.col("host"), F.col("port")).alias("base"), "format", levels(F.col("levels")).alias("levels"), parts(F.col("urls")).alias("urls"), sizes(F.col("sizes")).alias("sizes"))
+def bench_requests(config: DataFrame, *by: str) -> DataFrame:
+    """One row for each request of each level of each configuration, told apart by the columns ``by``: lists pair round-robin.
+    ``config``: host, port, levels, urls, sizes, format."""
+    one = config.select(*by, base_url(F.col("host"), F.col("port")).alias("base"), "format", levels(F.col("levels")).alias("levels"), parts(F.col("urls")).alias("urls"), sizes(F.col("sizes")).alias("sizes"))
     each = one.where((F.size("levels") > 0) & (F.size("sizes") > 0)).select("*", F.explode("levels").alias("level")).where("level > 0")
     each = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("level") - 1)).alias("i"))
     pick = lambda c: F.element_at(c, (F.col("i") % F.size(c) + 1).cast("int"))
-    each = each.select("base", "format", "level", "i", pick("urls").alias("url"), pick("sizes").alias("size"))
-    return each.select("level", "i", F.col("size.width").alias("width"), F.col("size.height").alias("height"), request_url(F.col("base"), F.col("url"), F.col("size.width"), F.col("size.height"), F.col("format")).alias("request"))
+    each = each.select(*by, "base", "format", "level", "i", pick("urls").alias("url"), pick("sizes").alias("size"))
+    return each.select(*by, "level", "i", F.col("size.width").alias("width"), F.col("size.height").alias("height"), request_url(F.col("base"), F.col("url"), F.col("size.width"), F.col("size.height"), F.col("format")).alias("request"))

@@ -165,35 +165,53 @@ def path_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.path_metrics(_table(spark, sf_dir, "events").select(F.element_at(paths, (e % 6 + 1).cast("int")).alias("path"), (200 + e % 3 * 100).alias("status")))
 
 
-PROFILE_ROWS = [("High_Throughput", None, None), ("low_latency", 7, None), ("memory_efficient", None, 3), ("nonsense", None, 9), (None, 1, None)]
 STORE_ROWS = ["s3", "MinIO", "local_fs", "LocalFS", "local", "in_memory", "InMemory", "memory", "disk", ""]
 
 
+def _picked(n: str, values: list) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(n) % len(values) + 1).cast("int"))
+
+
 def profile_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles with explicit settings over them, at eight processors, and store names."""
-    known = [p.lower() if p and p.lower() in config.NAMES else "" for p, _, _ in PROFILE_ROWS]
-    got = [config.resolved(p, {"max_concurrent_downloads": d, "cpu_pool": n}, 8) for p, d, n in PROFILE_ROWS]
-    schema = "i long, profile string, downloads int, pool int, max_image_bytes long, enable_http2 boolean"
-    one = spark.createDataFrame([(i, p, g.max_concurrent_downloads, g.pool(8), g.max_image_bytes, g.enable_http2) for i, (p, g) in enumerate(zip(known, got, strict=True))], schema)
-    names = spark.createDataFrame([(100 + i, s) for i, s in enumerate(STORE_ROWS)], "i long, s string")
-    two = names.select("i", F.coalesce(formats.store_name(F.col("s")), F.lit("error")).alias("profile"), F.lit(None).cast("int").alias("downloads"), F.lit(None).cast("int").alias("pool"), F.lit(None).cast("long").alias("max_image_bytes"), F.lit(None).cast("boolean").alias("enable_http2"))
-    return one.unionByName(two)
+    """A configuration for each customer: a profile's name in some case, and explicit settings over it, at eight processors."""
+    rows = _table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        _picked("c_custkey", ["High_Throughput", "low_latency", "MEMORY_EFFICIENT", "nonsense", None]).alias("profile"),
+        F.when(F.col("c_nationkey") % 3 == 0, F.col("c_nationkey") + 1).alias("downloads"),
+        F.when(F.col("c_nationkey") % 4 == 1, F.col("c_nationkey")).alias("threads"),
+    )
+    out = config.resolved_rows(rows, "profile", {"max_concurrent_downloads": "downloads", "cpu_pool": "threads"}, 8)
+    return out.select("c_custkey", "max_concurrent_downloads", "max_concurrent_processing", "http_timeout_s", "max_image_bytes", "pool", "enable_http2", "connection_pool", "keep_alive_s")
 
 
-#: Levels, urls, sizes and timeouts, of which some are no configuration.
-CONFIGS = [("1,5", "http://a", "300x300", 60), ("x,", "http://a", "300x300", 60), ("1", " , ", "300x300", 60), ("1", "http://a", "bad", 60), ("1", "http://a", "10x", 0), ("", "", "", 0)]
+def store_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store that each part's text, a store's name in some case or a brand, stands for."""
+    name = F.when(F.col("p_partkey") % 11 == 0, F.col("p_brand")).otherwise(_picked("p_partkey", STORE_ROWS))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.coalesce(formats.store_name(name), F.lit("error")).alias("store"))
 
 
-def config_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(CONFIGS)], "i long, levels string, urls string, sizes string, timeout_s int")
-    return rows.select("i", F.coalesce(req.config_error(rows), F.lit("-")).alias("error"))
+def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load test's lists for each page, of which some are no configuration."""
+    p = F.col("page_id")
+    return _table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.try_parse_url("url", F.lit("HOST")).alias("host"),
+        (p % 10 + 3000).cast("int").alias("port"),
+        F.when(p % 7 == 3, "x,").otherwise(F.concat_ws(",", (p % 3 + 1).cast("string"), F.lit(" x"), F.format_string(" %d ", p % 4), F.lit(""))).alias("levels"),
+        F.when(p % 11 == 5, " , ").otherwise(F.concat("url", F.lit("?q=a b&r=~*é, "), "url")).alias("urls"),
+        _picked("page_id", ["300x300,800x, x600 ,bad,axb,1200x800", "10x10", "bad", "x", "5x7 , 7x"]).alias("sizes"),
+        _picked("page_id", ["jpg", "png", "webp"]).alias("format"),
+        (p % 13).cast("int").alias("timeout_s"),
+    )
 
 
-LISTS = ("localhost", 3000, "1, 5,x,,20", "http://a.example/1 2?q=é&r=~*, http://b.example/", "300x300,800x, x600 ,bad,axb,1200x800", "jpg")
+def config_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _configs(spark, sf_dir)
+    return rows.select("page_id", F.coalesce(req.config_error(rows), F.lit("-")).alias("error"))
 
 
 def bench_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return req.bench_requests(spark.createDataFrame([LISTS], "host string, port int, levels string, urls string, sizes string, format string"))
+    return req.bench_requests(_configs(spark, sf_dir), "page_id")
 
 
 SIDE, SMALL = 8, 4
@@ -204,9 +222,8 @@ def _cells(df: DataFrame, cells: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, sf_dir: str, w: np.ndarray) -> DataFrame:
-    rows, cells = pixels.weighted("v", w, w)
-    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return _cells(v.select("vec_id", F.expr(rows).alias("rows")).select("vec_id", F.expr(cells).alias("cells")), "cells")
+    out = pixels.weighted(_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id", "v", w, w)
+    return out.select("vec_id", "cell", (F.round("value", 4) + 0.0).alias("value"))
 
 
 def resample_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +299,7 @@ def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "content_type", "error", F.col("out_width").cast("long").alias("out_width"), F.col("out_height").cast("long").alias("out_height"), formats.sniffed(F.col("content")).alias("format"), total.alias("pixel_sum"))
 
 
-QUERIES = {f.__name__: f for f in (resize_keys, request_validation, mime_and_kernel, target_geometry, cache_probe, cache_misses, download_lookup, redirect_location, latest_derivative, dedupe_requests, source_guard, magic_bytes, bench_stats, hit_ratio, stage_averages, path_metrics, profile_resolution, bench_requests, config_validity, resample_triangle, resample_udf, grayscale_array, blur_array, png_roundtrip, pixel_kernels, image_pipeline)}
+QUERIES = {f.__name__: f for f in (resize_keys, request_validation, mime_and_kernel, target_geometry, cache_probe, cache_misses, download_lookup, redirect_location, latest_derivative, dedupe_requests, source_guard, magic_bytes, bench_stats, hit_ratio, stage_averages, path_metrics, profile_resolution, store_names, config_validity, bench_requests, resample_triangle, resample_udf, grayscale_array, blur_array, png_roundtrip, pixel_kernels, image_pipeline)}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -314,7 +331,19 @@ _BLUR = pixels.blur_weights(SIDE, 1.0)
 _LANCZOS = [pixels.weights(SIDE, n, "lanczos3") for n in (5, 11)]
 _BY_HEIGHT = {n: pixels.weights(SIDE, n, "lanczos3") for n in range(10, 17)}
 _BY_HEIGHT_SQL = _values([(n, y * n + x, i * SIDE + j, float(w[y, i] * w[x, j])) for n, w in _BY_HEIGHT.items() for y in range(n) for x in range(n) for i in range(SIDE) for j in range(SIDE) if w[y, i] * w[x, j]])
-_ENCODED = "replace(replace(url_encode(%s), '+', '%%20'), '*', '%%2A')"
+
+_SQL_CONFIGS = """
+c AS (
+  SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1) AS host, page_id % 10 + 3000 AS port,
+    CASE WHEN page_id % 7 = 3 THEN 'x,' ELSE (page_id % 3 + 1) || ', x, ' || (page_id % 4) || ' ,' END AS levels,
+    CASE WHEN page_id % 11 = 5 THEN ' , ' ELSE url || '?q=a b&r=~*é, ' || url END AS urls,
+    ['300x300,800x, x600 ,bad,axb,1200x800', '10x10', 'bad', 'x', '5x7 , 7x'][page_id % 5 + 1] AS sizes, ['jpg', 'png', 'webp'][page_id % 3 + 1] AS format, page_id % 13 AS timeout_s
+  FROM pages
+), p AS (
+  SELECT *, list_filter(list_transform(string_split(levels, ','), lambda x: TRY_CAST(trim(x) AS BIGINT)), lambda x: x IS NOT NULL) AS l,
+    list_transform(string_split(urls, ','), lambda x: trim(x)) AS u,
+    list_filter(list_transform(string_split(sizes, ','), lambda x: trim(x)), lambda x: contains(x, 'x')) AS z FROM c
+)"""
 
 ORACLE_SQL = {
     "resize_keys": f"WITH {_SQL_REQUESTS} SELECT request_id, key, {_SQL_LOCATION} AS location FROM keyed",
@@ -373,21 +402,24 @@ SELECT *, coalesce(round(hits::DOUBLE / nullif(hits + misses, 0), 9), 0.0) AS hi
     "path_metrics": """
 SELECT path, status, count(*) AS n FROM (SELECT ['/health', '/metrics/x', '/api/images/resize', '/api/images/files', '/healthy', '/'][event_id % 6 + 1] AS path, 200 + event_id % 3 * 100 AS status FROM events)
 WHERE NOT (starts_with(path, '/health') OR starts_with(path, '/metrics')) GROUP BY path, status""",
-    "profile_resolution": f"""
-WITH r(i, profile, downloads, pool) AS (VALUES {_values([(i, *r) for i, r in enumerate(PROFILE_ROWS)])}),
-p(name, d, n, mib, http2) AS (VALUES ('', 20, 8, 50, false), ('high_throughput', 50, 8, 100, true), ('low_latency', 10, 8, 20, true), ('memory_efficient', 5, 4, 10, false)),
-s(i, s) AS (VALUES {_values([(100 + i, s) for i, s in enumerate(STORE_ROWS)])})
-SELECT i::BIGINT AS i, name AS profile, coalesce(downloads, d) AS downloads, coalesce(pool, n) AS pool, mib * 1048576::BIGINT AS max_image_bytes, http2 AS enable_http2
-FROM r JOIN p ON name = CASE WHEN lower(profile) IN ('high_throughput', 'low_latency', 'memory_efficient') THEN lower(profile) ELSE '' END
-UNION ALL SELECT i, CASE WHEN upper(s) IN ('S3', 'MINIO') THEN 's3' WHEN upper(s) IN ('LOCAL_FS', 'LOCALFS', 'LOCAL') THEN 'local' WHEN upper(s) IN ('IN_MEMORY', 'INMEMORY', 'MEMORY') THEN 'memory' ELSE 'error' END, NULL, NULL, NULL, NULL FROM s""",
+    "profile_resolution": """
+WITH p(name, d, n, s, mib, t, h, c, k) AS (VALUES ('', 20, 8, 30, 50, 8, false, 50, 60), ('high_throughput', 50, 16, 15, 100, 8, true, 100, 120), ('low_latency', 10, 8, 10, 20, 8, true, 25, 30), ('memory_efficient', 5, 4, 45, 10, 4, false, 10, 30)),
+r AS (SELECT *, lower(['High_Throughput', 'low_latency', 'MEMORY_EFFICIENT', 'nonsense', ''][c_custkey % 5 + 1]) AS asked FROM customer)
+SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN c_nationkey + 1 ELSE d END AS max_concurrent_downloads, n AS max_concurrent_processing, s AS http_timeout_s, mib * 1048576::BIGINT AS max_image_bytes,
+  CASE WHEN c_nationkey % 4 = 1 THEN c_nationkey ELSE t END AS pool, h AS enable_http2, c AS connection_pool, k AS keep_alive_s
+FROM r JOIN p ON p.name = CASE WHEN asked = 'nonsense' THEN '' ELSE asked END""",
+    "store_names": f"""
+SELECT p_partkey, CASE WHEN u IN ('S3', 'MINIO') THEN 's3' WHEN u IN ('LOCAL_FS', 'LOCALFS', 'LOCAL') THEN 'local' WHEN u IN ('IN_MEMORY', 'INMEMORY', 'MEMORY') THEN 'memory' ELSE 'error' END AS store
+FROM (SELECT p_partkey, upper(CASE WHEN p_partkey % 11 = 0 THEN p_brand ELSE {STORE_ROWS!r}[p_partkey % 10 + 1] END) AS u FROM part)""",
+    "config_validity": f"""
+WITH {_SQL_CONFIGS}
+SELECT page_id, CASE WHEN len(l) = 0 THEN 'no valid concurrency levels' WHEN len(list_filter(u, lambda x: x <> '')) = 0 THEN 'no valid urls'
+  WHEN len(z) = 0 THEN 'no valid sizes' WHEN timeout_s <= 0 THEN 'the timeout must be over 0' ELSE '-' END AS error FROM p""",
     "bench_requests": f"""
-WITH l AS (SELECT TRY_CAST(trim(x) AS BIGINT) AS level FROM (SELECT unnest(string_split('{LISTS[2]}', ',')) AS x)),
-u AS (SELECT list_transform(string_split('{LISTS[3]}', ','), lambda x: trim(x)) AS u),
-z AS (SELECT list_filter(list_transform(string_split('{LISTS[4]}', ','), lambda x: trim(x)), lambda x: contains(x, 'x')) AS z),
-e AS (SELECT level, unnest(range(level)) AS i, u, z FROM l, u, z WHERE level > 0),
-q AS (SELECT level, i, u[i % len(u) + 1] AS url, TRY_CAST(nullif(split_part(z[i % len(z) + 1], 'x', 1), '') AS BIGINT) AS width, TRY_CAST(nullif(split_part(z[i % len(z) + 1], 'x', 2), '') AS BIGINT) AS height FROM e)
-SELECT level, i, width, height, 'http://localhost:3000/api/images/resize?url=' || {_ENCODED % 'url'} || '&'
-  || concat_ws('&', 'width=' || width, 'height=' || height, 'format=jpg') AS request FROM q""",
+WITH {_SQL_CONFIGS}, e AS (SELECT page_id, host, port, format, level, unnest(range(level)) AS i, u, z FROM (SELECT *, unnest(l) AS level FROM p WHERE len(l) > 0 AND len(z) > 0) WHERE level > 0),
+q AS (SELECT *, u[i % len(u) + 1] AS url, TRY_CAST(nullif(split_part(z[i % len(z) + 1], 'x', 1), '') AS BIGINT) AS width, TRY_CAST(nullif(split_part(z[i % len(z) + 1], 'x', 2), '') AS BIGINT) AS height FROM e)
+SELECT page_id, level, i, width, height, 'http://' || host || ':' || port || '/api/images/resize?url=' || replace(replace(url_encode(url), '+', '%20'), '*', '%2A') || '&'
+  || concat_ws('&', 'width=' || width, 'height=' || height, 'format=' || format) AS request FROM q""",
     "resample_triangle": _matrix_sql(_TRIANGLE, _TRIANGLE),
     "resample_udf": _matrix_sql(_TRIANGLE, _TRIANGLE),
     "grayscale_array": """
@@ -397,8 +429,6 @@ FROM (SELECT vec_id, embedding, unnest(range(21)) AS cell FROM embeddings)""",
     "png_roundtrip": """
 SELECT vec_id, CAST(64 AS INTEGER) AS n_pixels, CAST(sum(greatest(least(floor(v::DOUBLE * 127 + 128 + 0.5), 255), 0)) AS BIGINT) AS total, true AS same, 'png' AS format
 FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) GROUP BY vec_id""",
-    "config_validity": """
-SELECT * FROM (VALUES (0::BIGINT, '-'), (1, 'no valid concurrency levels'), (2, 'no valid urls'), (3, 'no valid sizes'), (4, 'the timeout must be over 0'), (5, 'no valid concurrency levels')) t(i, error)""",
     "pixel_kernels": _whole_sql([(w, w) for w in _LANCZOS] + [(_BLUR, _BLUR)]),
     "image_pipeline": f"""
 WITH w(n, cell, spot, f) AS (VALUES {_BY_HEIGHT_SQL}),

@@ -6,6 +6,8 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
+from pyspark.sql import DataFrame, functions as F
+
 #: Fixed values, by setting: default without a profile, high_throughput, low_latency, memory_efficient. Processing and
 #: pool sizes stand as multiples of the processors; None means "as many as processors".
 PROFILES = {
@@ -51,6 +53,19 @@ def resolved(profile: str | None, given: Mapping[str, object] | None = None, pro
     return Performance(**base | {k: v for k, v in (given or {}).items() if v is not None})
 
 
+def resolved_rows(df: DataFrame, profile: str, given: Mapping[str, str], processors: int) -> DataFrame:
+    """``resolved`` for every row: the row's ``profile`` names it (in any case; others count as none), ``given`` maps settings to
+    columns that hold explicit values or null. Adds all settings, and ``max_image_bytes`` and ``pool``."""
+    name = F.coalesce(F.when(F.lower(profile).isin(*NAMES), F.lower(profile)), F.lit(""))
+    kinds = ", ".join(f"{k} {'boolean' if isinstance(v[0], bool) else 'int'}" for k, v in PROFILES.items())
+    presets = [(n, *[getattr(resolved(n, processors=processors), k) for k in PROFILES]) for n in NAMES]
+    table = df.sparkSession.createDataFrame(presets, f"__name string, {kinds}")
+    met = df.withColumn("__name", name).join(F.broadcast(table.select("__name", *[F.col(k).alias(f"__{k}") for k in PROFILES])), "__name")
+    met = met.withColumns({k: F.coalesce(*[F.col(c) for c in (given.get(k),) if c], F.col(f"__{k}")) for k in PROFILES})
+    met = met.withColumns({"max_image_bytes": F.col("max_image_mib").cast("long") * 1024 * 1024, "pool": F.coalesce("cpu_pool", F.lit(processors))})
+    return met.drop("__name", *[f"__{k}" for k in PROFILES])
+
+
 #: The environment's names of the settings.
 NAMES_IN_ENV = {
     "max_concurrent_downloads": "MAX_CONCURRENT_DOWNLOADS",

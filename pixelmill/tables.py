@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Where that is unset, a single-machine session (``local[...]``) gets a scratch folder that goes at exit; a cluster
-    gets a folder in the warehouse, never a machine-local one.
+    gets a folder in the warehouse, and an error where the warehouse is in a machine's own file system, as by default.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     if spark.sparkContext.master.split("[")[0] == "local":
         return _local_scratch()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pixelmill"
+    path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pixelmill"
+    if _fs(spark, path)[0].getScheme() == "file":
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share: {path} is a machine's own")
+    return path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -41,29 +45,30 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-_scopes: list[list[str]] = []
+#: The folders of the scope that this thread is in; other threads, a stream's say, have scopes of their own or none.
+_made: ContextVar[list[str] | None] = ContextVar("pixelmill_made", default=None)
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[list[str]]:
-    """Names of folders that are made inside; those that are still listed at the end go then."""
+    """Names of folders that this thread makes inside; those that are still listed at the end go then."""
     made: list[str] = []
-    _scopes.append(made)
+    outer = _made.set(made)
     try:
         yield made
     finally:
-        _scopes.pop()
+        _made.reset(outer)
         for path in made:
             remove(spark, path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name in the shared folder; the folder goes when the scope or the driver ends."""
+    """A fresh folder name in the shared folder; the folder goes when this thread's scope, or else the driver, ends."""
     path = f"{shared_dir(spark)}/pixelmill-{name}-{uuid.uuid4().hex}"
     fs, p = _fs(spark, path)
     fs.deleteOnExit(p)
-    if _scopes:
-        _scopes[-1].append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 

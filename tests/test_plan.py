@@ -152,14 +152,31 @@ def test_http_guards():
 def server():
     """Images and faults on a local port; counts what is asked."""
     import threading
+    import time
     from collections import Counter
     from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-    asked = Counter()
+    asked, lock = Counter(), threading.Lock()
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
-            asked[self.path] += 1
+            host = self.headers["Host"].split(":")[0]
+            with lock:
+                asked[self.path] += 1
+                asked["open", host] += 1
+                asked["most", host] = max(asked["most", host], asked["open", host])
+                asked["all"] += 1
+                asked["most"] = max(asked["most"], asked["all"])
+            if self.path.startswith("/slow"):
+                time.sleep(0.05)
+            try:
+                self.answer()
+            finally:
+                with lock:
+                    asked["open", host] -= 1
+                    asked["all"] -= 1
+
+        def answer(self):
             if self.path == "/move":
                 self.send_response(302)
                 self.send_header("Location", "/1.png")
@@ -199,6 +216,27 @@ def test_fetching_from_a_table(spark, server):
     assert "not allowed" in got["/away"]["error"] and got["http://other.example/x"]["error"] == got["file:///etc/passwd"]["error"] == "host not allowed"
 
 
+def test_connections_to_a_host_are_bounded_over_all_tasks(spark, server):
+    base, asked = server
+    port = base.rsplit(":", 1)[1]
+    rows = [(f"http://{host}:{port}/slow/{i}.png",) for host, n in (("127.0.0.1", 400), ("localhost", 60)) for i in range(n)]
+    settings = config.Performance(max_concurrent_downloads=6, http_timeout_s=20)
+    got = http.fetched(spark.createDataFrame(rows, "url string"), ["127.0.0.1", "localhost"], settings, per_host=3)
+    assert got.rdd.getNumPartitions() >= 7
+    assert got.where("error is null and status = 200").count() == 460
+    assert 2 <= asked["most", "127.0.0.1"] <= 3 and asked["most", "localhost"] <= 3 and 3 <= asked["most"] <= 6
+
+
+def test_urls_are_dealt_over_tasks(spark):
+    """10,000 urls, most of one host, use every core, and each lane lies in one task."""
+    urls = spark.range(10_000).selectExpr("if(id % 3 > 0, 'http://hot/', concat('http://h', id % 50, '/')) || id as url")
+    dealt = http.lanes(urls, 10_000, 20).withColumn("task", F.spark_partition_id())
+    by_task = {r["task"]: r["count"] for r in dealt.groupBy("task").count().collect()}
+    assert dealt.rdd.getNumPartitions() == 157 and len(by_task) > 30 and max(by_task.values()) < 1000
+    assert dealt.groupBy("lane").agg(F.countDistinct("task").alias("n")).where("n > 1").isEmpty()
+    assert dealt.where("url like 'http://hot/%'").select("lane").distinct().count() == 20
+
+
 def test_from_url_to_derivative(spark, server, tmp_path):
     base, asked = server
     rows = [(1, f"{base}/7.png", 10, None, "webp", None, None), (2, f"{base}/7.png", 5 + 6, None, "png", None, True), (3, f"{base}/404", 10, None, "png", None, None), (4, f"{base}/7.png", 10, None, "webp", None, None)]
