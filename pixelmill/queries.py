@@ -11,8 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from . import tables
 from .functions import formats, geometry
-from .operators import codecs, pixels, requests as req, stats, store
+from .operators import codecs, keyed, pixels, requests as req, stats, store
 from .plans import resize
 from .sources import config
 
@@ -113,6 +114,19 @@ def download_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "found", F.octet_length("content").alias("n_bytes"), "content_type", "cache_control", "error")
 
 
+def keyed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``download_lookup`` in a store by key that was written three times and compacted in between: even pages, then every
+    fourth again, then every eighth."""
+    held = keyed.Store(spark, tables.new_path(spark, "store"), 16)
+    page = F.floor(F.col("seq") / 4)
+    for seq, (every, content) in enumerate([(2, F.concat(F.lit("old:"), F.col("content").cast("string"))), (4, F.col("content").cast("string")), (8, F.concat(F.col("content").cast("string"), F.lit("!")))]):
+        held.append(_stored(spark, sf_dir).where(page % every == 0).withColumn("content", content.cast("binary")), seq)
+        if seq == 1:
+            held.compact()
+    out = held.downloaded(_keyed(spark, sf_dir).select("request_id", "key"))
+    return out.select("request_id", "found", F.octet_length("content").alias("n_bytes"), "content_type", "error")
+
+
 def redirect_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.located(store.probed(_keyed(spark, sf_dir), _stored(spark, sf_dir)), CDN).select("request_id", "found", "location")
 
@@ -299,7 +313,7 @@ def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "content_type", "error", F.col("out_width").cast("long").alias("out_width"), F.col("out_height").cast("long").alias("out_height"), formats.sniffed(F.col("content")).alias("format"), total.alias("pixel_sum"))
 
 
-QUERIES = {f.__name__: f for f in (resize_keys, request_validation, mime_and_kernel, target_geometry, cache_probe, cache_misses, download_lookup, redirect_location, latest_derivative, dedupe_requests, source_guard, magic_bytes, bench_stats, hit_ratio, stage_averages, path_metrics, profile_resolution, store_names, config_validity, bench_requests, resample_triangle, resample_udf, grayscale_array, blur_array, png_roundtrip, pixel_kernels, image_pipeline)}
+QUERIES = {f.__name__: f for f in (resize_keys, request_validation, mime_and_kernel, target_geometry, cache_probe, cache_misses, download_lookup, keyed_lookup, redirect_location, latest_derivative, dedupe_requests, source_guard, magic_bytes, bench_stats, hit_ratio, stage_averages, path_metrics, profile_resolution, store_names, config_validity, bench_requests, resample_triangle, resample_udf, grayscale_array, blur_array, png_roundtrip, pixel_kernels, image_pipeline)}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -377,6 +391,13 @@ WITH {_SQL_REQUESTS}, st AS (SELECT key, max_by(struct_pack(format := format, n
 SELECT request_id, v IS NOT NULL AS found, CAST(coalesce(v.n, 0) AS INTEGER) AS n_bytes,
   CASE v.format WHEN 'jpg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'webp' THEN 'image/webp' END AS content_type,
   CASE WHEN v IS NOT NULL THEN '{formats.CACHE_CONTROL}' END AS cache_control, CASE WHEN v IS NULL THEN 'not found' END AS error
+FROM keyed LEFT JOIN st USING (key)""",
+    "keyed_lookup": f"""
+WITH {_SQL_REQUESTS}, st AS (
+  SELECT key, max_by(struct_pack(format := format, n := strlen(url) + CASE WHEN page_id % 8 = 0 THEN 1 WHEN page_id % 4 = 0 THEN 0 ELSE 4 END), CASE WHEN page_id % 8 = 0 THEN 2 WHEN page_id % 4 = 0 THEN 1 ELSE 0 END) AS v
+  FROM keyed WHERE page_id % 2 = 0 GROUP BY key)
+SELECT request_id, v IS NOT NULL AS found, CAST(coalesce(v.n, 0) AS INTEGER) AS n_bytes,
+  CASE v.format WHEN 'jpg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'webp' THEN 'image/webp' END AS content_type, CASE WHEN v IS NULL THEN 'not found' END AS error
 FROM keyed LEFT JOIN st USING (key)""",
     "redirect_location": f"WITH {_SQL_REQUESTS}, f AS (SELECT *, key IN (SELECT key FROM keyed WHERE page_id % 2 = 0) AS found FROM keyed) SELECT request_id, found, CASE WHEN found THEN {_SQL_LOCATION} ELSE url END AS location FROM f",
     "latest_derivative": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",

@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import tables
+from ..operators import keyed
 from ..plans import resize
 
 
-def serve(requests: DataFrame, sources: resize.Sources, store_path: str, answers_path: str, checkpoint: str, base: str, once: bool = True) -> StreamingQuery:
-    """Answers a stream of requests; answers go to ``answers_path/batch=N``, overwritten if a batch runs again."""
+def serve(requests: DataFrame, sources: resize.Sources, store_path: str | keyed.Store, answers_path: str, checkpoint: str, base: str, once: bool = True, compact_every: int = 50) -> StreamingQuery:
+    """Answers a stream of requests; answers go to ``answers_path/batch=N``, overwritten if a batch runs again. A store by key is
+    compacted after every so many batches, so that a probe's cost does not follow their number."""
 
     def batch(df: DataFrame, n: int) -> None:
         with tables.scope(df.sparkSession):  # what a micro-batch wrote on its way goes with it
             resize.resize_batch(df, sources, store_path, base, seq=n).write.mode("overwrite").parquet(f"{answers_path}/batch={n}")
+        if isinstance(store_path, keyed.Store) and n % compact_every == compact_every - 1:
+            store_path.compact()
 
     out = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return out.trigger(availableNow=True).start() if once else out.start()
