@@ -7,7 +7,8 @@ value decomposition) and the labelled vectors. The labelled vectors, whose numbe
 task; every document is compared with all of them, block by block, and the labels of the ``NEIGHBOURS`` most similar
 ones vote, weighted by their similarity.
 
-Only rows whose crc32(doc_id as text) modulo 3 is not 1 give labels. Inputs of a score: the text alone.
+Only rows whose crc32(doc_id as text) modulo 3 is not 1 give labels. Inputs of a score: the text alone. A labelled row of the same
+text has no vote, so that no document's own label is part of its score; such rows are told by a 64-bit hash of the text.
 
 Defined cases: null and empty texts have no terms and get the share of label 1 in the sample; without any labelled row
 every score is 0.5; a key with several labels counts with the least, and one of several texts with the least terms;
@@ -88,15 +89,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What scoring needs: (TERMS, LATENT) projection with the frequencies in it, labelled vectors and their labels."""
+    """What scoring needs: (TERMS, LATENT) projection with the frequencies in it, labelled vectors, their labels and their
+    texts' hashes."""
 
     idf: np.ndarray
     space: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
+    hashes: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray) -> Model:
+    def fit(cls, x: np.ndarray, labels: np.ndarray, hashes: np.ndarray) -> Model:
         seen = x.sum(1) > 0
         idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
         rows = _unit(np.log1p(x) * idf)
@@ -106,18 +109,20 @@ class Model:
             q, _ = np.linalg.qr(rows.T @ (rows @ q))
         _, _, turn = np.linalg.svd(rows @ q, full_matrices=False)
         space = (q @ turn.T)[:, :LATENT].astype(np.float32)
-        return cls(idf, space, _unit(rows @ space)[seen], labels[seen].astype(np.float32)) if len(x) else cls.blank()
+        return cls(idf, space, _unit(rows @ space)[seen], labels[seen].astype(np.float32), hashes[seen]) if len(x) else cls.blank()
 
     @classmethod
     def blank(cls) -> Model:
-        return cls(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
+        return cls(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), np.zeros(0, np.uint64))
 
-    def score(self, x: np.ndarray, block: int = 512) -> np.ndarray:
+    def score(self, x: np.ndarray, hashes: np.ndarray, block: int = 512) -> np.ndarray:
         prior = float(self.labels.mean()) if len(self.labels) else 0.5
         out, k = np.full(len(x), prior), min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(x) if k else 0, block):
             own = _unit((np.log1p(x[i : i + block]).astype(np.float32) * self.idf) @ self.space)
             near = own @ self.vectors.T
+            for j in np.flatnonzero(np.isin(hashes[i : i + block], self.hashes)):
+                near[j, self.hashes == hashes[i + j]] = -1
             best = np.argpartition(near, -k, axis=1)[:, -k:]
             weight = np.clip(np.take_along_axis(near, best, 1), 0, 1).astype(float) ** SHARPNESS
             total = weight.sum(1)
@@ -130,6 +135,12 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
+def _hashes(texts: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = FIT_ROWS) -> Model:
     """The model of at most ``most`` labelled rows outside the held-out ones."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("label"))
@@ -141,7 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             for piece in tokens.slices(batch, "text", 1 << 20):
                 for i in range(0, piece.num_rows, 1024):
                     part = piece.slice(i, 1024)
-                    rows = [r.tobytes() for r in counts(_bytes(part.column("text"))).astype("<f4")]
+                    texts = _bytes(part.column("text"))
+                    # The text's hash stands behind its terms.
+                    rows = [r.tobytes() + h.tobytes() for r, h in zip(counts(texts).astype("<f4"), _hashes(texts).astype("<u8"), strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column("key").cast(pa.int64()), part.column("label").cast(pa.float64()), pa.array(rows, pa.binary())], names=["key", "label", "x"])
 
     # One row a key, of whatever rows share it, so that no more than ``most`` go to the driver.
@@ -149,8 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not rows.num_rows:
         return Model.blank()
     order = np.argsort(rows["key"].to_numpy(), kind="stable")
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), "<f4").reshape(-1, TERMS)[order]
-    return Model.fit(x, rows["label"].to_numpy()[order])
+    held = np.frombuffer(b"".join(rows["x"].to_pylist()), np.uint8).reshape(-1, 4 * TERMS + 8)[order]
+    x, hashes = held[:, : 4 * TERMS].copy().view("<f4"), held[:, 4 * TERMS :].copy().view("<u8")[:, 0]
+    return Model.fit(x, rows["label"].to_numpy()[order], hashes)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -163,7 +177,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for piece in tokens.slices(batch, text, 1 << 20):
                 for i in range(0, piece.num_rows, 1024):
                     part = piece.slice(i, 1024)
-                    found = sent.value.score(counts(_bytes(part.column(text))).astype(np.float32))
+                    texts = _bytes(part.column(text))
+                    found = sent.value.score(counts(texts).astype(np.float32), _hashes(texts))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, "score"])
 
     return docs.mapInArrow(shared.lean(task), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))

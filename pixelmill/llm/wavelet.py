@@ -31,8 +31,8 @@ from . import shared, tokens
 
 PLANES, STEP, PIECE = 16, 1024, 1 << 16
 HEAD = struct.Struct("<4sHHQQQ")
-#: Ids in a shard, before the document that fills it ends.
-SHARD_IDS = 1 << 20
+#: Ids in a shard, before the document that fills it ends: a file of some 8 MB.
+SHARD_IDS = 1 << 22
 #: Bytes of text in a range of the order on average, and most ranges.
 RANGE_BYTES, RANGES = 16 << 20, 1 << 16
 
@@ -183,8 +183,9 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_ids: int = SHARD_IDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes ``path/part-P-S-ATTEMPT.wm`` in ascending key order; returns (name, part, shard, docs, ids), a row a file,
-    already done. Files are named by attempt, so those that a lost one left behind are in no manifest."""
+    """Writes ``path/part-P-S-ATTEMPT.wm`` in ascending key order; returns (name, part, shard, docs, ids, held), a row a file,
+    already done; ``held``: a bit for each id that the file holds. Files are named by attempt, so those that a lost one left
+    behind are in no manifest."""
     spark = docs.sparkSession
     shared.make_dirs(spark, path)
 
@@ -200,8 +201,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_ids: i
             nonlocal held, before
             if keys:
                 name = f"part-{part:06d}-{len(done):06d}-{attempt}.wm"
-                shared.write_bytes(f"{path}/{name}", dump(np.concatenate(ids), keys, np.array(lens), before))
-                done.append((name, part, len(done), len(keys), held))
+                every = np.concatenate(ids)
+                shared.write_bytes(f"{path}/{name}", dump(every, keys, np.array(lens), before))
+                there = np.zeros(1 << PLANES, np.uint8)
+                there[every] = 1
+                done.append((name, part, len(done), len(keys), held, np.packbits(there, bitorder="little").tobytes()))
                 before, held = before + held, 0
                 ids.clear(), keys.clear(), lens.clear()
 
@@ -221,31 +225,45 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_ids: i
                     if held >= shard_ids:
                         close()
         close()
-        cols = list(zip(*done, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["name", "part", "shard", "docs", "ids"])
+        cols = list(zip(*done, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array(cols[5], pa.binary())], names=["name", "part", "shard", "docs", "ids", "held"])
 
     ordered = in_order(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
-    return shared.cut(ordered.mapInArrow(shared.lean(task), "name string, part long, shard long, docs long, ids long"), "shards")[0]
+    return shared.cut(ordered.mapInArrow(shared.lean(task), "name string, part long, shard long, docs long, ids long, held binary"), "shards")[0]
 
 
-def _each(spark, path: str, manifest: DataFrame, schema: str, work: Callable) -> DataFrame:
-    """The batches that ``work(matrix, keys, lens, start)`` yields for each file of the manifest; ``start``: ids of all
-    documents before it."""
+def starts(manifest: DataFrame) -> DataFrame:
+    """The manifest with ``start``, the ids of all documents before each file."""
+    # A row for each range of the writing job; then the files of a range, one after another.
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("n"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = parts.select("part", before("n", Window.orderBy("part")).alias("base"))
+    own = manifest.withColumn("own", before("ids", Window.partitionBy("part").orderBy("shard")))
+    return own.join(base, "part").withColumn("start", F.col("base") + F.col("own")).drop("base", "own")
+
+
+def holding(manifest: DataFrame, ids: list[int]) -> DataFrame:
+    """The files that hold one of the ids at least."""
+    bit = lambda t: F.shiftright(F.conv(F.hex(F.substring("held", t // 8 + 1, 1)), 16, 10).cast("int"), t % 8).bitwiseAND(F.lit(1)) == 1
+    has = F.lit(False)
+    for t in ids:
+        has = has | bit(t) if 0 <= t < 1 << PLANES else has
+    return manifest.where(has)
+
+
+def _each(spark, path: str, files: DataFrame, schema: str, work: Callable) -> DataFrame:
+    """The batches that ``work(matrix, keys, lens, start)`` yields for each of the files (name, start), which tasks read by their
+    names: no other file is opened, and none passes a shuffle."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, data in zip(batch.column("base").to_pylist(), batch.column("content"), strict=True):
-                wm, keys, lens, before = load(data.as_py())
-                yield from work(wm, keys, lens, base + before)
+            for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                wm, keys, lens, _ = load(shared.read_bytes(f"{path}/{name}"))
+                yield from work(wm, keys, lens, start)
 
-    # A row for each range of the writing job.
-    parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids"))
-    base = parts.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    named, _ = shared.cut(manifest.join(base, "part").select("name", "base"), "names")
-    if named.isEmpty():
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").load(f"{path}/*.wm").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.join(shared.small(named), "name").select("base", "content").mapInArrow(shared.lean(task), schema)
+    named, _ = shared.cut(files.select("name", "start"), "names")
+    dealt = named.repartition(min(RANGES, max(1, named.count())))  # a number that adaptive execution leaves alone
+    return dealt.mapInArrow(shared.lean(task), schema)
 
 
 def read(spark, path: str, manifest: DataFrame) -> DataFrame:
@@ -260,21 +278,24 @@ def _read(spark, path: str, manifest: DataFrame, column: str, of: Callable) -> D
         cuts = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + start), pa.array(lens), of(cuts)], names=["key", "start", "n_tokens", column.split()[0]])
 
-    return _each(spark, path, manifest, f"key long, start long, n_tokens long, {column}", work)
+    return _each(spark, path, starts(manifest), f"key long, start long, n_tokens long, {column}", work)
 
 
 def count(spark, path: str, manifest: DataFrame, ids: list[int]) -> DataFrame:
-    """(id, n): how often each id occurs in all files, by rank alone."""
+    """(id, n): how often each id occurs in all files, by rank alone, in the files that hold it."""
     ids = list(dict.fromkeys(ids))
 
     def work(wm: WaveletMatrix, keys: list, lens: np.ndarray, start: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([wm.count(t) for t in ids], pa.int64())], names=["id", "n"])
 
-    return _each(spark, path, manifest, "id long, n long", work).groupBy("id").agg(F.sum("n").alias("n"))
+    found = _each(spark, path, starts(holding(manifest, ids)), "id long, n long", work).groupBy("id").agg(F.sum("n").alias("n"))
+    asked = spark.createDataFrame([(t,) for t in ids], "id long")
+    return asked.join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def occurrences(spark, path: str, manifest: DataFrame, ids: list[int]) -> DataFrame:
-    """(id, key, place): where each id occurs, as the document's key and the place among its ids, by select alone."""
+    """(id, key, place): where each id occurs, as the document's key and the place among its ids, by select alone, in the files
+    that hold it."""
     ids = list(dict.fromkeys(ids))
 
     def work(wm: WaveletMatrix, keys: list, lens: np.ndarray, start: int) -> Iterator[pa.RecordBatch]:
@@ -284,17 +305,20 @@ def occurrences(spark, path: str, manifest: DataFrame, ids: list[int]) -> DataFr
             doc = np.searchsorted(ends, at, "right")
             yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int64()), pa.array([keys[d] for d in doc.tolist()], pa.int64()), pa.array(at - (ends - lens)[doc])], names=["id", "key", "place"])
 
-    return _each(spark, path, manifest, "id long, key long, place long", work)
+    return _each(spark, path, starts(holding(manifest, ids)), "id long, key long, place long", work)
 
 
 def access(spark, path: str, manifest: DataFrame, places: list[int]) -> DataFrame:
-    """(place, id): the ids at places of the whole stream (from 0), each from the file that holds it."""
+    """(place, id): the ids at places of the whole stream (from 0), each from the file that holds it; no other is read."""
+    places = sorted(set(places))
 
     def work(wm: WaveletMatrix, keys: list, lens: np.ndarray, start: int) -> Iterator[pa.RecordBatch]:
         own = [p for p in places if start <= p < start + wm.n]
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([wm.access(p - start) for p in own], pa.int64())], names=["place", "id"])
 
-    return _each(spark, path, manifest, "place long, id long", work)
+    asked = spark.createDataFrame([(p,) for p in places], "asked long")
+    files = starts(manifest).join(F.broadcast(asked), (F.col("asked") >= F.col("start")) & (F.col("asked") < F.col("start") + F.col("ids")), "left_semi")
+    return _each(spark, path, files, "place long, id long", work)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

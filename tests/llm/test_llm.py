@@ -359,6 +359,41 @@ def test_wavelet_files(spark, texts):
     at = sorted((r["id"], r["key"], r["place"]) for r in wavelet.occurrences(spark, path, manifest, wanted[1:3]).collect())
     assert at == sorted((t, k, p) for k, x in every for p, y in enumerate(slow_ids(x).tolist()) for t in set(wanted[1:3]) if y == t)
     assert {r["place"]: r["id"] for r in wavelet.access(spark, path, manifest, [0, 5, len(stream) - 1]).collect()} == {p: int(stream[p]) for p in (0, 5, len(stream) - 1)}
+    # Look-ups open the files that can hold what is asked, and no other.
+    rare = next(int(t) for t, n in zip(*np.unique(stream, return_counts=True), strict=True) if n == 1)
+    assert wavelet.holding(manifest, [rare]).count() == 1 and wavelet.holding(manifest, [65_535, -1, 1 << 40]).count() == 0
+    rows = {r["name"]: (r["start"], r["ids"]) for r in wavelet.starts(manifest).collect()}
+    ends = sorted(rows.values())
+    assert [a for a, _ in ends] == np.cumsum([0] + [n for _, n in ends])[:-1].tolist()
+    own = next(name for name, (a, n) in rows.items() if a <= 5 < a + n)
+    for name in rows:
+        if name != own:
+            shared.write_bytes(f"{path}/{name}", b"not to be opened")
+    assert [r["id"] for r in wavelet.access(spark, path, manifest, [5, 5]).collect()] == [int(stream[5])]
+    with pytest.raises(Exception, match="wavelet"):
+        wavelet.access(spark, path, manifest, [len(stream) - 1]).collect()
+
+
+def test_wavelet_of_a_text_of_several_megabytes(spark, monkeypatch):
+    rng = random.Random(9)
+    long = " ".join(rng.choice(["alpha", "be", "日本", "x1", "don't"]) for _ in range(1_000_000))
+    docs = [(2, long), (1, "before"), (3, "after")]
+    path = shared.new_path(spark, "t")
+    manifest = wavelet.write(frame(spark, docs), path, shard_ids=1000)
+    got = {r["key"]: r for r in wavelet.read(spark, path, manifest).collect()}
+    want, first = slow_ids(long), len(slow_ids("before"))
+    assert len(long) > 4_000_000 and bytes(got[2]["ids"]) == want.tobytes() and (got[2]["start"], got[3]["start"]) == (first, first + len(want))
+    place = first + len(want) // 2
+    assert wavelet.access(spark, path, manifest, [place]).first()["id"] == int(want[len(want) // 2])
+
+
+def test_a_vocabulary_that_is_too_large(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    path = tmp_path / "large.json"
+    Tokenizer(models.WordLevel({f"w{i}": i for i in range(65_537)} | {"[UNK]": 65_537}, unk_token="[UNK]")).save(str(path))
+    with pytest.raises(ValueError, match="65,?536|ids"):
+        tokens.Encoder(str(path))
 
 
 def test_wavelet_keys_that_repeat_or_are_null(spark, monkeypatch):
@@ -667,14 +702,28 @@ def test_votes_against_all_pairs(spark, sf_dir):
         vectors[k] = v / np.linalg.norm(v) if v.any() else v
     known = [k for k in sorted(own) if vectors.get(k) is not None and vectors[k].any()]
     assert len(model.labels) == len(known) <= quality.FIT_ROWS
-    prior = np.mean([own[k] for k in known])
-    for k, _ in docs:
-        near = sorted(((float(vectors[k] @ vectors[o]), own[o]) for o in known), reverse=True)[: quality.NEIGHBOURS]
+    prior, texts = np.mean([own[k] for k in known]), dict(docs)
+    for k, t in docs:
+        near = sorted(((float(vectors[k] @ vectors[o]), own[o]) for o in known if texts[o] != t), reverse=True)[: quality.NEIGHBOURS]
         weight = [max(s, 0) ** quality.SHARPNESS for s, _ in near]
         want = sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight) if sum(weight) > 1e-9 else prior
         assert abs(got[k] - want) < 0.02, k
 
 
+def test_no_label_is_part_of_its_own_score(spark, sf_dir):
+    """Turning over one document's label changes no score of its text, but those of others."""
+    docs, labels = shared.table(spark, sf_dir, "documents").where("text is not null"), shared.table(spark, sf_dir, "labels")
+    score = lambda known: {r["doc_id"]: r["score"] for r in quality.classify(docs, known).collect()}
+    before, turned = score(labels), 0
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for k in sorted(r["doc_id"] for r in labels.collect() if r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1)[:4]:
+        after = score(labels.withColumn("quality", F.when(F.col("doc_id") == k, 1 - F.col("quality")).otherwise(F.col("quality"))))
+        same = [o for o, t in texts.items() if t == texts[k]]
+        assert all(abs(after[o] - before[o]) < 1e-6 for o in same), k
+        turned += any(abs(after[o] - before[o]) > 1e-3 for o in texts if o not in same)
+    assert turned
+
+
 def test_labelled_rows_sent_to_the_driver_are_bounded(spark, monkeypatch):
     docs = [(i % 7, f"text {i} of some words.") for i in range(300)] + [(100, "very long " * 300_000)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)] + [(100, 1, 0)], "doc_id long, quality int, toxic int")
