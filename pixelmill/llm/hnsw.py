@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical navigable small-world graph per shard.
 
-Vectors are lifted to equal norms (one more component), which makes the largest inner product the nearest neighbour. A
-shard is a bounded number of vectors; equal vectors of a shard are one node. Each level of a shard's graph holds a
-geometrically smaller share of its nodes, drawn at random, and of every node one among its ``LINKS`` nearest, so that no
-group of near copies is without a node above. A shard is built as a whole, not node by node: a node's neighbours on a level
-are its nearest ones there, thinned so that each is nearer to the node than to any kept one, with back links, and a few
-chosen likewise from the nearest nodes of each higher level, which lead out of groups larger than ``CHOICE``; every node of
-a level can be reached from the level above. A search compares the first level that it enters (the highest of ``SCAN``
-nodes at most) in one product and keeps a beam of ``UPPER`` nodes down the levels and of ``BEAM`` nodes on the lowest, for
-all queries of a block at once.
+A shard is a bounded number of vectors; equal vectors of a shard are one node. Nodes within ``CLOSE`` of another, relative to
+its length, are followers of it: only leaders are in the graph, so that a large group of near copies takes one place of a
+beam, and a leader's followers are compared where one of them could be an answer. Each level of a shard's graph holds a
+geometrically smaller share of its nodes, drawn at random, and of every node one among its ``COVER`` nearest, so that no
+group of near copies is without a node above. A shard is built as a whole, not node by node. A node's neighbours on a level
+are those there with the ``NEAR`` largest inner products, and its nearest ones after vectors are lifted to equal norms (one
+more component), thinned so that each is nearer to the node than to any kept one, with back links: the former lead to long
+vectors, which are most queries' answers, the latter everywhere. A few are chosen likewise from the nearest nodes of each
+higher level, which lead out of groups larger than ``CHOICE``; every node of a level can be reached from the level above. A
+search begins at the highest level, which holds ``TOP`` nodes at most, and goes down all of them, with a beam of ``UPPER``
+nodes, and of ``BEAM`` nodes on the lowest, for all queries of a block at once.
 
 Shards are parts of cells: vectors go to the nearest of at most ``CELLS`` centres (fitted on ``SAMPLE`` vectors), and a
 cell of more than a shard is dealt over several. Graphs are files in the shared folder; a search task holds its queries and
@@ -32,18 +34,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import shared
 
-#: Neighbours returned, neighbours kept for each node on a level, nearest ones that they are chosen from, beam of a search.
-K, LINKS, CHOICE, BEAM = 20, 24, 96, 288
+#: Neighbours returned; of each node on a level: neighbours by inner product, neighbours by distance, nearest ones that
+#: the latter are chosen from; beam of a search, which is 3 K where more than these are asked for.
+K, NEAR, LINKS, CHOICE, BEAM = 20, 36, 8, 96, 56
+#: Neighbours by inner product on the higher levels, which only lead on.
+NEAR_ABOVE = 2
 #: Links to nodes of higher levels, nearest ones of each level that they are chosen from, beam on the higher levels, most
-#: nodes of a higher level that a search enters by comparing all.
-FAR, FAR_CHOICE, UPPER, SCAN = 8, 32, 64, 4096
+#: nodes of the highest.
+FAR, FAR_CHOICE, UPPER, TOP = 8, 32, 48, 64
 #: Vectors in a shard, queries in a task, queries that walk a graph at once.
 SHARD, QUERIES, BLOCK = 8192, 512, 128
 #: Centres of cells, and vectors that they are fitted on (as expected; drawn by a hash of the id).
 CELLS, SAMPLE = 256, 4096
 SHRINK = 16
+#: Of every node, it or one of so many nearest ones is on the level above.
+COVER = 64
 #: Nodes of a beam that a step expands.
-STEPS = 16
+STEPS = 1
+#: Followers are nearer to their leader than this share of its length.
+CLOSE = 0.2
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -86,14 +95,15 @@ def _above(near: np.ndarray, drawn: np.ndarray) -> np.ndarray:
     """The nodes of the next level: the drawn ones, and more until each node or one of its nearest is there."""
     held = np.zeros(len(near), bool)
     held[drawn] = True
-    near = near[:, :LINKS]
+    near = near[:, :COVER]
     for i in np.flatnonzero(~held & ~held[near].any(1)):
         held[i] = not held[near[i]].any()
     return np.flatnonzero(held)
 
 
-def _links(x: np.ndarray, near: np.ndarray, upper: list[np.ndarray]) -> np.ndarray:
-    """A level's neighbour array, a row a node, -1 where there is none. ``upper``: the nodes of each higher level."""
+def _links(x: np.ndarray, near: np.ndarray, upper: list[np.ndarray], by_product: int) -> np.ndarray:
+    """A level's neighbour array, a row a node, -1 where there is none. ``x``: lifted; ``upper``: the nodes of each higher
+    level; ``by_product``: neighbours by inner product."""
     n, most = len(x), LINKS
     if n < 2:
         return np.full((n, 1), -1, np.int32)
@@ -107,6 +117,7 @@ def _links(x: np.ndarray, near: np.ndarray, upper: list[np.ndarray]) -> np.ndarr
     place = np.arange(len(b)) - np.searchsorted(b, b)
     room = place < most
     out[b[room], most + place[room]] = a[room]
+    out = _merged(out, _nearest(x[:, :-1], min(by_product, n - 1)))
     if not upper:
         return out
     far = np.hstack([_nearest(x, min(FAR_CHOICE, len(u)), u) for u in upper])
@@ -114,7 +125,15 @@ def _links(x: np.ndarray, near: np.ndarray, upper: list[np.ndarray]) -> np.ndarr
     for i in range(0, n, 4096):
         far_score[i : i + 4096] = np.einsum("nd,nkd->nk", x[i : i + 4096], x[far[i : i + 4096]])
     far = np.take_along_axis(far, np.argsort(-far_score, axis=1, kind="stable"), 1)
-    return _joined(x, np.hstack([out, _thinned(x, far, FAR)]), near, upper[0])
+    return _joined(x, _merged(out, _thinned(x, far, FAR)), near, upper[0])
+
+
+def _merged(*links: np.ndarray) -> np.ndarray:
+    """Neighbour arrays side by side, each neighbour once, -1 at the end."""
+    out = np.sort(np.hstack(links), axis=1)
+    out[:, 1:][out[:, 1:] == out[:, :-1]] = -1
+    out = np.take_along_axis(out, np.argsort(out < 0, axis=1, kind="stable"), 1)
+    return np.ascontiguousarray(out[:, : max(1, (out >= 0).sum(1).max(initial=0))])
 
 
 def _joined(x: np.ndarray, links: np.ndarray, near: np.ndarray, entries: np.ndarray) -> np.ndarray:
@@ -143,9 +162,28 @@ def _joined(x: np.ndarray, links: np.ndarray, near: np.ndarray, entries: np.ndar
     return links
 
 
+def _led(x: np.ndarray) -> np.ndarray:
+    """Of each row its leader: itself, or an earlier leader that it is close to."""
+    lead, norm = np.arange(len(x)), np.einsum("nd,nd->n", x, x)
+    lifted = np.hstack([x, np.sqrt(np.maximum(norm.max(initial=0) - norm, 0))[:, None]]).astype(np.float32)
+    nearest = _nearest(lifted, 1)[:, 0] if len(x) > 1 else lead
+    apart = lambda i, j: norm[i] + norm[j] - 2 * np.einsum("nd,nd->n", x[i], x[j])
+    open_ = np.flatnonzero(apart(lead, nearest) <= 4 * CLOSE**2 * norm) if len(x) > 1 else lead[:0]
+    while len(open_):
+        i, open_ = open_[0], open_[1:]
+        near = norm[open_] + norm[i] - 2 * (x[open_] @ x[i]) <= CLOSE**2 * norm[i]
+        lead[open_[near]] = i
+        open_ = open_[~near]
+    return lead
+
+
 class Graph:
     """A shard's graph. ``vectors``: of each node, in single precision, up to a common factor; ``originals``: in double, if
-    they are others; ``ids`` and ``ends``: of each node the ids that share its vector, ascending, K + 1 at most."""
+    they are others; ``ids`` and ``ends``: of each node the ids that share its vector, ascending. ``followers`` and ``until``: of
+    each node the nodes that follow it; ``reach``: how far away the farthest is. ``scored``: how many nodes searches have held
+    against a query so far."""
+
+    scored = 0
 
     def __init__(self, vectors: np.ndarray, originals: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
         self.vectors, self.originals, self.ids, self.ends = vectors, originals, ids, ends
@@ -160,18 +198,23 @@ class Graph:
         again[1:] = ~new[1:] & (ids[1:] == ids[:-1])
         ids, vectors, new = ids[~again], vectors[~again], new[~again]
         first = np.flatnonzero(new)
-        place = np.arange(len(ids)) - first[np.cumsum(new) - 1]
-        kept = place <= K  # smaller ids win ties, and one may be the query's own
         originals = vectors[first]
         single = np.ascontiguousarray(originals / max(1.0, np.abs(originals).max() / 1e15), np.float32)
         same = single.dtype == originals.dtype or np.array_equal(single, originals)
-        out = cls(single, single if same else originals, ids[kept], np.cumsum(np.bincount((np.cumsum(new) - 1)[kept], minlength=len(first))))
+        out = cls(single, single if same else originals, ids, np.cumsum(np.bincount(np.cumsum(new) - 1, minlength=len(first))))
         norm = (single.astype(float) ** 2).sum(1)
         lifted = np.hstack([single, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]]).astype(np.float32)
+        lead = _led(single)
+        follow = np.flatnonzero(lead != np.arange(len(lead)))
+        out.followers = follow[np.argsort(lead[follow], kind="stable")].astype(np.int32)
+        out.until = np.cumsum(np.bincount(lead[follow], minlength=len(lead)))
+        out.reach = np.zeros(len(lead), np.float32)
+        np.maximum.at(out.reach, lead[follow], np.sqrt(((single[follow] - single[lead[follow]]) ** 2).sum(1)) * np.float32(1 + 1e-5))
+        leaders = np.flatnonzero(lead == np.arange(len(lead)))
         # A node's level: geometric, by a fixed permutation of the nodes, and where a neighbourhood has no node above.
         rank = np.argsort(np.random.default_rng(3).permutation(len(lifted)))
-        levels, size = [(np.arange(len(lifted)), _nearest(lifted, min(CHOICE, len(lifted) - 1)))], len(lifted)
-        while len(levels[-1][0]) > SHRINK * 4:
+        levels, size = [(leaders, _nearest(lifted[leaders], min(CHOICE, len(leaders) - 1)))], len(lifted)
+        while len(levels[-1][0]) > TOP:
             size //= SHRINK
             nodes, near = levels[-1]
             nodes = nodes[_above(near, np.flatnonzero(rank[nodes] < size))]
@@ -180,33 +223,64 @@ class Graph:
             levels.append((nodes, _nearest(lifted[nodes], min(CHOICE, len(nodes) - 1))))
         out.levels = []
         for i, (nodes, near) in enumerate(levels):
-            local = _links(lifted[nodes], near, [np.searchsorted(nodes, u) for u, _ in levels[i + 1 :]])
+            local = _links(lifted[nodes], near, [np.searchsorted(nodes, u) for u, _ in levels[i + 1 :]], NEAR if not i else NEAR_ABOVE)
             out.levels.append((nodes.astype(np.int32), np.where(local >= 0, nodes[local], -1).astype(np.int32)))
         return out
 
-    def search(self, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """The beam's nodes and scores for each query, best first (-1 and -inf where there are fewer)."""
+    def search(self, queries: np.ndarray, beam: int = BEAM, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``beam`` nodes found and their scores for each query, best first (-1 and -inf where there are fewer)."""
         # Only the order counts here, so queries may be scaled.
         q, at = (queries / np.maximum(np.abs(queries).max(1, keepdims=True), 1e-300)).astype(np.float32), None
-        start = next((i for i, (nodes, _) in enumerate(self.levels) if i and len(nodes) <= SCAN), len(self.levels) - 1)
-        for nodes, links in self.levels[start:0:-1]:
+        for nodes, links in self.levels[:0:-1]:
             at, _ = self._beam(q, at, nodes, links, UPPER)
-        return self._beam(q, at, *self.levels[0], beam)
-
-    def candidates(self, ids: np.ndarray, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of the query, id, score on the originals) of all ids in the beams, the queries' own left out."""
+        return self._followed(q, *self._beam(q, at, *self.levels[0], beam), beam, k)
+
+    def _followed(self, q: np.ndarray, node: np.ndarray, score: np.ndarray, beam: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The beam with the followers of its leaders, where one of them may be among the ``k`` best: first of the best leaders,
+        as far as k nodes need, then of those that can still reach the k-th of what that gave."""
+        begin = np.concatenate([[0], self.until])
+        many = np.where(node >= 0, self.until[node] - begin[node], 0)
+        if not many.any():
+            return node, score
+        norm = np.sqrt(np.einsum("nd,nd->n", q, q)) * np.float32(1 + 1e-5)
+        before, reach = np.cumsum(many + 1, axis=1) - many - 1, score + self.reach[node] * norm[:, None]
+        out, best = node, score
+        for first in (True, False):
+            least = best[:, k - 1] if best.shape[1] >= k else np.full(len(q), -np.inf, np.float32)
+            row, column = np.nonzero((many > 0) & ((before < k) == first) & (reach >= least[:, None]))
+            at, n = node[row, column], many[row, column]
+            more = self.followers[np.repeat(begin[at] + n - np.cumsum(n), n) + np.arange(n.sum())]
+            row, found = np.repeat(row, n), np.empty(len(more), np.float32)
+            for i in range(0, len(more), 1 << 17):
+                found[i : i + (1 << 17)] = np.einsum("fd,fd->f", q[row[i : i + (1 << 17)]], self.vectors[more[i : i + (1 << 17)]])
+            self.scored += len(more)
+            held, place = np.nonzero(out >= 0)
+            row, more, found = np.concatenate([held, row]), np.concatenate([out[held, place], more]), np.concatenate([best[held, place], found])
+            order = np.lexsort((-found, row))
+            row, more, found = row[order], more[order], found[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            kept = place < beam
+            width = int(place[kept].max()) + 1
+            out, best = np.full((len(q), width), -1, np.int32), np.full((len(q), width), -np.inf, np.float32)
+            out[row[kept], place[kept]], best[row[kept], place[kept]] = more[kept], found[kept]
+        return out, best
+
+    def candidates(self, ids: np.ndarray, queries: np.ndarray, k: int = K, beam: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, id, score on the originals) of the ids in the beams, the queries' own left out; of the ids that
+        share a vector the k + 1 smallest, as these win ties and one may be the query's own."""
+        beam = beam or (BEAM if k <= K else 3 * k)
         dim, begin = queries.shape[1], np.concatenate([[0], self.ends])
         step, out = max(8, min(BLOCK, (8 << 20) // (beam * dim))), []
         for i in range(0, len(queries), step):
-            node, _ = self.search(queries[i : i + step], beam)
+            node, _ = self.search(queries[i : i + step], beam, k + 1)
             at, column = np.nonzero(node >= 0)
             node = node[at, column]
             found, score = self.originals[node], np.zeros(len(node))
             for d in range(dim):  # one sum in one order, so that equal vectors score the same everywhere
                 score += queries[i + at, d] * found[:, d]
-            many = self.ends[node] - begin[node]
+            many = np.minimum(self.ends[node] - begin[node], k + 1)
             at, score = np.repeat(at + i, many), np.repeat(score, many)
-            own = self.ids[np.repeat(self.ends[node] - np.cumsum(many), many) + np.arange(many.sum())]
+            own = self.ids[np.repeat(begin[node] + many - np.cumsum(many), many) + np.arange(many.sum())]
             other = own != ids[at]
             out.append((at[other], own[other], score[other]))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -215,6 +289,7 @@ class Graph:
         """From the nodes ``at`` (-1: none) of each query; on the level that is entered, where nothing leads to, from all."""
         n, rows = len(q), np.arange(len(q))
         if at is None:
+            self.scored += n * len(nodes)
             s = q @ self.vectors[nodes].T
             keep = np.argpartition(-s, beam - 1, axis=1)[:, :beam] if beam < len(nodes) else np.broadcast_to(np.arange(len(nodes)), s.shape)
             best = np.take_along_axis(s, keep, 1)
@@ -230,6 +305,7 @@ class Graph:
         node[:, :m], done[:, :m] = at, at < 0
         score[row, column] = np.einsum("fd,fd->f", q[row], self.vectors[at[row, column]])
         stamp[row, at[row, column]] = 0
+        self.scored += len(row)
         open_ = rows
         while len(open_):
             masked = np.where(done[open_], -np.inf, score[open_])
@@ -251,6 +327,7 @@ class Graph:
             stamp[at_row, near] = mine
             once = stamp[at_row, near] == mine  # a node that several links lead to is taken once
             near, at_row, serial = near[once], at_row[once], serial + len(mine)
+            self.scored += len(near)
             s = np.einsum("fd,fd->f", q[at_row], self.vectors[near])
             good = s > score.min(1)[at_row]
             near, at_row, s = near[good], at_row[good], s[good]
@@ -276,7 +353,7 @@ def _pack(g: Graph) -> bytes:
 
     out = io.BytesIO()
     more = {} if g.originals is g.vectors else {"originals": g.originals}
-    np.savez(out, vectors=g.vectors, ids=g.ids, ends=g.ends, **more, **{f"n{i}": n for i, (n, _) in enumerate(g.levels)}, **{f"l{i}": x for i, (_, x) in enumerate(g.levels)})
+    np.savez(out, vectors=g.vectors, ids=g.ids, ends=g.ends, followers=g.followers, until=g.until, reach=g.reach, **more, **{f"n{i}": n for i, (n, _) in enumerate(g.levels)}, **{f"l{i}": x for i, (_, x) in enumerate(g.levels)})
     return out.getvalue()
 
 
@@ -286,6 +363,7 @@ def _unpack(data: bytes) -> Graph:
     z = np.load(io.BytesIO(data))
     vectors = z["vectors"]
     g = Graph(vectors, z["originals"] if "originals" in z.files else vectors, z["ids"], z["ends"])
+    g.followers, g.until, g.reach = z["followers"], z["until"], z["reach"]
     g.levels = [(z[f"n{i}"], z[f"l{i}"]) for i in range(sum(k[0] == "n" for k in z.files))]
     return g
 
@@ -346,7 +424,8 @@ def build(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
             by_dim[dim] = centres(x / max(1.0, np.abs(x).max(initial=0) / 1e100), min(-(-n // shard_rows), CELLS))
     vectors, _ = shared.cut(_celled(vectors, by_dim), "cells")
     sizes = vectors.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("parts"))
-    shard = F.col("cell").cast("long") + F.lit(CELLS) * F.pmod(F.xxhash64("id"), F.col("parts"))
+    # By id and vector, as one id may have any number of vectors; rows equal in both meet, and count once.
+    shard = F.col("cell").cast("long") + F.lit(CELLS) * F.pmod(F.xxhash64("id", "v"), F.col("parts"))
     dealt = vectors.join(F.broadcast(sizes), ["dim", "cell"]).select("dim", shard.alias("shard"), "id", "v")  # CELLS rows a length at most
     folder = shared.new_path(spark, "graphs")
     shared.make_dirs(spark, folder)
@@ -383,7 +462,7 @@ class Best:
         self.least[at[full]] = self.scores[full]
 
 
-def best_of(graphs: list[tuple], ids: np.ndarray, queries: np.ndarray, k: int) -> Best:
+def best_of(graphs: list[tuple], ids: np.ndarray, queries: np.ndarray, k: int, beam: int | None = None) -> Best:
     """The best of all graphs (path, centre, radius) for queries of one length."""
     best = Best(len(ids), k)
     with np.errstate(over="ignore", invalid="ignore"):
@@ -394,13 +473,13 @@ def best_of(graphs: list[tuple], ids: np.ndarray, queries: np.ndarray, k: int) -
         for s, (path, _, _) in enumerate(graphs):
             own = np.flatnonzero(first == s if turn else (first != s) & ~(bound[:, s] < best.least))
             if len(own):
-                at, found, score = _unpack(shared.read_bytes(path)).candidates(ids[own], queries[own])
+                at, found, score = _unpack(shared.read_bytes(path)).candidates(ids[own], queries[own], k, beam)
                 best.add(own[at], found, score)
     return best
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score) of queries (id, v, dim)."""
+def search(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of queries (id, v, dim); ``beam``: nodes that a search of a graph keeps."""
     queries, _ = shared.cut(queries.dropDuplicates(["id", "v"]), "queries")
     held: dict[int, list[tuple]] = {}
     for r in graphs.orderBy("dim", "shard").collect():  # a row a shard, that is a row for some thousands of vectors
@@ -412,7 +491,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
         def done(dim: int) -> pa.RecordBatch:
             ids, x = (np.concatenate(c) for c in zip(*parts.pop(dim), strict=True))
-            best = best_of(sent.value[dim], ids, x, k)
+            best = best_of(sent.value[dim], ids, x, k, beam)
             rank = np.arange(len(best.at)) - np.searchsorted(best.at, best.at) + 1
             return pa.RecordBatch.from_arrays([pa.array(ids[best.at]), pa.array(rank.astype(np.int32)), pa.array(best.ids), pa.array(best.scores)], names=["query_id", "rank", "vec_id", "score"])
 

@@ -791,6 +791,50 @@ def test_recall_on_tight_clusters(spark):
     assert found >= 0.99 and none == 0
 
 
+def test_share_of_a_shard_that_is_scored():
+    """Vectors without any structure, and queries that are none of them: the hardest case."""
+    rng = np.random.default_rng(7)
+    v, q = rng.normal(size=(8192, 64)).astype(np.float32), rng.normal(size=(300, 64))
+    g = hnsw.Graph.build(np.arange(len(v)), v)
+    at, ids, score = g.candidates(np.full(len(q), -1), q)
+    exact = -np.sort(-(q @ v.T.astype(float)), axis=1)[:, 19]
+    hits = np.bincount(at[score >= exact[at] - 1e-9], minlength=len(q))
+    assert hits.mean() >= 0.9 * 20 and g.scored <= 0.26 * len(q) * len(v)
+    assert len(g.levels) >= 3 and len(g.levels[-1][0]) <= hnsw.TOP
+
+
+@pytest.mark.parametrize("k", [5, 100])
+def test_other_numbers_of_neighbours(spark, k):
+    """Also where more rows than k share a vector."""
+    rng = np.random.default_rng(k)
+    v = np.repeat(rng.normal(size=(12, 8)), 200, axis=0)[rng.permutation(2400)]
+    v[::3] = rng.normal(size=(800, 8))
+    table, _ = shared.cut(hnsw.usable(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), "vec_id", "embedding"), "v")
+    got = defaultdict(list)
+    for r in hnsw.search(hnsw.build(table, 900), table.where("id % 20 = 0"), k).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hit = total = 0
+    for i in range(0, 2400, 20):
+        s = v @ v[i]
+        s[i] = -np.inf
+        # The smaller id of equal scores, as rows of one vector score the same.
+        best = [int(j) for j in np.lexsort((np.arange(2400), -np.round(s, 9)))[:k]]
+        assert len(got[i]) == k and len({x for x, _ in got[i]}) == k
+        hit, total = hit + len({x for x, _ in got[i]} & set(best)), total + k
+    assert hit / total >= 0.9
+
+
+def test_one_id_beyond_a_shards_size(spark):
+    rng = np.random.default_rng(4)
+    rows = [(7, x.tolist()) for x in rng.normal(size=(500, 6))] + [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(100, 6)))]
+    table, _ = shared.cut(hnsw.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"), "v")
+    graphs = hnsw.build(table, 100)
+    sizes = [len(hnsw._unpack(shared.read_bytes(r["path"])).ids) for r in graphs.collect()]
+    assert sum(sizes) == 600 and len(sizes) >= 6 and max(sizes) < 250
+    got = hnsw.search(graphs, table.where("id = 20")).collect()
+    assert len(got) == 20 and {r["query_id"] for r in got} == {20}
+
+
 def test_shards_out_of_reach_lose_nothing(spark, monkeypatch):
     rng = np.random.default_rng(6)
     v = np.concatenate([20 * rng.normal(size=16) + 0.1 * rng.normal(size=(150, 16)) for _ in range(8)])[rng.permutation(1200)]
