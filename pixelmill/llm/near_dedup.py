@@ -11,12 +11,18 @@
 5. A family's sets are intersected exactly.
 6. Components: the smallest key that is reachable over links, by large and small stars over written tables.
 
-Buckets and families of any size are worked in two passes, and no pair is ever a row. Pass one deals the members into
+Buckets and families of any size are worked in two passes, in which no pair is ever a row. Pass one deals the members into
 chunks of bounded size, each with the group's pivots (a few members, chosen by hash) beside it; each chunk finds its trees
 of linked members, and the pivots tie the chunks together. Pass two takes the members that are still outside their group's
 largest tree and holds them against all members in other trees, block by block. A pair that neither pass looks at lies in
 one tree already. Rows are members plus pivots times chunks, and in pass two members times blocks of the rest and back.
 
+A family of which more than ``REST`` members are outside falls apart, and is indexed instead: a shingle that over ``RARE`` of its
+members hold is common, the others are rare. Two members share as many common shingles as the one of fewer has, at most; so
+they are linked only if they share enough rare ones (they meet in the lists of those, of ``RARE`` members each at most, and
+what they share there is counted), or if their common shingles alone could be enough. Only members that have a partner of
+the latter kind by size and number of common shingles go block by block. Pairs that are left are intersected exactly.
+
 Defined cases: null, empty and blank texts have no set (n_shingles 0) and are linked with nothing, not even each other;
 a text of fewer than five words is one shingle; rows that share a key are one document, linked with whatever any of its
 texts is linked with (``dedup`` goes by texts: see there); null keys have n_shingles but are linked with nothing
@@ -29,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import shared
 
@@ -46,6 +52,8 @@ LEAST_ESTIMATE = 0.6
 #: Members of a chunk of a bucket or family, shingles of a family's chunk, pivots (as expected) that go to every chunk of
 #: a group of several, chunks that make a block of pass two.
 CHUNK, CHUNK_SHINGLES, PIVOTS, WIDE = 64, 1 << 19, 8, 8
+#: Members outside a family's largest tree that are still held against all others; most members that hold a rare shingle.
+REST, RARE = 4096, 32
 #: Links that a task contracts at a time.
 LINKS = 1 << 21
 _RNG = np.random.default_rng(20240607)
@@ -261,22 +269,112 @@ def _dealt(members: DataFrame, group: str) -> DataFrame:
     return members.select(*rest, at.alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), F.col("node").alias("label"))
 
 
-def _rest(members: DataFrame, labels: DataFrame, group: str) -> DataFrame | None:
+def _rest(members: DataFrame, labels: DataFrame, group: str, most: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """Pass two. Of groups of several chunks (group, of, chunks, node): (group, node, label, i, j, side), the members
-    outside their group's largest tree (side 1) against all (side 0); None where there are none."""
+    outside their group's largest tree (side 1) against all (side 0); and (group, node, label) of groups with over ``most``
+    members outside. None where there are none."""
     members = members.where("chunks > 1").select(group, "of", F.ceil(F.col("chunks") / WIDE).cast("int").alias("chunks"), "node")
     held = members.join(shared.small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     held, _ = shared.cut(held, "held")
     counts = held.groupBy(group, "of", "chunks", "label").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy(group, "of", "chunks").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
-    largest, _ = shared.cut(largest.select(group, "largest", F.ceil(F.col("rest") * F.col("chunks") / F.col("of")).cast("int").alias("blocks")), "largest")
+    largest, _ = shared.cut(largest.select(group, "largest", "rest", F.ceil(F.col("rest") * F.col("chunks") / F.col("of")).cast("int").alias("blocks")), "largest")
+    apart = None
+    if most is not None:
+        many = largest.where(F.col("rest") > most).select(group)
+        apart = None if many.isEmpty() else held.join(shared.small(shared.cut(many, "apart")[0]), group).select(group, "node", "label")
+        largest = largest.where(F.col("rest") <= most)
     if largest.isEmpty():
-        return None
-    held = held.join(shared.small(largest), group)
+        return None, apart
+    held = held.join(shared.small(largest.drop("rest")), group)
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     all_ = held.select(group, "node", "label", place("chunks").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"))
-    return all_.unionByName(held.where("label <> largest").select(group, "node", "label", every("chunks").alias("i"), place("blocks").alias("j"), F.lit(1).alias("side")))
+    return all_.unionByName(held.where("label <> largest").select(group, "node", "label", every("chunks").alias("i"), place("blocks").alias("j"), F.lit(1).alias("side"))), apart
+
+
+# Families that fall apart.
+
+
+def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(family, node, shingle) of the nodes ``wanted`` (key, row, node, family); docs: (key, row, text)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for sets, _ in _batches(batch.column("text")):
+                n = [len(s) for s in sets]
+                own = [np.repeat(batch.column(c).slice(at, len(sets)).to_numpy(), n) for c in ("family", "node")]
+                flat = np.concatenate(sets).view(np.int64)
+                for i in range(0, len(flat), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(o[i : i + (1 << 17)]) for o in own), pa.array(flat[i : i + (1 << 17)])], names=["family", "node", "shingle"])
+                at += len(sets)
+
+    own = docs.join(shared.small(wanted), ["key", "row"]).select("family", "node", "text")
+    return own.dropDuplicates(["node"]).mapInArrow(shared.lean(task), "family long, node long, shingle long")
+
+
+def _rare(shingled: DataFrame) -> DataFrame:
+    """The rows (family, node, shingle), written, of shingles that ``RARE`` members of their family hold at most."""
+    counts = shingled.groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > RARE)
+    common, _ = shared.cut(counts.select("family", "shingle"), "common")
+    return shared.cut(shingled.join(shared.small(common), ["family", "shingle"], "left_anti"), "rare")[0]
+
+
+def _counted(apart: DataFrame, nodes: DataFrame, rare: DataFrame) -> DataFrame:
+    """(family, node, label, n, c), written: each member's shingles, and how many of them are common."""
+    few = rare.groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
+    held = apart.join(nodes.select("node", "n"), "node").join(few, "node", "left")
+    return shared.cut(held.select("family", "node", "label", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("c")), "counted")[0]
+
+
+def _enough(both: str, x: str, y: str) -> Column:
+    """Whether ``both`` shared shingles link sets of ``x`` and ``y``: 100 both >= PERCENT (x + y - both)."""
+    return (100 + PERCENT) * F.expr(both) >= PERCENT * (F.col(x) + F.col(y))
+
+
+def _met(rare: DataFrame, counted: DataFrame) -> DataFrame:
+    """(a, b, label_a, label_b), written: members in different trees that share a rare shingle, and whose shared rare ones and
+    the common ones that they may share would be enough."""
+    lists = rare.groupBy("family", "shingle").agg(F.collect_list("node").alias("own")).where(F.size("own") > 1)  # RARE at most
+    pairs = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))))
+    both = lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("both"))
+    for end in ("a", "b"):
+        own = counted.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("label", "n", "c")])
+        both = both.join(shared.small(own), end)
+    found = both.where((F.col("label_a") != F.col("label_b")) & _enough("both + least(c_a, c_b)", "n_a", "n_b"))
+    return shared.cut(found.select("a", "b", "label_a", "label_b"), "met")[0]
+
+
+def _dense(counted: DataFrame) -> DataFrame:
+    """(family, of, chunks, node) of members with whom another's common shingles alone could be enough: x has such a partner y
+    only if c(x) and c(y) both are, that is if y's size is at most what c(x) allows, and x's what c(y) does."""
+    allows = ((100 + PERCENT) * F.col("c") - PERCENT * F.col("n")).alias("allows")  # PERCENT times the largest partner's size
+    rows = counted.select("family", "node", "n", allows)
+    by_size = rows.groupBy("family", "n").agg(F.max("allows").alias("most"))
+    sizes, _ = shared.cut(by_size.groupBy("family").agg(F.collect_list(F.struct("n", "most")).alias("sizes")), "by-size")  # a family's sizes
+    partner = F.exists("sizes", lambda s: (PERCENT * s["n"] <= F.col("allows")) & (PERCENT * F.col("n") <= s["most"]))
+    rows = rows.join(shared.small(sizes), "family").where(partner).select("family", "node", "n")
+    of = rows.groupBy("family").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("weight"))
+    chunks = F.greatest(F.lit(2), F.ceil(F.col("of") / CHUNK), F.ceil(F.col("weight") / CHUNK_SHINGLES)).cast("int")
+    return rows.join(shared.small(shared.cut(of.where("of > 1").select("family", "of", chunks.alias("chunks")), "dense")[0]), "family").select("family", "of", "chunks", "node")
+
+
+def _indexed(docs: DataFrame, nodes: DataFrame, apart: DataFrame, labels: DataFrame, wanted) -> DataFrame:
+    """Links (a, b) between the labels of members (family, node, label) of families that fall apart."""
+    apart, _ = shared.cut(apart, "apart")
+    shingled, _ = shared.cut(_shingled(docs, shared.cut(wanted(apart).join(apart.select("node", "family"), "node"), "wanted")[0]), "shingled")
+    rare = _rare(shingled)
+    counted = _counted(apart, nodes, rare)
+    met = _met(rare, counted).withColumn("family", F.monotonically_increasing_id())  # a pair is a group of its own
+    sides = [met.select("family", F.col(e).alias("node"), F.col(f"label_{e}").alias("label"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side")) for e in ("a", "b")]
+    pairs, _ = shared.cut(sides[0].unionByName(sides[1]), "pairs")
+    links, _ = shared.cut(_linked_in(pairs.join(_sets(docs, wanted(pairs)), "node")), "links")
+    rest, _ = _rest(_dense(counted), labels, "family")
+    if rest is None:
+        return links
+    more, _ = shared.cut(_linked_in(rest.join(_sets(docs, wanted(rest)), "node")), "links")
+    return links.unionByName(more)
 
 
 def _together(rows: DataFrame, group: str) -> DataFrame:
@@ -462,7 +560,7 @@ def _families(nodes: DataFrame) -> DataFrame | None:
         return None
     labels, _ = shared.cut(components(likely).toDF("node", "label"), "labels")
     hot = buckets.where("chunks > 1")
-    if not hot.isEmpty() and (rest := _rest(entries.join(shared.small(hot), "bucket"), labels, "bucket")) is not None:
+    if not hot.isEmpty() and (rest := _rest(entries.join(shared.small(hot), "bucket"), labels, "bucket")[0]) is not None:
         more, _ = shared.cut(_likely(rest.join(held, "node")), "likely")
         labels = labels if more.isEmpty() else _relabelled(labels, more)
     return labels
@@ -485,9 +583,15 @@ def _linked(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame
     else:
         labels, _ = shared.cut(components(links).toDF("node", "label"), "labels")
     hot = sizes.where("chunks > 1")
-    if not hot.isEmpty() and (rest := _rest(members, labels, "family")) is not None:
-        more, _ = shared.cut(_linked_in(rest.join(_sets(docs, wanted(rest)), "node")), "links")
-        labels = labels if more.isEmpty() else _relabelled(labels, more)
+    if not hot.isEmpty():
+        rest, apart = _rest(members, labels, "family", REST)
+        if rest is not None:
+            more, _ = shared.cut(_linked_in(rest.join(_sets(docs, wanted(rest)), "node")), "links")
+        if apart is not None:
+            found = _indexed(docs, nodes, apart, labels, wanted)
+            more = found if rest is None else more.unionByName(found)
+        if (rest is not None or apart is not None) and not more.isEmpty():
+            labels = _relabelled(labels, more)
     return None if labels.isEmpty() else labels
 
 

@@ -530,7 +530,44 @@ def test_rows_of_a_family_are_linear(spark, size):
     assert near_dedup._dealt(members, "family").count() <= size + 4 * near_dedup.PIVOTS * chunks
     labels = spark.range(1, size).where("id % 500 <> 7").selectExpr("id as node", "0L as label")
     outside = size // 500 + 1
-    assert near_dedup._rest(members, labels, "family").count() <= size + outside * chunks
+    assert near_dedup._rest(members, labels, "family")[0].count() <= size + outside * chunks
+    rest, apart = near_dedup._rest(members, labels, "family", outside - 2)
+    assert rest is None and apart.count() == size
+
+
+def test_rows_of_a_family_that_falls_apart_are_linear(spark):
+    """16,384 members at similarity 0.70: 230 shingles of a template, 50 of their own, every tenth of which another has too."""
+    size, template, own = 16_384, 230, 50
+    members = spark.range(size).selectExpr("id as node", "1L as family", "id as label")
+    shingled = members.select("family", "node", F.explode(F.sequence(F.lit(0), F.lit(template + own - 1))).alias("i"))
+    rare_one = F.when(F.col("i") % 10 == 0, F.floor(F.col("node") / 2) * 1000 + F.col("i")).otherwise(F.col("node") * 1000 + F.col("i") + 10**9)
+    shingled = shingled.select("family", "node", F.when(F.col("i") < template, F.col("i")).otherwise(rare_one + 10**6).cast("long").alias("shingle"))
+    shingled, _ = shared.cut(shingled, "shingled")
+    rare = near_dedup._rare(shingled)
+    assert rare.count() == size * own
+    counted = near_dedup._counted(members, spark.range(size).selectExpr("id as node", f"{template + own}L as n"), rare)
+    assert counted.where(f"c <> {template}").isEmpty() and near_dedup._met(rare, counted).isEmpty() and near_dedup._dense(counted).isEmpty()
+    lists = rare.groupBy("family", "shingle").count()
+    assert lists.agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] <= near_dedup.RARE * size * own / 2  # pairs, whatever the shingles
+
+
+@pytest.mark.parametrize(("change", "rare", "words"), [((0.03, 0.06), 4, 80), ((0.0, 0.12), 8, 60), ((0.04, 0.045), 32, 70)])
+def test_families_that_fall_apart(spark, monkeypatch, change, rare, words):
+    """Members around the threshold: some linked, most not, sizes of their own, and parts of the template left out."""
+    for name, value in (("CHUNK", 16), ("PIVOTS", 2), ("WIDE", 2), ("REST", 5), ("RARE", rare)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng, texts = random.Random(words), []
+    for i in range(300):
+        p, begin = rng.uniform(*change), rng.choice([0, 0, 0, 7])
+        t = " ".join(f"w{j}" if rng.random() > p else f"z{rng.randrange(400)}w{j}" for j in range(begin, words))
+        texts.append(t if i % 9 else texts[rng.randrange(len(texts))] + " tail" if texts else t)
+    docs = [(i, t) for i, t in enumerate(texts)]
+    want = by_doc(docs)
+    indexed, calls = near_dedup._indexed, []
+    monkeypatch.setattr(near_dedup, "_indexed", lambda *a: calls.append(1) or indexed(*a))
+    got = near_dedup.near_duplicates(frame(spark, docs)).collect()
+    assert calls and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert 3 < len({c for _, c in want.values()}) < 300
 
 
 def test_linked_sets_against_all_pairs():
