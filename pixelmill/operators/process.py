@@ -16,20 +16,27 @@ def _whole(x) -> int | None:
     return None if x is None or pd.isna(x) else int(x)
 
 
+#: The columns that say what is done to a source.
+STEPS = ["width", "height", "format", "blur_sigma", "grayscale", "kernel"]
+
+
+def made(data: bytes | None, w, h, fmt: str, blur, gray, kernel: str) -> tuple:
+    """(content, width, height, error, milliseconds) of one derivative: decode, resize, gray, blur, encode."""
+    began = time.perf_counter()
+    try:
+        if data is None:
+            raise codecs.CodecError("no source")
+        image = pixels.processed(codecs.decode(bytes(data)), _whole(w), _whole(h), kernel, bool(gray) if gray is not None and not pd.isna(gray) else None, None if blur is None or pd.isna(blur) else float(blur))
+        out = (codecs.encode(image, fmt), image.shape[1], image.shape[0], None)
+    except codecs.CodecError as e:
+        out = (None, None, None, str(e))
+    return *out, int((time.perf_counter() - began) * 1000)
+
+
 @F.pandas_udf(RESULT)
 def derive(content: pd.Series, width: pd.Series, height: pd.Series, fmt: pd.Series, blur: pd.Series, gray: pd.Series, kernel: pd.Series) -> pd.DataFrame:
-    """Decode, resize, gray, blur, encode; what fails is the row's error and other rows go on."""
-    out = []
-    for data, w, h, f, b, g, k in zip(content, width, height, fmt, blur, gray, kernel, strict=True):
-        began = time.perf_counter()
-        try:
-            if data is None:
-                raise codecs.CodecError("no source")
-            image = pixels.processed(codecs.decode(bytes(data)), _whole(w), _whole(h), k, bool(g) if g is not None and not pd.isna(g) else None, None if b is None or pd.isna(b) else float(b))
-            made = (codecs.encode(image, f), image.shape[1], image.shape[0], None)
-        except codecs.CodecError as e:
-            made = (None, None, None, str(e))
-        out.append((*made, int((time.perf_counter() - began) * 1000)))
+    """What fails is the row's error and other rows go on."""
+    out = [made(*row) for row in zip(content, width, height, fmt, blur, gray, kernel, strict=True)]
     return pd.DataFrame(out, columns=["content", "out_width", "out_height", "error", "made_ms"]).astype({"out_width": "Int32", "out_height": "Int32"})
 
 
@@ -38,4 +45,4 @@ def processed(work: DataFrame) -> DataFrame:
 
     Images are large: ``spark.sql.execution.arrow.maxBytesPerBatch`` bounds what a Python worker holds at once.
     """
-    return work.withColumn("result", derive("source", "width", "height", "format", "blur_sigma", "grayscale", "kernel"))
+    return work.withColumn("result", derive("source", *STEPS))

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from .. import tables
-from ..operators import keyed, process, requests as req, store
+from ..operators import keyed, metrics, process, requests as req, store
 
 Sources = DataFrame | Callable[[DataFrame], DataFrame]
 
@@ -40,13 +40,13 @@ def derived(work: DataFrame, sources: Sources, max_bytes: int) -> DataFrame:
     return out.select("key", "content_type", "result.content", F.coalesce("source_error", "result.error").alias("error"), "result.out_width", "result.out_height", "result.made_ms")
 
 
-def resize_batch(raw: DataFrame, sources: Sources, store_path: str | keyed.Store, base: str, max_bytes: int = 50 << 20, sub_path: str = "", seq: int = 0) -> DataFrame:
+def resize_batch(raw: DataFrame, sources: Sources, store_path: str | keyed.Store, base: str, max_bytes: int = 50 << 20, sub_path: str = "", seq: int = 0, observation: Observation | None = None) -> DataFrame:
     """Answers requests and stores what was missing: (request_id, key, cached, location, error), a row a request.
 
     What is made is written before it is stored, and what was cached is written before the store grows, so pixels are made
     once, whichever executor is lost, and the answer does not follow the store. Both are in the shared folder until the
     driver, or the scope that this is called in, ends. ``store_path``: a folder of writes, or a store by key, of which only the
-    buckets that are asked for are read.
+    buckets that are asked for are read. ``observation``: gets the counters of ``metrics`` from the job that writes the answer.
     """
     known = prepared(raw, sub_path)
     stored = store_path.near(known) if isinstance(store_path, keyed.Store) else store.read(raw.sparkSession, store_path, probing=True)
@@ -54,7 +54,8 @@ def resize_batch(raw: DataFrame, sources: Sources, store_path: str | keyed.Store
     new, _ = tables.cut(derived(work, sources, max_bytes), "derived")
     failed = new.where(F.col("error").isNotNull()).select("key", F.col("error").alias("made_error"))
     cached = store.probed(known.select("request_id", "url", "key", "error"), stored).withColumnRenamed("found", "cached")
-    answer, _ = tables.cut(cached.join(failed, "key", "left").withColumn("error", F.coalesce("error", "made_error")).drop("made_error"), "answer")
+    answer = cached.join(failed, "key", "left").withColumn("error", F.coalesce("error", "made_error")).drop("made_error")
+    answer, _ = tables.cut(answer if observation is None else metrics.observed(answer, observation), "answer")
     made = new.where(F.col("error").isNull())
     if isinstance(store_path, keyed.Store):
         store_path.append(made, seq)

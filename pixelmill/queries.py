@@ -173,6 +173,15 @@ def stage_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.stage_averages(_table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.floor("value").alias("ms")))
 
 
+def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of each type's values by hour, merged by day, and their quantiles."""
+    log = _table(spark, sf_dir, "events").select(F.window("ts", "1 hour").start.alias("hour"), "event_type", (F.col("value") - 1).alias("ms"))
+    hours = stats.histogram(log, "ms", "hour", "event_type")
+    days = stats.merged(hours.withColumn("day", F.date_format("hour", "yyyy-MM-dd")), "day", "event_type")
+    out = stats.quantiles(days, [0.5, 0.9, 0.99], "day", "event_type")
+    return out.select("day", "event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")])
+
+
 def path_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = F.array(*[F.lit(p) for p in ("/health", "/metrics/x", "/api/images/resize", "/api/images/files", "/healthy", "/")])
     e = F.col("event_id")
@@ -313,7 +322,7 @@ def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "content_type", "error", F.col("out_width").cast("long").alias("out_width"), F.col("out_height").cast("long").alias("out_height"), formats.sniffed(F.col("content")).alias("format"), total.alias("pixel_sum"))
 
 
-QUERIES = {f.__name__: f for f in (resize_keys, request_validation, mime_and_kernel, target_geometry, cache_probe, cache_misses, download_lookup, keyed_lookup, redirect_location, latest_derivative, dedupe_requests, source_guard, magic_bytes, bench_stats, hit_ratio, stage_averages, path_metrics, profile_resolution, store_names, config_validity, bench_requests, resample_triangle, resample_udf, grayscale_array, blur_array, png_roundtrip, pixel_kernels, image_pipeline)}
+QUERIES = {f.__name__: f for f in (resize_keys, request_validation, mime_and_kernel, target_geometry, cache_probe, cache_misses, download_lookup, keyed_lookup, redirect_location, latest_derivative, dedupe_requests, source_guard, magic_bytes, bench_stats, hit_ratio, stage_averages, latency_quantiles, path_metrics, profile_resolution, store_names, config_validity, bench_requests, resample_triangle, resample_udf, grayscale_array, blur_array, png_roundtrip, pixel_kernels, image_pipeline)}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -420,6 +429,17 @@ SELECT level, requests, successes, CAST(CASE WHEN successes > 0 THEN t // succes
 WITH c AS (SELECT count(*) AS requests, count(*) FILTER (event_type = 'view') AS hits, count(*) FILTER (event_type = 'click') AS misses FROM events)
 SELECT *, coalesce(round(hits::DOUBLE / nullif(hits + misses, 0), 9), 0.0) AS hit_ratio FROM c""",
     "stage_averages": "SELECT event_type AS stage, count(*) AS n, round(sum(floor(value)) / count(*), 6) AS avg_ms FROM events GROUP BY event_type",
+    "latency_quantiles": """
+WITH h AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, CASE WHEN value > 1 THEN CAST(ceil(ln(value - 1) / ln(1.01::DOUBLE / 0.99::DOUBLE)) AS INTEGER) END AS bucket, count(*) AS n
+  FROM events WHERE value IS NOT NULL GROUP BY ALL
+), r AS (
+  SELECT *, sum(n) OVER (PARTITION BY day, event_type) AS total, sum(n) OVER (PARTITION BY day, event_type ORDER BY bucket NULLS FIRST) AS until,
+    coalesce(exp(bucket * ln(1.01::DOUBLE / 0.99::DOUBLE)) * 0.99::DOUBLE, 0) AS v FROM h
+)
+SELECT day, event_type, CAST(max(total) AS BIGINT) AS n, round(min(v) FILTER (until >= ceil(total * 0.5)), 6) AS p50, round(min(v) FILTER (until >= ceil(total * 0.9)), 6) AS p90,
+  round(min(v) FILTER (until >= ceil(total * 0.99)), 6) AS p99
+FROM r GROUP BY day, event_type""",
     "path_metrics": """
 SELECT path, status, count(*) AS n FROM (SELECT ['/health', '/metrics/x', '/api/images/resize', '/api/images/files', '/healthy', '/'][event_id % 6 + 1] AS path, 200 + event_id % 3 * 100 AS status FROM events)
 WHERE NOT (starts_with(path, '/health') OR starts_with(path, '/metrics')) GROUP BY path, status""",
