@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelmill.functions import keys
-from pixelmill.operators import codecs, requests as req, store
+from pixelmill.operators import codecs, process, requests as req, store
 from pixelmill.plans import resize
 from pixelmill.sources import config, files, http
 from pixelmill.streaming import serve
@@ -58,7 +58,36 @@ def test_resize_batch(spark, sources, tmp_path):
 def test_probe_and_dedup_stand_below_the_pixel_step(spark, sources):
     work = resize.derived(resize.work_list(resize.prepared(spark.createDataFrame(REQUESTS, RAW)), spark.createDataFrame([], store.DERIVATIVES)), sources, 10**6)
     plan = work._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("ArrowEvalPython") < plan.index("LeftAnti")
+    assert "MapInArrow" in plan and plan.index("MapInArrow") < plan.index("collect_list") and "LeftAnti" not in plan[: plan.index("MapInArrow")]
+
+
+def test_a_source_is_decoded_once(spark, monkeypatch, tmp_path):
+    """And its bytes go to as many rows as there are lists of what is asked of it."""
+    log = tmp_path / "decoded"
+    log.mkdir()
+    rows = [(100 * i + w, f"http://a/{i}.png", 10 + w, None, "png", None, None) for i in range(4) for w in range(5)]
+    sources = spark.createDataFrame([(f"http://a/{i}.png", 200, None, _png(i)) for i in range(5)], "url string, status int, content_length long, content binary")
+    work = resize.work_list(resize.prepared(spark.createDataFrame(rows, RAW)), spark.createDataFrame([], store.DERIVATIVES))
+    decode = codecs.decode
+
+    def counted(data, *more):
+        (log / __import__("uuid").uuid4().hex).write_bytes(data)
+        return decode(data, *more)
+
+    monkeypatch.setattr(codecs, "decode", counted)
+    asked = process.by_source(work)
+    met = asked.join(sources.select("url", F.col("content").alias("source"), F.lit(None).cast("string").alias("source_error")), "url").collect()
+    made = [process.made_of(image, *(a[c] for c in process.STEPS)) for r in met for image, _ in [process.decoded(r["source"])] for a in r["asked"]]
+    assert len(list(log.iterdir())) == 4 == asked.count() and len(made) == 20 and not any(m[3] for m in made)
+    got = resize.derived(work, sources, 10**6).collect()
+    assert sorted(m[0] for m in made) == sorted(bytes(r["content"]) for r in got)
+
+
+def test_hot_urls_go_in_lists_of_bounded_length(spark):
+    work = spark.range(3000).selectExpr("if(id % 10 > 0, 'hot', concat('u', id)) as url", "sha2(string(id), 256) as key", "'image/png' as content_type", "10L as width", "null as height", "'png' as format", "null as blur_sigma", "null as grayscale", "'triangle' as kernel")
+    sizes = process.by_source(work).select("url", F.size("asked").alias("n")).collect()
+    hot = [r["n"] for r in sizes if r["url"] == "hot"]
+    assert sum(r["n"] for r in sizes) == 3000 and sum(hot) == 2700 and max(hot) <= 2 * process.TOGETHER and len(hot) > 30
 
 
 def test_stores_that_cannot_be_read(spark, tmp_path):
