@@ -219,8 +219,9 @@ def records(data: bytes) -> Iterator[bytes]:
         at = to
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Writes ``path/part-P-A-ATTEMPT.warc.zst``; returns (name, part, archive, records), a row an archive, already done."""
+def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes ``path/part-P-A-ATTEMPT.warc.zst``, an archive as soon as its records hold ``archive_bytes``; returns (name, part,
+    archive, records), a row an archive, already done."""
     spark = pages.sparkSession
     shared.make_dirs(spark, path)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -251,7 +252,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> DataFr
             for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "refers_to", "again", "sha")), strict=True):
                 own.append(record(*(x.as_py() for x in row)))
                 held += len(own[-1])
-                if held >= ARCHIVE_BYTES:
+                if held >= archive_bytes:
                     close()
         close()
         cols = list(zip(*done, strict=True)) or [()] * 4
