@@ -27,6 +27,8 @@ once; fewer candidates than K are all returned; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -478,27 +480,40 @@ def best_of(graphs: list[tuple], ids: np.ndarray, queries: np.ndarray, k: int, b
     return best
 
 
+@lru_cache(maxsize=1)
+def _listed(lists: tuple[str, ...]) -> dict[int, list[tuple]]:
+    """By vector length the graphs (path, centre, radius) that the files of a written table list; a row for some thousands of
+    vectors."""
+    import io
+
+    from pyarrow import parquet
+
+    held: dict[int, list[tuple]] = {}
+    for path in lists:
+        for r in parquet.read_table(io.BytesIO(shared.read_bytes(unquote(path)))).to_pylist():
+            held.setdefault(r["dim"], []).append((r["path"], np.array(r["centre"]), r["radius"]))
+    return {dim: sorted(rows, key=lambda r: r[0]) for dim, rows in held.items()}
+
+
 def search(graphs: DataFrame, queries: DataFrame, k: int = K, beam: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score) of queries (id, v, dim); ``beam``: nodes that a search of a graph keeps."""
+    """(query_id, rank, vec_id, score) of queries (id, v, dim) in the graphs that ``build`` wrote; ``beam``: nodes that a search of
+    a graph keeps."""
     queries, _ = shared.cut(queries.dropDuplicates(["id", "v"]), "queries")
-    held: dict[int, list[tuple]] = {}
-    for r in graphs.orderBy("dim", "shard").collect():  # a row a shard, that is a row for some thousands of vectors
-        held.setdefault(r["dim"], []).append((r["path"], np.array(r["centre"]), r["radius"]))
-    sent = queries.sparkSession.sparkContext.broadcast(held)
+    lists = tuple(sorted(graphs.inputFiles()))  # of the written table; tasks read it themselves
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple]] = {}
 
         def done(dim: int) -> pa.RecordBatch:
             ids, x = (np.concatenate(c) for c in zip(*parts.pop(dim), strict=True))
-            best = best_of(sent.value[dim], ids, x, k, beam)
+            best = best_of(_listed(lists)[dim], ids, x, k, beam)
             rank = np.arange(len(best.at)) - np.searchsorted(best.at, best.at) + 1
             return pa.RecordBatch.from_arrays([pa.array(ids[best.at]), pa.array(rank.astype(np.int32)), pa.array(best.ids), pa.array(best.scores)], names=["query_id", "rank", "vec_id", "score"])
 
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in map(int, np.unique(dims)):
-                if dim in sent.value:
+                if dim in _listed(lists):
                     own = batch.filter(pa.array(dims == dim))
                     parts.setdefault(dim, []).append((own.column("id").to_numpy(), _rows(own.column("v"))))
                     if sum(len(i) for i, _ in parts[dim]) >= 4 * QUERIES:
