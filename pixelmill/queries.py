@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import tables
 from .functions import formats, geometry
-from .operators import codecs, keyed, pixels, requests as req, stats, store
+from .operators import codecs, keyed, pixels, placing, requests as req, stats, store
 from .plans import resize
 from .sources import config
 
@@ -95,6 +95,13 @@ def target_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"jpg_bytes": size("jpg"), "png_bytes": size("png"), "webp_bytes": size("webp"), "other_bytes": size("gif")})
 
 
+def weighted_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of parts, taken for images of their size, by the estimated bytes of a derivative."""
+    p = F.col("p_partkey")
+    rows = _table(spark, sf_dir, "part").select("p_partkey", geometry.estimated_bytes(F.col("p_size") * F.when(p % 97 == 0, 900).otherwise(40), (p % 37 + 1) * 30, _picked("p_partkey", ["jpg", "png", "webp", "gif"])).alias("bytes"))
+    return placing.binned(rows, ["p_partkey"], "bytes", 64 << 20).select("p_partkey", "bytes", "bin")
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derivatives: the requests of even pages."""
     even = _keyed(spark, sf_dir).where("page_id % 2 = 0")
@@ -322,7 +329,7 @@ def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "content_type", "error", F.col("out_width").cast("long").alias("out_width"), F.col("out_height").cast("long").alias("out_height"), formats.sniffed(F.col("content")).alias("format"), total.alias("pixel_sum"))
 
 
-QUERIES = {f.__name__: f for f in (resize_keys, request_validation, mime_and_kernel, target_geometry, cache_probe, cache_misses, download_lookup, keyed_lookup, redirect_location, latest_derivative, dedupe_requests, source_guard, magic_bytes, bench_stats, hit_ratio, stage_averages, latency_quantiles, path_metrics, profile_resolution, store_names, config_validity, bench_requests, resample_triangle, resample_udf, grayscale_array, blur_array, png_roundtrip, pixel_kernels, image_pipeline)}
+QUERIES = {f.__name__: f for f in (resize_keys, request_validation, mime_and_kernel, target_geometry, weighted_bins, cache_probe, cache_misses, download_lookup, keyed_lookup, redirect_location, latest_derivative, dedupe_requests, source_guard, magic_bytes, bench_stats, hit_ratio, stage_averages, latency_quantiles, path_metrics, profile_resolution, store_names, config_validity, bench_requests, resample_triangle, resample_udf, grayscale_array, blur_array, png_roundtrip, pixel_kernels, image_pipeline)}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -393,6 +400,10 @@ f AS (SELECT p_partkey, i, scaled_w, scaled_h, CASE WHEN b THEN greatest(scaled_
              CASE WHEN b THEN least(scaled_w, w) ELSE scaled_w END::BIGINT AS out_w, CASE WHEN b THEN least(scaled_h, h) ELSE scaled_h END::BIGINT AS out_h,
              CASE WHEN w <= 300 AND h <= 300 THEN 'triangle' ELSE 'lanczos3' END AS kernel FROM o)
 SELECT *, out_w * out_h // 2 AS jpg_bytes, out_w * out_h * 4 AS png_bytes, out_w * out_h // 3 AS webp_bytes, out_w * out_h * 3 AS other_bytes FROM f""",
+    "weighted_bins": """
+WITH w AS (SELECT p_partkey, (p_size * CASE WHEN p_partkey % 97 = 0 THEN 900 ELSE 40 END * ((p_partkey % 37 + 1) * 30))::BIGINT AS px, p_partkey % 4 AS f FROM part),
+b AS (SELECT p_partkey, CASE f WHEN 0 THEN px // 2 WHEN 1 THEN px * 4 WHEN 2 THEN px // 3 ELSE px * 3 END AS bytes FROM w)
+SELECT p_partkey, bytes, CAST((sum(bytes) OVER (ORDER BY p_partkey) - bytes) // 67108864 AS BIGINT) AS bin FROM b""",
     "cache_probe": f"WITH {_SQL_REQUESTS} SELECT request_id, key FROM keyed WHERE key IN (SELECT key FROM keyed WHERE page_id % 2 = 0)",
     "cache_misses": f"WITH {_SQL_REQUESTS} SELECT request_id, key FROM keyed WHERE key NOT IN (SELECT key FROM keyed WHERE page_id % 2 = 0)",
     "download_lookup": f"""
