@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import tables
 from .functions import formats, geometry
-from .operators import codecs, keyed, pixels, placing, requests as req, stats, store
+from .operators import codecs, keyed, pixels, placing, requests as req, stats, store, tiles
 from .plans import resize
 from .sources import config
 
@@ -271,6 +271,23 @@ def resample_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(_table(spark, sf_dir, "embeddings").select("vec_id", _resampled("embedding").alias("cells")), "cells")
 
 
+def _on_tiles(spark: SparkSession, sf_dir: str, new: int, **kernel) -> DataFrame:
+    """8 x 8 images as tiles of 3 x 3 (and less at the edge), filtered tile by tile, as cells."""
+    images = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"))
+    held = tiles.tiled(images, "vec_id", "embedding", "h", "w", 3).withColumns({"new_height": F.lit(new), "new_width": F.lit(new)})
+    table = tiles.weight_table(spark, [(SIDE, new)], **kernel)
+    out = tiles.pixels_of(tiles.filtered(held, 3, table, table), 3)
+    return out.select(F.col("key").alias("vec_id"), (F.col("y") * new + F.col("x")).cast("long").alias("cell"), (F.round("v", 4) + 0.0).alias("value"))
+
+
+def tiled_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _on_tiles(spark, sf_dir, SIDE, sigma=1.0)
+
+
+def tiled_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _on_tiles(spark, sf_dir, 11, kernel="lanczos3")
+
+
 def grayscale_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(_table(spark, sf_dir, "embeddings").select("vec_id", pixels.luma(F.col("embedding").cast("array<double>"), 21).alias("cells")), "cells")
 
@@ -329,7 +346,7 @@ def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", "content_type", "error", F.col("out_width").cast("long").alias("out_width"), F.col("out_height").cast("long").alias("out_height"), formats.sniffed(F.col("content")).alias("format"), total.alias("pixel_sum"))
 
 
-QUERIES = {f.__name__: f for f in (resize_keys, request_validation, mime_and_kernel, target_geometry, weighted_bins, cache_probe, cache_misses, download_lookup, keyed_lookup, redirect_location, latest_derivative, dedupe_requests, source_guard, magic_bytes, bench_stats, hit_ratio, stage_averages, latency_quantiles, path_metrics, profile_resolution, store_names, config_validity, bench_requests, resample_triangle, resample_udf, grayscale_array, blur_array, png_roundtrip, pixel_kernels, image_pipeline)}
+QUERIES = {f.__name__: f for f in (resize_keys, request_validation, mime_and_kernel, target_geometry, weighted_bins, cache_probe, cache_misses, download_lookup, keyed_lookup, redirect_location, latest_derivative, dedupe_requests, source_guard, magic_bytes, bench_stats, hit_ratio, stage_averages, latency_quantiles, path_metrics, profile_resolution, store_names, config_validity, bench_requests, resample_triangle, resample_udf, tiled_blur, tiled_resize, grayscale_array, blur_array, png_roundtrip, pixel_kernels, image_pipeline)}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -478,6 +495,8 @@ SELECT page_id, level, i, width, height, 'http://' || host || ':' || port || '/a
 SELECT vec_id, cell, round(0.2126::DOUBLE * embedding[3 * cell + 1]::DOUBLE + 0.7152::DOUBLE * embedding[3 * cell + 2]::DOUBLE + 0.0722::DOUBLE * embedding[3 * cell + 3]::DOUBLE, 4) + 0.0 AS value
 FROM (SELECT vec_id, embedding, unnest(range(21)) AS cell FROM embeddings)""",
     "blur_array": _matrix_sql(_BLUR, _BLUR),
+    "tiled_blur": _matrix_sql(_BLUR, _BLUR),
+    "tiled_resize": _matrix_sql(_LANCZOS[1], _LANCZOS[1]),
     "png_roundtrip": """
 SELECT vec_id, CAST(64 AS INTEGER) AS n_pixels, CAST(sum(greatest(least(floor(v::DOUBLE * 127 + 128 + 0.5), 255), 0)) AS BIGINT) AS total, true AS same, 'png' AS format
 FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) GROUP BY vec_id""",
