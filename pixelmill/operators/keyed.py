@@ -45,9 +45,10 @@ class Store:
             self._swapped(Snapshot(0, buckets, ()))  # or another writer's was first
         self.buckets = self.snapshot().buckets
         self.table = f"pixelmill_store_{hashlib.md5(self.path.encode()).hexdigest()}_{self.buckets}"
+        quoted = self.path.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} ({store.DERIVATIVES}, generation bigint) USING parquet OPTIONS ('parquet.bloom.filter.enabled#key' = 'true') "
-            f"PARTITIONED BY (generation) CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/rows'"
+            f"PARTITIONED BY (generation) CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{quoted}/rows'"
         )
 
     # The manifest.
