@@ -24,7 +24,8 @@ def ratio(counts: dict) -> float:
 
 
 class Running(StreamingQueryListener):
-    """Sums of what queries counted under ``name``, while they run and after. A batch that runs again counts once."""
+    """Sums of what queries counted under ``name``, while they run and after; a batch's counts come shortly after it. A batch that runs
+    again counts once."""
 
     def __init__(self, name: str) -> None:
         self.name, self.lock = name, threading.Lock()
