@@ -4,8 +4,8 @@ A unit grammar is given by the classes of neighbouring characters between which
 of zero width, a lookbehind and a lookahead for each pair, and Spark's ``split`` at it keeps every character: its pieces are
 the units. The two cuts are drawn from a hash of the row's key, so a row is cut the same wherever and how often it runs.
 
-Long texts are split ``SLICE`` code points at a time, so that a task never holds the units of a whole one. Where a unit goes
-on over the end of a slice, its first piece in the next slice is not counted again.
+Texts of up to ``SLICE`` code points are split once. Longer ones are split a slice at a time, so that a task never holds the
+units of a whole one; where a unit goes on over the end of a slice, its first piece in the next slice is not counted again.
 
 Defined cases: a null text is an empty one and has no units (``split`` would give one); an empty text, one that holds a mark
 and one that is not drawn are plain and come back unchanged; a null key counts as empty decimal text; rows that share a key
@@ -61,13 +61,14 @@ def _between(text: Column, start: Column, end: Column) -> Column:
 
 
 def _counted(rows: DataFrame, regex: str) -> DataFrame:
-    """With ``goes_on`` (of each slice, whether its first piece belongs to the unit before it), ``before`` (units that begin
-    before each slice) and ``n`` (units)."""
+    """With ``pieces`` (of a text of one slice, else null), ``goes_on`` (of each slice, whether its first piece belongs to the unit
+    before it), ``before`` (units that begin before each slice) and ``n`` (units)."""
+    rows = rows.withColumn("pieces", F.when(F.length("text") <= SLICE, F.split("text", regex)))
     slices = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / SLICE).cast("int")))
     goes_on = F.transform(slices, lambda i: ((i > 0) & ~F.substr(F.col("text"), i * SLICE, F.lit(2)).rlike(regex)).cast("int"))
     rows = rows.withColumn("goes_on", goes_on)
     begun = F.transform("goes_on", lambda on, i: F.size(F.split(F.substr(F.col("text"), i * SLICE + 1, F.lit(SLICE)), regex)) - on)
-    rows = rows.withColumn("begun", F.when(F.length("text") > 0, begun).otherwise(F.array(F.lit(0))))
+    rows = rows.withColumn("begun", F.when(F.length("text") == 0, F.array(F.lit(0))).when(F.col("pieces").isNotNull(), F.array(F.size("pieces"))).otherwise(begun))
     total = lambda items: F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x)
     before = F.transform("begun", lambda _, i: total(F.slice("begun", F.lit(1), i)))
     return rows.withColumns({"before": before, "n": total(F.col("begun"))}).drop("begun")
@@ -76,7 +77,7 @@ def _counted(rows: DataFrame, regex: str) -> DataFrame:
 def _place(unit: Column, regex: str) -> Column:
     """The code points before the unit of that number (from 0; ``n`` is the text's end)."""
     at = F.size(F.filter("before", lambda b: b <= unit)) - 1
-    pieces = F.split(F.substr(F.col("text"), at * SLICE + 1, F.lit(SLICE)), regex)
+    pieces = F.when(F.col("pieces").isNotNull(), F.col("pieces")).otherwise(F.split(F.substr(F.col("text"), at * SLICE + 1, F.lit(SLICE)), regex))
     many = (unit - F.get("before", at) + F.get("goes_on", at)).cast("int")
     return F.when(unit >= F.col("n"), F.length("text")).otherwise(at * SLICE + F.length(F.array_join(F.slice(pieces, F.lit(1), many), "")))
 
