@@ -49,7 +49,7 @@ def downloaded(wanted: DataFrame, derivatives: DataFrame) -> DataFrame:
     """Keys with their bytes: found, content (empty where missing or unsafe), content_type, cache_control, error.
 
     The store's rows meet the wanted keys before anything is sorted or shuffled by key, so no other key's bytes are."""
-    asked = wanted.select("key").where(keys.safe_key(F.col("key"))).distinct()
+    asked = wanted.select("key").where(keys.safe_key(F.col("key")))
     held = latest(derivatives.join(asked, "key", "left_semi"))
     out = wanted.withColumn("__safe", keys.safe_key(F.col("key"))).join(held.select("key", "content", "content_type", F.lit(True).alias("__found")), "key", "left")
     found = F.coalesce(F.col("__found") & F.col("__safe"), F.lit(False))
