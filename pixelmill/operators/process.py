@@ -52,6 +52,8 @@ def made(data: bytes | None, *steps) -> tuple:
 
 #: Requests of a source that go with it to a task, as expected; a source of more goes to several.
 TOGETHER = 64
+#: Bytes of derivatives that a worker holds.
+HELD = 4 << 20
 MADE = "key string, content_type string, content binary, error string, out_width int, out_height int, made_ms long"
 
 
@@ -69,13 +71,18 @@ def derived(work: DataFrame, profile: ResourceProfile | None = None) -> DataFram
     """Derivatives of rows with ``asked``, ``source`` (bytes) and ``source_error``: each source is decoded once, and what fails is
     the error of its rows. ``profile``: resources of the pixel tasks, on clusters that give tasks their own.
 
-    Images are large: ``spark.sql.execution.arrow.maxBytesPerBatch`` bounds what a Python worker holds at once, and derivatives
-    leave it one by one.
+    Images are large: ``spark.sql.execution.arrow.maxBytesPerBatch`` bounds what a Python worker takes at once, and derivatives
+    leave it as soon as they come to ``HELD`` bytes.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
         names = [c.split()[0] for c in MADE.split(", ")]
+        rows, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
             for asked, data, error in zip(*(batch.column(c) for c in ("asked", "source", "source_error")), strict=True):
                 image = None
@@ -85,7 +92,12 @@ def derived(work: DataFrame, profile: ResourceProfile | None = None) -> DataFram
                     error = error.as_py()
                 for r in asked.as_py():
                     content, width, height, failed, ms = (None, None, None, error, 0) if error is not None else made_of(image, *(r[c] for c in STEPS))
-                    row = (r["key"], r["content_type"], content, failed, width, height, ms)
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+                    rows.append((r["key"], r["content_type"], content, failed, width, height, ms))
+                    held += len(content or b"")
+                    if held >= HELD:
+                        yield flush()
+                        rows, held = [], 0
+        if rows:
+            yield flush()
 
     return work.select("asked", "source", "source_error").mapInArrow(task, MADE, profile=profile)

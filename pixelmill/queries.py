@@ -340,7 +340,7 @@ def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
     raw = made.select(v.alias("request_id"), "url", F.when(v % 3 > 0, 12 + v % 5).cast("int").alias("width"), F.when(v % 4 > 0, 10 + v % 7).cast("int").alias("height"), F.element_at(F.array(*map(F.lit, ("png", "webp", "jpg"))), (v % 3 + 1).cast("int")).alias("format"), F.when(v % 2 > 0, 0.8).cast("float").alias("blur_sigma"), (v % 5 == 0).alias("grayscale"))
     known = resize.prepared(raw)
-    work = resize.work_list(known, spark.createDataFrame([], store.DERIVATIVES))
+    work, _ = tables.cut(resize.work_list(known, spark.createDataFrame([], store.DERIVATIVES)), "work")
     out = resize.derived(work, sources, 1 << 20).join(work.select("key", "does_blur"), "key")
     total = F.when(~F.col("does_blur") & (F.col("content_type") == "image/png"), _pixel_sum("content"))
     return out.select("key", "content_type", "error", F.col("out_width").cast("long").alias("out_width"), F.col("out_height").cast("long").alias("out_height"), formats.sniffed(F.col("content")).alias("format"), total.alias("pixel_sum"))
